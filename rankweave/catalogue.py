@@ -1,0 +1,6 @@
+"""Named queries over the driver tables and their SQL twins."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
