@@ -36,7 +36,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         now = written(_star(_star(now, True), False), "stars")
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
-            return now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").unionByName(
-                now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
+            stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         seen = mark

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import checked_broadcast, written
+from .shared import checked_broadcast, small_batches, written
 from .tokens import LOWER, shingle_hashes, shingle_sets, text_chunks, word_hashes, words
 
 #: log2 of the number of counters (4 bytes each) that order the shingles; their size does not depend on the data.
@@ -42,6 +42,7 @@ RANGES = 32
 LIST_ROWS = 50_000
 #: Rows of (doc_id) that may be broadcast, 16 bytes each.
 BROADCAST_ROWS = 2_000_000
+PAIR_ROWS = 500_000
 ROUNDS = 4
 
 _SET_SCHEMA = "doc_id long, n long, fp_a long, fp_b long, sizes array<int>, keys array<long>, salts array<int>"
@@ -153,8 +154,10 @@ def _verified(pairs: DataFrame, info: DataFrame, sets: DataFrame) -> DataFrame:
     side = lambda c: info.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sizes").alias(f"s_{c}"))
     apart = F.expr("aggregate(zip_with(s_a, s_b, (x, y) -> abs(x - y)), 0, (t, x) -> t + x)")
     likely = pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= F.col("n_a") + F.col("n_b") - 2 * _reach("n_a", "n_b")).select("a", "b")
-    own = lambda c: sets.select(F.col("doc_id").alias(c), F.col("hashes").alias(f"h_{c}"))
-    both = likely.join(own("a"), "a").join(own("b"), "b")
+    # Beside a broadcast of the (few) likely pairs, only the sets of their documents move.
+    near = checked_broadcast(written(likely, "likely"), PAIR_ROWS)
+    own = lambda c: sets.withColumnRenamed("doc_id", c).withColumnRenamed("hashes", f"h_{c}").join(near, c)
+    both = own("a").join(own("b"), ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,7 +171,7 @@ def _verified(pairs: DataFrame, info: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(100 * shared >= 75 * (len(p) + len(q) - shared) and shared > 0)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "h_a", "h_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "h_a", "h_b").mapInArrow(run, "a long, b long").distinct()
 
 
 def _labelled(postings: DataFrame, groups: DataFrame) -> DataFrame:
@@ -179,6 +182,7 @@ def _labelled(postings: DataFrame, groups: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     sets = written(document_sets(docs, shingle_counts(docs)), "sets")
     classes = written(sets.where("n > 0").groupBy("fp_a", "fp_b", "n").agg(F.min("doc_id").alias("class")), "classes")
@@ -198,7 +202,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([x.tobytes() for _, x in shingle_sets(batch.column(1))], pa.binary())], ["doc_id", "hashes"])
 
-    own = written(docs.join(checked_broadcast(members, BROADCAST_ROWS), "doc_id", "left_semi").mapInArrow(hashed, "doc_id long, hashes binary").dropDuplicates(["doc_id"]), "hashes")
+    own = written(docs.join(checked_broadcast(members, BROADCAST_ROWS), "doc_id", "left_semi").mapInArrow(hashed, "doc_id long, hashes binary"), "hashes")
     tried: list[DataFrame] = []
     links: list[DataFrame] = []
 
@@ -208,8 +212,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         links.append(written(_verified(fresh, info, own), "links"))
         return links[-1].count()
 
-    def joined() -> DataFrame:
-        return connected_components(reduce(DataFrame.unionByName, links).selectExpr("a AS u", "b AS v"))
+    def joined(groups: DataFrame | None = None) -> DataFrame:
+        fresh = links[-1].selectExpr("a AS u", "b AS v")
+        return connected_components(fresh if groups is None else fresh.unionByName(groups.selectExpr("node AS u", "component AS v")))
 
     verify(_neighbours(lists, ["key", "salt"], 0))
     groups = joined()
@@ -217,12 +222,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         one = _labelled(lists, groups).groupBy("key", "component").agg(F.min_by(F.struct("doc_id", "n", "pos"), F.xxhash64("doc_id", F.lit(seed))).alias("r"))
         if not verify(_neighbours(one.select("key", "r.doc_id", "r.n", "r.pos"), ["key"], seed)):
             break
-        groups = joined()
+        groups = joined(groups)
     rest = written(_labelled(lists, groups), "rest")
     left, right = (rest.select("key", "component", F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("pos").alias(f"pos_{c}")) for c in "ab")
     cross = left.join(right.withColumnRenamed("component", "other"), "key").where("component < other AND 100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)")
     if verify(_filtered(cross)):
-        groups = joined()
+        groups = joined(groups)
     named = sets.select("doc_id", "n", "fp_a", "fp_b").join(classes, ["fp_a", "fp_b", "n"], "left").join(groups.withColumnRenamed("node", "class"), "class", "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class", "doc_id").alias("component_id"))
 

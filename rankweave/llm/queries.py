@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from . import chat_format, decontamination
+from .chat_format import op10_chat_format
+from .decontamination import op7_decontamination
+from .html_extraction import op6_html_extraction
 from .jaccard_join import op8_jaccard_join
+from .lm_scoring import op9_lm_scoring
 from .packing import op4_packing
+from .pii import op3_pii
 from .quality_classifier import op5_quality_classifier
 from .quality_rules import op1_quality_rules
 from .toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op4_packing, op5_quality_classifier, op8_jaccard_join)}
-ORACLE_SQL: dict[str, str] = {}
+_FUNCTIONS = (
+    op1_quality_rules, op2_toxicity, op3_pii, op4_packing, op5_quality_classifier, op6_html_extraction, op7_decontamination, op8_jaccard_join, op9_lm_scoring, op10_chat_format,
+)
+QUERIES = {f.__name__: f for f in _FUNCTIONS}
+ORACLE_SQL: dict[str, str] = {"op7_decontamination": decontamination.ORACLE_SQL, "op10_chat_format": chat_format.ORACLE_SQL}

@@ -34,6 +34,7 @@ def checked_broadcast(df: DataFrame, rows: int) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -43,3 +44,8 @@ def long_key(x: np.ndarray) -> np.ndarray:
 
 def crc_text(column: str) -> Column:
     return F.crc32(F.col(column).cast("string"))
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of few rows: with long texts their bytes, in the JVM and in Python, are what fills an executor."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
