@@ -1,0 +1,52 @@
+"""The report grammar in Spark: a lateral generator of claims and an Arrow-batched editor."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from . import claims
+
+CLAIM = "struct<claim_id string, finding string, `start` int, `end` int, claim_text string, sentence_start int, sentence_end int, sentence_text string, polarity string, eligible boolean, skip_reason string, laterality string, region string>"
+
+
+@F.udf(f"array<{CLAIM}>", useArrow=True)
+def claims_of(text: str):
+    return [tuple(c.values()) for c in claims.analyse(text)[0]] if text else []
+
+
+def extract_claims(reports: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, claim fields) for every mention; texts that cannot hold one never reach Python."""
+    able = reports.where(F.col(text).rlike(claims.PREFILTER)).select(key, F.explode(claims_of(F.col(text))).alias("c"))
+    return able.select(key, "c.*")
+
+
+def edit_reports(reports: DataFrame, key: str, text: str, abstain: Column) -> DataFrame:
+    """(key, edited, n_edits, n_skipped) when every eligible claim of a report with ``abstain`` is withdrawn."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for x, wanted in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                found = claims.analyse(x or "")[0]
+                out = claims.apply_edits(x or "", [{**c, "abstain": bool(wanted), "support_score": None, "reason": "low retention"} for c in found])
+                rows.append((out["edited_findings"], len(out["edits"]), len(out["skipped_edits"])))
+            yield pa.record_batch([batch.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32())], [key, "edited", "n_edits", "n_skipped"])
+
+    kind = dict(reports.dtypes)[key]
+    return reports.select(key, text, abstain.alias("w")).mapInArrow(run, f"{key} {kind}, edited string, n_edits int, n_skipped int")
+
+
+def covering_tokens(offsets: Column, start: Column, end: Column) -> Column:
+    """Tokens (structs a, b) that overlap [start, end)."""
+    return F.filter(offsets, lambda o: (o["b"] > start) & (o["a"] < end))
+
+
+def sentence_spans(text: Column) -> Column:
+    """Sentences by the literal '. ' split, with half-open offsets."""
+    parts = F.split(text, r"\. ")
+    ends = F.aggregate(parts, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + F.length(x) + 2)))
+    return F.zip_with(parts, F.slice(ends, 1, F.size(parts)), lambda x, a: F.struct(a.alias("a"), (a + F.length(x)).alias("b"), x.alias("sentence")))
