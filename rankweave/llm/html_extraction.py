@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checked_broadcast, written
+from .shared import checked_broadcast, trimmed, written
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=/?[a-zA-Z])[^<>]*\Z", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -242,7 +242,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
         return run
 
-    distinct = pages.select("host", "html").mapInArrow(streams, "host string, stream string").distinct()
+    distinct = pages.select("host", "html").mapInArrow(trimmed(streams), "host string, stream string").distinct()
     part = distinct.withColumn("salt", F.pmod(F.xxhash64("stream"), F.lit(32))).groupBy("host", "salt").applyInArrow(merge(False), "host string, stream string")
     return part.groupBy("host").applyInArrow(merge(True), "host string, slots array<string>, main array<boolean>")
 
@@ -259,7 +259,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             out = [extract(x or "", dict(zip(s or [], m or [], strict=True))) for x, s, m in rows]
             yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return both.select("page_id", "url", "html", "slots", "main").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return both.select("page_id", "url", "html", "slots", "main").mapInArrow(trimmed(run), "page_id long, url string, text string, n_chars long")
 
 
 def op6_html_extraction(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import checked_broadcast, small_batches, written
+from .shared import checked_broadcast, small_batches, trimmed, written
 from .tokens import LOWER, shingle_hashes, shingle_sets, text_chunks, word_hashes, words
 
 #: log2 of the number of counters (4 bytes each) that order the shingles; their size does not depend on the data.
@@ -53,24 +53,13 @@ def shingle_counts(docs: DataFrame) -> np.ndarray:
     width = (1 << BUCKET_BITS) // BLOCKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, pending = np.zeros(1 << BUCKET_BITS, np.uint32), []
-        held = 0
-
-        def fold() -> None:
-            if pending:
-                np.add(counts, np.bincount(np.concatenate(pending), minlength=len(counts)).astype(np.uint32), out=counts)
-                pending.clear()
-
+        counts = np.zeros(1 << BUCKET_BITS, np.uint32)
         for batch in batches:
             for _, _, data, offsets in text_chunks(batch.column(0)):
                 data = LOWER[data]
                 starts, ends, bounds = words(data, offsets)
-                pending.append((shingle_hashes(word_hashes(data, starts, ends), bounds)[0] >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
-                held += len(pending[-1])
-                if held > 4 << 20:
-                    fold()
-                    held = 0
-        fold()
+                found = shingle_hashes(word_hashes(data, starts, ends), bounds)[0]
+                np.add.at(counts, (found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), np.uint32(1))
         blocks = [(b, counts[b * width : (b + 1) * width]) for b in range(BLOCKS)]
         blocks = [(b, pa.compress(x.tobytes(), "zstd", asbytes=True)) for b, x in blocks if x.any()]
         yield pa.record_batch([pa.array([b for b, _ in blocks], pa.int32()), pa.array([x for _, x in blocks], pa.binary())], ["block", "counts"])
@@ -83,7 +72,7 @@ def shingle_counts(docs: DataFrame) -> np.ndarray:
         return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([packed], pa.binary())], ["block", "counts"])
 
     schema = "block int, counts binary"
-    per_task = docs.select("text").mapInArrow(count, schema)
+    per_task = docs.select("text").mapInArrow(trimmed(count), schema)
     # Salted first, so no task gets more than a share of the many partial tables of one block.
     partial = per_task.withColumn("salt", F.spark_partition_id() % 16).groupBy("block", "salt").applyInArrow(add, schema)
     out = np.zeros(1 << BUCKET_BITS, np.uint32)
@@ -92,9 +81,11 @@ def shingle_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def document_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """Per document: set size, fingerprint of the whole set, sizes by range and the rare-first prefix."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+def document_sets(docs: DataFrame, shared) -> DataFrame:
+    """Per document: set size, fingerprint of the whole set, sizes by range and the rare-first prefix.
+
+    ``shared``: the broadcast counters.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -126,7 +117,7 @@ def document_sets(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 ["doc_id", "n", "fp_a", "fp_b", "sizes", "keys", "salts"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SET_SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), _SET_SCHEMA)
 
 
 def _reach(a: str, b: str) -> F.Column:
@@ -171,7 +162,7 @@ def _verified(pairs: DataFrame, info: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(100 * shared >= 75 * (len(p) + len(q) - shared) and shared > 0)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "h_a", "h_b").mapInArrow(run, "a long, b long").distinct()
+    return both.select("a", "b", "h_a", "h_b").mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
 def _labelled(postings: DataFrame, groups: DataFrame) -> DataFrame:
@@ -184,7 +175,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    sets = written(document_sets(docs, shingle_counts(docs)), "sets")
+    shared = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs))
+    sets = written(document_sets(docs, shared), "sets")
+    shared.destroy()  # the sets are written; workers need not keep the counters
     classes = written(sets.where("n > 0").groupBy("fp_a", "fp_b", "n").agg(F.min("doc_id").alias("class")), "classes")
     # Members of classes other than their representatives, and empty sets, take no part in the search.
     copies = written(sets.where("n > 0").select("doc_id", "fp_a", "fp_b", "n").join(classes, ["fp_a", "fp_b", "n"]).where("doc_id > class").select("doc_id").distinct(), "copies")
@@ -202,7 +195,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([x.tobytes() for _, x in shingle_sets(batch.column(1))], pa.binary())], ["doc_id", "hashes"])
 
-    own = written(docs.join(checked_broadcast(members, BROADCAST_ROWS), "doc_id", "left_semi").mapInArrow(hashed, "doc_id long, hashes binary"), "hashes")
+    own = written(docs.join(checked_broadcast(members, BROADCAST_ROWS), "doc_id", "left_semi").mapInArrow(trimmed(hashed), "doc_id long, hashes binary"), "hashes")
     tried: list[DataFrame] = []
     links: list[DataFrame] = []
 

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .shared import trimmed
 from .tokens import _arrays
 
 LIMIT = 2048
@@ -197,7 +198,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, limit: int = LIMIT, max_s
         packer.form(last=True)
         yield from rows()
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), SCHEMA)
 
 
 def word_vocabulary() -> str:

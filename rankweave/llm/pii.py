@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import trimmed
 from .tokens import text_chunks
 
 PRECISION = 0.97
@@ -272,7 +273,7 @@ def pii_spans(docs: DataFrame) -> DataFrame:
             types = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64()]
             yield pa.record_batch([batch.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
@@ -289,7 +290,7 @@ def redact_documents(docs: DataFrame) -> DataFrame:
                     new[row] = redact(text, model)
             yield batch.set_column(k, batch.schema.field(k), pa.array(new, old.type))
 
-    out = docs.mapInArrow(run, schema)
+    out = docs.mapInArrow(trimmed(run), schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in schema.fieldNames() else out
 
 

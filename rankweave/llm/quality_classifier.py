@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import trimmed
 from .tokens import SPACE, text_chunks, word_hashes, words
 from .toxicity import labelled_sample
 
@@ -141,7 +142,7 @@ def fit_classifier(sample: DataFrame) -> AttentionModel | float:
                 out += [x[a:b].astype(np.float32).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pa.record_batch([batch.column(1).cast(pa.int64()), batch.column(2), pa.array(out, pa.binary())], ["doc_id", "y", "bag"])
 
-    rows = sample.select("text", "doc_id", "y").mapInArrow(encode, "doc_id long, y int, bag binary").collect()  # FIT_ROWS at most
+    rows = sample.select("text", "doc_id", "y").mapInArrow(trimmed(encode), "doc_id long, y int, bag binary").collect()  # FIT_ROWS at most
     rows.sort(key=lambda r: (r.doc_id, bytes(r.bag)))
     y = np.array([r.y for r in rows], float)
     if len(set(y)) < 2:
@@ -168,7 +169,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train: Column | None = No
                     score, most = f["score"], np.maximum.reduceat(f["a"], cuts[:-1])
                 yield pa.record_batch([batch.column(0)[row:end], pa.array(score), pa.array(np.diff(cuts)), pa.array(most)], ["doc_id", "score", "n_passages", "attention"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, n_passages long, attention double")
+    scored = docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, score double, n_passages long, attention double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).select("doc_id", "score", "predicted", "n_passages", "attention")
 
 

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import trimmed
 from .tokens import CHUNK, LOWER, SPACE, mix, shingle_hashes, text_chunks, word_hashes, words
 
 #: Phrases of site furniture, matched in lower case.
@@ -144,7 +145,7 @@ def quality_rules(docs: DataFrame, *, long_line: int = 80, min_left: float = 0.5
                     columns.append(pa.array([b"\n".join(x).decode("utf-8", "replace") for x in lines], pa.string()))
                 yield pa.record_batch(columns, ["doc_id", *names, *["clean_text"] * with_text])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA + ", clean_text string" * with_text)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), SCHEMA + ", clean_text string" * with_text)
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
-import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +39,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def long_key(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+def trimmed(run):
+    """A map over Arrow batches after which the (reused) Python worker gives its free memory back to the machine."""
+
+    def inner(batches):
+        import ctypes
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return inner
 
 
 def crc_text(column: str) -> Column:

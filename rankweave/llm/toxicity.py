@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import trimmed
 from .tokens import _arrays
 
 #: Labelled rows that a fit uses at most, taken by the order of a hash of doc_id.
@@ -145,7 +146,7 @@ def fit_lexicon(sample: DataFrame) -> Lexicon:
     sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return Lexicon(dict((f" {k} ", v) for k, v in SEED.items()))
-    positive = sample.where("y = 1").select("text").mapInArrow(count, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+    positive = sample.where("y = 1").select("text").mapInArrow(trimmed(count), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
     floor = max(3, sizes[1] // 400)
     tried = [r.entry for r in positive.where(F.col("n") >= floor).orderBy(F.desc("n"), "entry").limit(20 * LEXICON).collect()]
     tried = list(dict.fromkeys([*tried, *(f" {x} " for x in SEED)]))
@@ -160,7 +161,7 @@ def fit_lexicon(sample: DataFrame) -> Lexicon:
                 n_words.append(folded.count(" ") if len(folded) > 1 else 0)
             yield pa.record_batch([batch.column(1).cast(pa.int64()), pa.array(n_words, pa.int64()), pa.array(rows, pa.list_(pa.int32()))], ["y", "n_words", "hits"])
 
-    seen = sample.select("text", "y").mapInArrow(hits, "y long, n_words long, hits array<int>")
+    seen = sample.select("text", "y").mapInArrow(trimmed(hits), "y long, n_words long, hits array<int>")
     # Aggregated first: what reaches the driver is two counts per candidate.
     by_entry = seen.select("y", F.explode("hits").alias("k")).groupBy("k").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q")).collect()
     weights = {}
@@ -196,7 +197,7 @@ def _measured(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                 ["doc_id", "total", "n_hits", "n_words", "score"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, total double, n_hits long, n_words long, score double")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, total double, n_hits long, n_words long, score double")
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> DataFrame:
