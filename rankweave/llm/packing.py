@@ -11,9 +11,11 @@ Null texts are empty: a document of one id, the end mark. Repeated rows are pack
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .shared import trimmed
-from .tokens import _arrays
+from .tokens import text_chunks, word_hashes, words
 
 LIMIT = 2048
 MAX_SEGMENTS = 64
@@ -29,54 +31,89 @@ END_ID = 1
 #: Waiting documents (by tokens) before sequences are formed: a choice of sizes at bounded memory.
 WAITING = 256 * LIMIT
 #: Entries of the word cache of a task.
-CACHE = 1_500_000
+CACHE = 600_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
 class WordEncoder:
-    """Ids of whole texts, word by word. The vocabulary drops white space, so words are independent of one another."""
+    """Ids of whole texts, each different word encoded once a task.
+
+    The vocabulary drops white space, so words are independent of one another. Words are told apart by a 64-bit hash;
+    new ones are encoded many at a time, apart by a mark that is a word of its own.
+    """
+
+    MARK = "\x01"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.mark = self._ids(self.MARK)[0]
         self.clear()
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def clear(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.ids, self.bounds, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
-
-    def _learn(self, unknown: list[bytes]) -> None:
-        encoded = [x.ids for x in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in unknown], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        flat = np.fromiter((i for x in encoded for i in x), np.uint32, int(lengths.sum()))
-        n, used = len(self.at), self.used
-        while len(self.ids) < used + len(flat):
+        self.keys, self.start, self.length, self.ids, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32), 0
+
+    def _learn(self, keys: np.ndarray, found: list[str]) -> None:
+        """Add words, whose hashes are sorted, to the sorted table."""
+        lengths, flat = [], []
+        parts = [found[at : at + 64] for at in range(0, len(found), 64)]
+        joined = [f" {self.MARK} ".join(x) for x in parts]
+        for part, encoded in zip(parts, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.array(encoded.ids, np.uint32)
+            marks = np.flatnonzero(ids == self.mark)
+            if len(marks) != len(part) - 1:  # a word holds the mark itself
+                own = [self._ids(x) for x in part]
+                lengths.append(np.array([len(x) for x in own]))
+                flat.append(np.array([i for x in own for i in x], np.uint32))
+                continue
+            lengths.append(np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1)
+            flat.append(np.delete(ids, marks))
+        length, new = np.concatenate(lengths), np.concatenate(flat)
+        while len(self.ids) < self.used + len(new):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while len(self.bounds) < n + len(unknown) + 1:
-            self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
-        self.ids[used : used + len(flat)] = flat
-        self.bounds[n + 1 : n + len(unknown) + 1] = used + np.cumsum(lengths)
-        self.at.update(zip(unknown, range(n, n + len(unknown)), strict=True))
-        self.used = used + len(flat)
-
-    def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        """The ids of each text, then the end mark."""
-        if len(self.at) > CACHE:
-            self.clear()
-        split = [x.split() for x in texts]
-        unknown = set().union(*split) - self.at.keys() if split else set()
-        if unknown:
-            self._learn(list(unknown))
-        for own in split:
-            at = np.fromiter(map(self.at.__getitem__, own), np.int64, len(own))
-            start, length = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
-            ends = np.cumsum(length)
-            total = int(ends[-1]) if len(own) else 0
-            out = np.full(total + 1, END_ID, np.uint32)
-            out[:total] = self.ids[np.arange(total) + np.repeat(start - (ends - length), length)]
-            yield out
+        self.ids[self.used : self.used + len(new)] = new
+        start = self.used + np.cumsum(length) - length
+        self.used += len(new)
+        at = np.searchsorted(self.keys, keys)
+        self.start, self.length, self.keys = np.insert(self.start, at, start), np.insert(self.length, at, length), np.insert(self.keys, at, keys)
+
+    def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+        """(row, ids with the end mark after them) of every text."""
+        for row, _, data, offsets in text_chunks(column):
+            if len(self.keys) > CACHE:
+                self.clear()
+            starts, ends, bounds = words(data, offsets)
+            keys, first, inverse = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+            at = np.searchsorted(self.keys, keys)
+            fresh = np.ones(len(keys), bool)
+            if len(self.keys):
+                fresh = self.keys[np.minimum(at, len(self.keys) - 1)] != keys
+            if fresh.any():
+                raw = data.tobytes()
+                self._learn(keys[fresh], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[fresh]].tolist(), ends[first[fresh]].tolist(), strict=True)])
+                at = np.searchsorted(self.keys, keys)
+            start, length = self.start[at][inverse], self.length[at][inverse]
+            before = np.concatenate([[0], np.cumsum(length)])
+            cuts = before[bounds]
+            owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            out = np.full(before[-1] + len(bounds) - 1, END_ID, np.uint32)
+            shift = np.repeat(start - before[:-1], length)
+            places = np.arange(before[-1])
+            out[places + np.repeat(owner, length)] = self.ids[places + shift]
+            for k in range(len(bounds) - 1):
+                yield row + k, out[cuts[k] + k : cuts[k + 1] + k + 1]
+
+
+@lru_cache(1)
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder a worker process, so later tasks find the words of earlier ones; its size is bounded by CACHE."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return WordEncoder(path)
 
 
 class Packer:
@@ -85,7 +122,7 @@ class Packer:
     def __init__(self, first_id: int, limit: int = LIMIT, max_segments: int = MAX_SEGMENTS, max_loss: int = LIMIT):
         self.limit, self.max_segments, self.max_loss = limit, max_segments, max_loss
         self.next_id, self.rows = first_id, []
-        self.waiting: dict[tuple[int, int], deque] = defaultdict(deque)  # by (tokens, loss): the demand vector
+        self.waiting: dict[int, deque] = defaultdict(deque)  # by the demand vector: tokens * 65536 + loss-bearing ones
         self.tokens = 0
 
     def add(self, doc, ids: np.ndarray, loss: int | None = None) -> None:
@@ -104,10 +141,10 @@ class Packer:
         return max(0, at + n - max(at, len(ids) - loss))
 
     def _wait(self, piece) -> None:
-        self.waiting[piece[3], self._loss(piece)].append(piece)
+        self.waiting[piece[3] << 16 | self._loss(piece)].append(piece)
         self.tokens += piece[3]
 
-    def _take(self, key: tuple[int, int]):
+    def _take(self, key: int):
         piece = self.waiting[key].popleft()
         if not self.waiting[key]:
             del self.waiting[key]
@@ -132,17 +169,15 @@ class Packer:
         room, left, loss = self.limit, self.max_segments, self.max_loss
         chosen = []
         while room and left and loss and self.waiting:
-            keys = np.array(list(self.waiting))
-            fits = (keys[:, 0] <= room) & (keys[:, 1] <= loss)
-            if left == 1:
-                fits &= keys[:, 0] == room
+            keys = np.fromiter(self.waiting, np.int64, len(self.waiting))
+            tokens, bearing = keys >> 16, keys & 65535
+            fits = (tokens == room if left == 1 else tokens <= room) & (bearing <= loss)
             if fits.any():
-                fit = keys[fits]
-                score = fit[:, 0] / self.limit * (room / self.limit) + left / self.max_segments**2 + fit[:, 1] / self.max_loss * (loss / self.max_loss)
-                piece = self._take(tuple(map(int, fit[np.argmax(score)])))
+                score = tokens / self.limit * (room / self.limit) + left / self.max_segments**2 + bearing / self.max_loss * (loss / self.max_loss)
+                piece = self._take(int(keys[np.argmax(np.where(fits, score, -1.0))]))
             else:
                 # Nothing fits whole: the largest is cut at what is left of the tighter limit.
-                piece = self._take(tuple(map(int, keys[np.argmax(keys[:, 0])])))
+                piece = self._take(int(keys[np.argmax(tokens)]))
                 n = min(room, piece[3])
                 over = self._loss((*piece[:3], n, piece[4])) - loss
                 if over >= n:
@@ -176,7 +211,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, limit: int = LIMIT, max_s
     """Pieces of every row of ``docs`` (doc_id, text) with their place; ``tokenizer`` is a vocabulary file's path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = word_encoder(tokenizer)
         packer = Packer(TaskContext.get().partitionId() << 40, limit, max_segments, limit)
 
         def rows() -> Iterator[pa.RecordBatch]:
@@ -187,14 +222,12 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, limit: int = LIMIT, max_s
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for base, part in _arrays(batch.column(1)):
-                for at in range(0, len(part), 256):
-                    texts = [x.as_buffer().to_pybytes() if x.as_buffer() else b"" for x in part[at : at + 256]]
-                    for k, tokens in enumerate(encoder.encode(texts)):
-                        packer.add(ids[base + at + k], tokens)
+            for row, tokens in encoder.encode(batch.column(1)):
+                packer.add(ids[row], tokens)
+                if packer.tokens >= 2 * WAITING:
                     packer.form()
-                    if len(packer.rows) > 4096:
-                        yield from rows()
+                if len(packer.rows) > 4096:
+                    yield from rows()
         packer.form(last=True)
         yield from rows()
 
