@@ -34,7 +34,7 @@ from .shared import checked_broadcast, small_batches, trimmed, written
 from .tokens import LOWER, shingle_hashes, shingle_sets, text_chunks, word_hashes, words
 
 #: log2 of the number of counters (4 bytes each) that order the shingles; their size does not depend on the data.
-BUCKET_BITS = 22
+BUCKET_BITS = 20
 BLOCKS = 64
 #: Ranges of the hash space whose set sizes the suffix filter compares.
 RANGES = 32
@@ -76,7 +76,7 @@ def shingle_counts(docs: DataFrame) -> np.ndarray:
     # Salted first, so no task gets more than a share of the many partial tables of one block.
     partial = per_task.withColumn("salt", F.spark_partition_id() % 16).groupBy("block", "salt").applyInArrow(add, schema)
     out = np.zeros(1 << BUCKET_BITS, np.uint32)
-    for block, packed in partial.groupBy("block").applyInArrow(add, schema).collect():  # 16 MB at most, at any input size
+    for block, packed in partial.groupBy("block").applyInArrow(add, schema).collect():  # 4 MB at most, at any input size
         out[block * width : (block + 1) * width] = np.frombuffer(pa.decompress(bytes(packed), 4 * width, "zstd", asbytes=True), np.uint32)
     return out
 

@@ -79,12 +79,13 @@ def judge(data: np.ndarray, offsets: np.ndarray, long_line: int, min_left: float
     del size
 
     feeds = np.flatnonzero(data == 10)
-    line_start = np.sort(np.concatenate([offsets[:-1], feeds + 1]), kind="stable")
-    # A feed at the very end of a document starts an (empty) line of that document, just before the next one's first.
-    line_owner = np.cumsum(np.bincount(np.searchsorted(line_start, offsets[:-1], "right") - 1, minlength=len(line_start))) - 1 if n_docs else np.zeros(0, np.int64)
-    line_end = np.minimum(np.concatenate([line_start[1:], [len(data)]]), offsets[1:][line_owner]) if n_docs else np.zeros(0, np.int64)
-    fed = (line_end > line_start) & (data[np.maximum(line_end - 1, 0)] == 10) if len(data) else np.zeros(len(line_start), bool)
-    line_end = line_end - fed
+    line_start = np.concatenate([offsets[:-1], feeds + 1])
+    line_owner = np.concatenate([np.arange(n_docs), np.searchsorted(offsets, feeds, "right") - 1])
+    # A feed at the very end of a document starts an empty line of that document, before the next one's first line.
+    order = np.lexsort((line_owner, line_start))
+    line_start, line_owner = line_start[order], line_owner[order]
+    until = np.concatenate([feeds, [len(data)]])
+    line_end = np.minimum(until[np.searchsorted(feeds, line_start)], offsets[1:][line_owner])
     w0, w1 = np.searchsorted(starts, line_start), np.searchsorted(starts, line_end)
     count = w1 - w0
     has = count > 0

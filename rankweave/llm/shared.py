@@ -59,6 +59,6 @@ def crc_text(column: str) -> Column:
     return F.crc32(F.col(column).cast("string"))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Arrow batches of few rows: with long texts their bytes, in the JVM and in Python, are what fills an executor."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -1,0 +1,265 @@
+"""Each operator against a plain Python version on a small fixture with nulls, empty and long texts, ties and repeats."""
+
+import hashlib
+import math
+import random
+import re
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from rankweave.llm import chat_format, decontamination, html_extraction, jaccard_join, lm_scoring, packing, pii, quality_classifier, quality_rules, toxicity
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, score double"
+
+
+def corpus():
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("abcdefghiéß") for _ in range(rng.randint(1, 7))) for _ in range(300)]
+    sentence = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n)).capitalize() + "."
+    texts = [None, "", "  \n\t ", "one", "ONE", "a b c d", "x" * 3000, " | ".join(vocabulary[:40]), "é　ß a b c d e f"]
+    texts += ["\n".join(sentence(rng.randint(3, 30)) for _ in range(rng.randint(1, 8))) for _ in range(60)]
+    base = sentence(80).split()
+    for k in range(40):
+        copy = list(base)
+        for _ in range(k % 7):
+            copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+        texts.append(" ".join(copy))
+    texts += [texts[20]] * 5 + ["\n".join([sentence(12)] * 6)]
+    texts += ["mail a.b@c-d.example and 10.0.0.1 999.1.1.1 1.2.3.4.5.6.7.8 4111 1111 1111 1111 +1 (212) 555-1234 x@y.zz@q.rr password=a1b2c3d4e5f6a7b8c9"]
+    return list(enumerate(texts))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(i, t, "en", 1.0) for i, t in corpus()], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def shingle_set(text):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def test_quality_rules(docs, empty):
+    texts = dict(corpus())
+    for r in quality_rules.quality_rules(docs, with_text=True).collect():
+        x = texts[r.doc_id] or ""
+        w = WORD.findall(x)
+        lines = [y for y in x.split("\n") if WORD.search(y)]
+        windows = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        covered = {i + k for i in range(len(w) - 2) if windows[tuple(w[i : i + 3])] > 1 for k in range(3)}
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", x)), len(lines) - len(set(lines)), len(covered))
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and not (r.kept and r.base_failed)
+        assert set(r.clean_text.split("\n")) <= set(x.split("\n")) | {""}
+    assert quality_rules.quality_rules(empty).count() == 0
+
+
+def test_quality_rules_judges_lines(spark):
+    rng = random.Random(1)
+    good = "\n".join(" ".join("".join(rng.choice("abcdefghi") for _ in range(6)) for _ in range(12)) + "." for _ in range(8))
+    rows = [(1, good), (2, good + "\nHome | News | Sport | About | Contact\nAll rights reserved\n### $$$ %%% &&&"), (3, "\n".join(f"buy {k} | now | here | more | click" for k in range(20)))]
+    out = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()}
+    assert out[1].kept and out[2].kept and out[2].clean_text == good and not out[3].kept
+
+
+def test_jaccard_components(docs, empty):
+    texts = dict(corpus())
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs).collect()}
+    assert got == {i: (len(s), root(i)) for i, s in sets.items()}
+    assert jaccard_join.jaccard_components(empty).count() == 0
+
+
+def test_salted_lists_join(docs, monkeypatch):
+    plain = {tuple(r) for r in jaccard_join.jaccard_components(docs).collect()}
+    monkeypatch.setattr(jaccard_join, "LIST_ROWS", 3)
+    assert {tuple(r) for r in jaccard_join.jaccard_components(docs).collect()} == plain
+
+
+def test_packing_round_trip(docs, empty):
+    from tokenizers import Tokenizer
+
+    path = packing.word_vocabulary()
+    tokenizer, texts = Tokenizer.from_file(path), dict(corpus())
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in packing.pack_documents(docs, path, limit=256, max_segments=8).collect():
+        by_doc[r.doc_id].append(r)
+        by_sequence[r.sequence_id].append(r)
+    assert set(by_doc) == set(texts)
+    for i, rows in by_doc.items():
+        ids, at = [*tokenizer.encode(texts[i] or "", add_special_tokens=False).ids, 1], 0
+        for r in sorted(rows, key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(struct.pack(f"<{r.length}I", *ids[at : at + r.length]))
+            at += r.length
+        assert at == len(ids)
+    for rows in by_sequence.values():
+        rows.sort(key=lambda r: r.offset)
+        assert [r.offset for r in rows] == [sum(x.length for x in rows[:k]) for k in range(len(rows))] and sum(r.length for r in rows) <= 256 and len(rows) <= 8
+    assert packing.pack_documents(empty, path).count() == 0
+
+
+def test_packer_keeps_all_limits():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    packer = packing.Packer(0, limit=64, max_segments=4, max_loss=20)
+    total = 0
+    for k in range(300):
+        n = int(rng.integers(1, 90))
+        total += n
+        packer.add(k, np.arange(n, dtype=np.uint32), loss=int(rng.integers(0, n + 1)))
+    packer.form(last=True)
+    sums = defaultdict(lambda: [0, 0, 0])
+    for _, _, n, _, _, s, _, loss in packer.rows:
+        sums[s] = [sums[s][0] + n, sums[s][1] + 1, sums[s][2] + loss]
+    assert sum(x[0] for x in sums.values()) == total and all(a <= 64 and b <= 4 and c <= 20 for a, b, c in sums.values())
+
+
+def test_pii_base_spans(docs, empty):
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def good(kind, x):
+        digits = re.sub(r"\D", "", x)
+        if kind == "ip":
+            return all(int(p) <= 255 for p in x.split("."))
+        return kind == "email" or (kind == "phone" and 9 <= len(digits) <= 15) or (kind == "card" and 12 <= len(digits) <= 19 and pii.luhn(digits))
+
+    texts = dict(corpus())
+    for r in pii.pii_spans(docs).collect():
+        x = texts[r.doc_id] or ""
+        spans = sorted((m.start(), list(patterns).index(k), f"{k}:{m.start()}:{m.end()}") for k, p in patterns.items() for m in re.finditer(p, x) if good(k, m[0]))
+        assert r.base_sha256 == hashlib.sha256(",".join(s for _, _, s in spans).encode()).hexdigest()
+        assert {s for _, _, s in spans} <= set(r.spans.split(",")) | {""}
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
+    assert pii.redact("write to a@b.cc or password=a1b2c3d4e5f6a7b8c9") == "write to [EMAIL] or [SECRET]"
+    assert pii.redact_documents(docs).count() == docs.count() and pii.redact_documents(docs).schema == docs.schema
+    assert pii.pii_spans(empty).count() == 0
+
+
+def test_lm_base_and_distribution(docs, empty):
+    texts = dict(corpus())
+    tokens = {i: [*WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), x or "")), None] for i, x in texts.items()}
+    held = {i for i in texts if zlib.crc32(str(i).encode()) % 7 == 2}
+    counts = Counter(w for i, x in tokens.items() if i not in held for w in x)
+    n, v = sum(counts.values()), len(counts)
+    got = {r.doc_id: r for r in lm_scoring.lm_scores(docs, F.crc32(F.col("doc_id").cast("string")) % 7 != 2).collect()}
+    assert set(got) == set(texts)
+    for i, x in tokens.items():
+        r = got[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(x), sum(counts[w] > 0 for w in x), n)
+        assert math.isclose(r.base_score, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in x), rel_tol=1e-9) and r.score < 0
+    assert lm_scoring.lm_scores(empty, F.lit(True)).count() == 0
+
+
+def test_lm_histories_sum_to_one(docs):
+    import numpy as np
+
+    model, counts, n, v = lm_scoring.train(docs.select("text"))
+    all_words = np.array([r.h for r in counts.collect()], np.int64).view(np.uint64)
+    for first in model.words[:: max(1, len(model.words) // 7)]:
+        total = 0.0
+        for w in all_words:
+            weight, ids = model.traverse(np.array([first, w]), np.array([0, 2]))
+            rare = 0 if ids[1] >= 0 else math.log10(counts.where(F.col("h") == int(w.view(np.int64))).first().c + 1) - model.norm
+            total += 10 ** (weight[1] + rare)
+        assert total + 10 ** (-model.norm) <= 1 + 1e-6 and total > 0.9
+        break
+
+
+def test_decontamination(spark, docs, empty):
+    texts = dict(corpus())
+    items = [(1, texts[12]), (2, texts[13].split("\n")[0]), (3, None), (4, ""), (5, "a b c d"), (6, texts[14] + " " + "z " * 50)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    want = set()
+    for item, t in items:
+        own = shingle_set(t)
+        want |= {(i, item) for i, x in texts.items() if own and len(own & shingle_set(x)) >= 0.75 * len(own)}
+    assert {(r.doc_id, r.item_id) for r in decontamination.contamination(docs, table).collect()} == want
+    left = decontamination.decontaminate(docs, table)
+    assert {r.doc_id for r in left.collect()} == set(texts) - {i for i, _ in want} and left.columns == docs.columns
+    assert decontamination.contamination(empty, table).count() == 0 and decontamination.contamination(docs, table.limit(0)).count() == 0
+
+
+def test_chat_rotation(spark):
+    rows = [(1, 0, "system", "Be kind."), (1, 1, "ann", "Hi"), (1, 2, "bob", "Héllo"), (1, 2, "bob", "Héllo"), (1, 3, None, None), (2, 0, "system", "only"), (3, None, "ann", "x")]
+    out = {(r.conv_id, r.speaker): r for r in chat_format.rotate_perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert set(out) == {(1, "ann"), (1, "bob"), (1, "unknown"), (3, "ann")}
+    r = out[1, "bob"]
+    spans = list(zip(map(int, r.mask_starts.split(",")), map(int, r.mask_ends.split(",")), strict=True))
+    assert [r.text[a:b] for a, b in spans] == ["Héllo", "Héllo"] and "<|user name=ann|>\nHi\n" in r.text and r.text.startswith("<|system|>\n") and r.n_loss_chars == 10
+    assert out[1, "unknown"].mask_starts == out[1, "unknown"].mask_ends
+
+
+def test_html(spark):
+    page = "<!DOCTYPE html><html><head><title>T</title><script>x='<p>no'</script></head><body><nav><li>menu</li></nav><div class='ad'>buy</div>{}<footer>&copy; f</footer>"
+    body = "<article><h1>Head &amp; more</h1><p>One  <b>two</b>\nthree<p>four</article>"
+    rows = [(1, "http://a.b/1", page.format(body)), (2, "http://a.b/2", page.format("<article><h1>H</h1><p>x</p><p>y</p><p>z</p></article><div class='comments'><p>troll</p></div>")), (3, None, None), (4, "http://c.d", "<div><p>plain</p><p>text</p></div><form>f</form>"), (5, "http://a.b/5", "")]
+    out = {r.page_id: r.text for r in html_extraction.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {1: "Head & more\nOne two three\nfour", 2: "H\nx\ny\nz", 3: "", 4: "plain\ntext", 5: ""}
+    assert html_extraction.fold_repeats(["a", "b", "a", "b", "c"]) == [("+", ("a", "b")), "c"]
+
+
+def labelled(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxy") for _ in range(6))
+    rows = []
+    for k in range(400):
+        words = [word() for _ in range(60)]
+        if k % 4 == 0:
+            words[7:7] = [rng.choice(["zorgon", "Z0RGON", "zоrgon"])] * 2
+        if k % 3 == 0:
+            words = [w + "%%%" for w in words]
+        rows.append((k, " ".join(words) + "."))
+    labels = [(k, int(k % 3 != 0), int(k % 4 == 0)) for k in range(400)]
+    return spark.createDataFrame([*rows, (900, None), (901, "")], "doc_id long, text string"), spark.createDataFrame([*labels, (None, 1, 1), (5000, None, None)], "doc_id long, quality int, toxic int")
+
+
+def test_classifiers_on_held_out_rows(spark, empty):
+    docs, labels = labelled(spark)
+    train = F.col("doc_id") % 5 != 0
+    for scores, column in ((toxicity.toxicity_scores(docs, labels, train), "toxic"), (quality_classifier.quality_scores(docs, labels, train), "quality")):
+        rows = scores.join(labels, "doc_id", "left").collect()
+        held = [r for r in rows if r.doc_id % 5 == 0 and r[column] is not None]
+        assert len(rows) == 402 and all(0 <= r.score <= 1 for r in rows)
+        assert sum(r.predicted == r[column] for r in held) >= 0.95 * len(held)
+    assert toxicity.toxicity_scores(empty, labels).count() == 0 and quality_classifier.quality_scores(docs, labels.limit(0)).count() == 402
+    assert toxicity.fold("You ID10T!") == " you idiot" and toxicity.Lexicon({" trash ": 2.0}).measure(toxicity.Lexicon({" trash ": 2.0}).matcher(), " a trash can ")[1] == 0
+
+
+def test_attention_gradient():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    model, cuts, y = quality_classifier.AttentionModel(), np.array([0, 2, 3, 6]), np.array([1.0, 0.0, 1.0])
+    x = rng.normal(size=(6, quality_classifier.N_FEATURES))
+    loss = lambda: -np.mean(y * np.log(model.forward(x, cuts)["score"]) + (1 - y) * np.log(1 - model.forward(x, cuts)["score"]))
+    for name, g in model.gradient(model.forward(x, cuts), y).items():
+        at = tuple(0 for _ in g.shape)
+        model.p[name][at] += 1e-5
+        up = loss()
+        model.p[name][at] -= 2e-5
+        down = loss()
+        model.p[name][at] += 1e-5
+        assert abs((up - down) / 2e-5 - g[at]) < 1e-6
