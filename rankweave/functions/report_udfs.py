@@ -13,11 +13,15 @@ from . import claims
 CLAIM = "struct<claim_id string, finding string, `start` int, `end` int, claim_text string, sentence_start int, sentence_end int, sentence_text string, polarity string, eligible boolean, skip_reason string, laterality string, region string>"
 
 
-@F.udf(f"array<{CLAIM}>", useArrow=True)
-def claims_of(text: str):
+def _claims_of(text: str):
     return [tuple(c.values()) for c in claims.analyse(text)[0]] if text else []
 
 
+def claims_of(text: Column) -> Column:
+    """The claims of a text as an array; the UDF is made on use, as its type needs a session."""
+    return F.udf(_claims_of, f"array<{CLAIM}>", useArrow=True)(text)
+
+
 def extract_claims(reports: DataFrame, key: str, text: str) -> DataFrame:
     """(key, claim fields) for every mention; texts that cannot hold one never reach Python."""
     able = reports.where(F.col(text).rlike(claims.PREFILTER)).select(key, F.explode(claims_of(F.col(text))).alias("c"))
