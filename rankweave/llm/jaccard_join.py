@@ -9,11 +9,11 @@ Two documents link when their sets of distinct 5-word shingles have Jaccard simi
    n - ceil(3n/4) + 1 shingles. Those become postings (shingle, document, n, position).
 4. Within a posting list, documents in pseudo-random order are compared with their neighbours only, so a list of m
    documents gives m - 1 pairs. Each pair passes the length and positional filters, is made distinct, passes the suffix
-   filter (set sizes within ranges of the hash space bound the overlap) and is verified once on whole sets.
-5. What the neighbours joined is one component. In lists that still hold several, one document of each component is
-   compared again in a new order until nothing joins; at last every pair of documents of different components in one
-   list is compared. So no link between different components is missed, while a group of thousands of near copies costs
-   pairs in proportion to its size. Lists of very common shingles are salted; the second step joins the salts.
+   filter (the parities of set sizes within ranges of the hash space bound the overlap) and is verified once on whole sets.
+5. What the neighbours joined is one component. In lists of three and more that still hold several (in a list of two the
+   only pair was compared), every pair of documents of different components that passes the three filters is compared.
+   So no link between different components is missed, while a group of thousands of near copies costs pairs in
+   proportion to its size. Lists of very common shingles are salted; this last step joins the salts.
 
 Null texts and texts without words have an empty set and link with nothing. Repeated rows of one doc_id act as one
 document. Other columns are ignored.
@@ -36,16 +36,15 @@ from .tokens import LOWER, shingle_hashes, shingle_sets, text_chunks, word_hashe
 #: log2 of the number of counters (4 bytes each) that order the shingles; their size does not depend on the data.
 BUCKET_BITS = 20
 BLOCKS = 64
-#: Ranges of the hash space whose set sizes the suffix filter compares.
-RANGES = 32
+#: Ranges of the hash space whose set sizes, odd or even, the suffix filter compares; one bit each.
+RANGES = 512
 #: A posting list is salted beyond about so many rows.
 LIST_ROWS = 50_000
 #: Rows of (doc_id) that may be broadcast, 16 bytes each.
 BROADCAST_ROWS = 2_000_000
 PAIR_ROWS = 500_000
-ROUNDS = 4
 
-_SET_SCHEMA = "doc_id long, n long, fp_a long, fp_b long, sizes array<int>, keys array<long>, salts array<int>"
+_SET_SCHEMA = "doc_id long, n long, fp_a long, fp_b long, bits array<long>, keys array<long>, salts array<int>"
 
 
 def shingle_counts(docs: DataFrame) -> np.ndarray:
@@ -82,7 +81,7 @@ def shingle_counts(docs: DataFrame) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, shared) -> DataFrame:
-    """Per document: set size, fingerprint of the whole set, sizes by range and the rare-first prefix.
+    """Per document: set size, fingerprint of the whole set, parities by range and the rare-first prefix.
 
     ``shared``: the broadcast counters.
     """
@@ -94,7 +93,7 @@ def document_sets(docs: DataFrame, shared) -> DataFrame:
         for batch in batches:
             ids = batch.column(0)
             rows: list[list] = [[], [], [], []]
-            sizes, keys, salts, ends = [], [], [], [0]
+            bits, keys, salts, ends = [], [], [], [0]
             for _, own in shingle_sets(batch.column(1)):
                 n = len(own)
                 bucket = own >> shift
@@ -102,7 +101,7 @@ def document_sets(docs: DataFrame, shared) -> DataFrame:
                 rows[0].append(n)
                 rows[1].append(own.sum(dtype=np.uint64))
                 rows[2].append(((own ^ (own >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).sum(dtype=np.uint64))
-                sizes.append(np.bincount((own >> cut).astype(np.int64), minlength=RANGES))
+                bits.append(np.packbits(np.bincount((own >> cut).astype(np.int64), minlength=RANGES).astype(np.uint8) & 1).view(np.int64))
                 keys.append(own[order])
                 salts.append(1 + table[bucket[order]] // LIST_ROWS)
                 ends.append(ends[-1] + len(order))
@@ -111,10 +110,10 @@ def document_sets(docs: DataFrame, shared) -> DataFrame:
             yield pa.record_batch(
                 [
                     ids, pa.array(rows[0], pa.int64()), pa.array(np.array(rows[1], np.uint64).view(np.int64)), pa.array(np.array(rows[2], np.uint64).view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * RANGES, pa.int32()), pa.array(flat(sizes, np.int32))),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * (RANGES // 64), pa.int32()), pa.array(flat(bits, np.int64))),
                     pa.ListArray.from_arrays(at, pa.array(flat(keys, np.uint64).view(np.int64))), pa.ListArray.from_arrays(at, pa.array(flat(salts, np.int32))),
                 ],
-                ["doc_id", "n", "fp_a", "fp_b", "sizes", "keys", "salts"],
+                ["doc_id", "n", "fp_a", "fp_b", "bits", "keys", "salts"],
             )
 
     return docs.select("doc_id", "text").mapInArrow(trimmed(run), _SET_SCHEMA)
@@ -125,6 +124,12 @@ def _reach(a: str, b: str) -> F.Column:
     return F.expr(f"ceil(3 * ({a} + {b}) / 7.0D)")
 
 
+def _alike() -> F.Column:
+    """Suffix filter: ranges with an odd difference are no more than all differences, of which a link bounds the number."""
+    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(RANGES // 64)))
+    return apart <= F.col("n_a") + F.col("n_b") - 2 * _reach("n_a", "n_b")
+
+
 def _filtered(pairs: DataFrame) -> DataFrame:
     """Length and positional filters on (a, n_a, pos_a, b, n_b, pos_b)."""
     near = F.expr("100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)")
@@ -140,13 +145,22 @@ def _neighbours(postings: DataFrame, by: list[str], seed: int) -> DataFrame:
     return _filtered(last.where("doc_id_b IS NOT NULL AND doc_id_b <> doc_id").selectExpr("doc_id AS a", "n AS n_a", "pos AS pos_a", "doc_id_b AS b", "n_b", "pos_b"))
 
 
-def _verified(pairs: DataFrame, info: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs that pass the suffix filter and have a similarity of 0.75 on their whole sets."""
-    side = lambda c: info.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sizes").alias(f"s_{c}"))
-    apart = F.expr("aggregate(zip_with(s_a, s_b, (x, y) -> abs(x - y)), 0, (t, x) -> t + x)")
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= F.col("n_a") + F.col("n_b") - 2 * _reach("n_a", "n_b")).select("a", "b")
+def _hashes(docs: DataFrame) -> DataFrame:
+    """(doc_id, hashes): each document's whole set, sorted, as bytes."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), pa.array([x.tobytes() for _, x in shingle_sets(batch.column(1))], pa.binary())], ["doc_id", "hashes"])
+
+    return docs.mapInArrow(trimmed(hashed), "doc_id long, hashes binary")
+
+
+def _verified(likely: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs that have a similarity of 0.75 on their whole sets; only the documents of pairs are read into sets."""
     # Beside a broadcast of the (few) likely pairs, only the sets of their documents move.
-    near = checked_broadcast(written(likely, "likely"), PAIR_ROWS)
+    near = checked_broadcast(likely, PAIR_ROWS)
+    ends = written(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
+    sets = written(_hashes(docs.join(checked_broadcast(ends, BROADCAST_ROWS), "doc_id", "left_semi")), "hashes")
     own = lambda c: sets.withColumnRenamed("doc_id", c).withColumnRenamed("hashes", f"h_{c}").join(near, c)
     both = own("a").join(own("b"), ["a", "b"])
 
@@ -167,7 +181,7 @@ def _verified(pairs: DataFrame, info: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _labelled(postings: DataFrame, groups: DataFrame) -> DataFrame:
     """Postings with the component of their document, only in lists that hold more than one component."""
-    with_group = postings.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    with_group = written(postings.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "labelled")
     return with_group.join(with_group.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key"), "key")
 
 
@@ -184,43 +198,26 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     lone = sets.where("n > 0").join(checked_broadcast(copies, BROADCAST_ROWS), "doc_id", "left_anti")
     entry = F.posexplode(F.arrays_zip("keys", "salts"))
     postings = lone.select("doc_id", "n", entry.alias("pos", "entry")).selectExpr("doc_id", "n", "pos", "entry.keys AS key", "CAST(IF(entry.salts > 1, 1 + pmod(xxhash64(doc_id), entry.salts), 0) AS INT) AS salt")
-    # A list of one document is dropped here; all that follows works on lists of two and more.
+    # A list of one document is dropped here; all that follows works on lists of two and more, ``wide`` on three and more.
     whole = Window.partitionBy("key", "salt").orderBy("doc_id")
-    dealt = postings.repartition("key", "salt").select("*", F.lag("doc_id").over(whole).alias("before"), F.lead("doc_id").over(whole).alias("after"))
-    lists = written(dealt.where("before IS NOT NULL OR after IS NOT NULL OR salt > 0").drop("before", "after"), "lists")
+    dealt = postings.repartition("key", "salt").select("*", *(F.lag("doc_id", k).over(whole).alias(f"at_{k + 2}") for k in (-2, -1, 1, 2)))
+    wide = F.expr("salt > 0 OR (at_1 IS NOT NULL AND at_3 IS NOT NULL) OR at_0 IS NOT NULL OR at_4 IS NOT NULL")
+    lists = written(dealt.where("at_1 IS NOT NULL OR at_3 IS NOT NULL OR salt > 0").select("doc_id", "n", "pos", "key", "salt", wide.alias("wide")), "lists")
     members = written(lists.select("doc_id").distinct(), "members")
-    info = lone.join(checked_broadcast(members, BROADCAST_ROWS), "doc_id", "left_semi").select("doc_id", "n", "sizes").dropDuplicates(["doc_id"])
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([x.tobytes() for _, x in shingle_sets(batch.column(1))], pa.binary())], ["doc_id", "hashes"])
-
-    own = written(docs.join(checked_broadcast(members, BROADCAST_ROWS), "doc_id", "left_semi").mapInArrow(trimmed(hashed), "doc_id long, hashes binary"), "hashes")
-    tried: list[DataFrame] = []
-    links: list[DataFrame] = []
-
-    def verify(pairs: DataFrame) -> int:
-        fresh = written(reduce(lambda x, y: x.join(y, ["a", "b"], "left_anti"), tried, pairs), "pairs")
-        tried.append(fresh)
-        links.append(written(_verified(fresh, info, own), "links"))
-        return links[-1].count()
-
-    def joined(groups: DataFrame | None = None) -> DataFrame:
-        fresh = links[-1].selectExpr("a AS u", "b AS v")
-        return connected_components(fresh if groups is None else fresh.unionByName(groups.selectExpr("node AS u", "component AS v")))
-
-    verify(_neighbours(lists, ["key", "salt"], 0))
-    groups = joined()
-    for seed in range(1, ROUNDS):
-        one = _labelled(lists, groups).groupBy("key", "component").agg(F.min_by(F.struct("doc_id", "n", "pos"), F.xxhash64("doc_id", F.lit(seed))).alias("r"))
-        if not verify(_neighbours(one.select("key", "r.doc_id", "r.n", "r.pos"), ["key"], seed)):
-            break
-        groups = joined(groups)
-    rest = written(_labelled(lists, groups), "rest")
-    left, right = (rest.select("key", "component", F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("pos").alias(f"pos_{c}")) for c in "ab")
-    cross = left.join(right.withColumnRenamed("component", "other"), "key").where("component < other AND 100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)")
-    if verify(_filtered(cross)):
-        groups = joined(groups)
+    bits = written(lone.join(checked_broadcast(members, BROADCAST_ROWS), "doc_id", "left_semi").select("doc_id", "n", "bits").dropDuplicates(["doc_id"]), "bits")
+    side = lambda c: bits.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+
+    first = written(_neighbours(lists, ["key", "salt"], 0), "pairs")
+    likely = written(first.join(side("a"), "a").join(side("b"), "b").where(_alike()).select("a", "b"), "likely")
+    links = written(_verified(likely, docs), "links").selectExpr("a AS u", "b AS v")
+    groups = connected_components(links)
+    rest = written(_labelled(lists.where("wide").select("doc_id", "n", "pos", "key"), groups).join(bits.select("doc_id", "bits"), "doc_id"), "rest")
+    left, right = (rest.select("key", "component", F.col("doc_id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "pos", "bits"))) for c in "ab")
+    near = F.expr("component < other AND 100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)")
+    cross = _filtered(left.join(right.withColumnRenamed("component", "other"), "key").where(near & _alike()))
+    more = written(_verified(written(cross.join(likely, ["a", "b"], "left_anti"), "likely"), docs), "links")
+    if not more.isEmpty():
+        groups = connected_components(more.selectExpr("a AS u", "b AS v").unionByName(groups.selectExpr("node AS u", "component AS v")))
     named = sets.select("doc_id", "n", "fp_a", "fp_b").join(classes, ["fp_a", "fp_b", "n"], "left").join(groups.withColumnRenamed("node", "class"), "class", "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class", "doc_id").alias("component_id"))
 
