@@ -226,3 +226,24 @@ def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
     from .shared import table
 
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+#: The same rows from all pairs that share a shingle; reachability links them.
+ORACLE_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i : array_to_string(w[i:i + 4], ' '))) END AS s FROM worded
+), entries AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS h FROM sets
+), links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM entries x JOIN entries y ON x.h = y.h AND x.doc_id < y.doc_id
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))
+), both_ways AS (
+  SELECT a AS u, b AS v FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id, doc_id AS c FROM sets UNION SELECT r.doc_id, e.v FROM reach r JOIN both_ways e ON r.c = e.u
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.c) AS component_id FROM sets s JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id, len(s.s)
+"""

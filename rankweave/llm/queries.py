@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination
+from . import chat_format, decontamination, jaccard_join
 from .chat_format import op10_chat_format
 from .decontamination import op7_decontamination
 from .html_extraction import op6_html_extraction
@@ -18,4 +18,4 @@ _FUNCTIONS = (
     op1_quality_rules, op2_toxicity, op3_pii, op4_packing, op5_quality_classifier, op6_html_extraction, op7_decontamination, op8_jaccard_join, op9_lm_scoring, op10_chat_format,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
-ORACLE_SQL: dict[str, str] = {"op7_decontamination": decontamination.ORACLE_SQL, "op10_chat_format": chat_format.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_decontamination": decontamination.ORACLE_SQL, "op8_jaccard_join": jaccard_join.ORACLE_SQL, "op10_chat_format": chat_format.ORACLE_SQL}
