@@ -1,36 +1,48 @@
 """Language-model scores by a weighted backoff automaton.
 
-Tokens are lower-cased words and one end mark a document. Word counts are exact, over all training documents. N-grams of
-two and three words become states when their relative frequency reaches ``SHARE``; as relative frequencies add up to
-one, at most 1 / SHARE of each order can exist, at any input size: that bound is what allows the automaton to be
-broadcast. Probabilities are discounted (absolute discounting), what is left goes to the shorter history through the
-state's failure arc, and the empty history has the add-one word distribution, so the whole is a proper distribution.
-
-A document is traversed once from left to right: the state is the longest history that is one; a word without an arc
-follows failure arcs, adding their weights, until there is one. Words under SHARE have arcs at the empty history only;
-their counts grow with the corpus and are joined to the documents that use them, not broadcast.
+Tokens are lower-cased words and one end mark a document. States are all histories of one and two words of the training
+documents, arcs all their words, pairs and triples: nothing is left out by its count. Absolute discounting, interpolated:
+the arc of word w at state h weighs (c(hw) - D) / c(h) plus the failure weight D * followers(h) / c(h) times w's weight
+at the shorter history, which a word without an arc gets alone. The empty history has the add-one word distribution, so
+the whole is a proper distribution. Before a document's first word stands the end mark.
+
+Nothing that grows with the input is broadcast or meets in one task. Documents are dealt to folds of about two million
+tokens. In three rounds (triples, pairs, words) each fold sends its distinct n-grams with their training counts to parts
+of the hash space, and each part answers every fold with the whole counts, in the order sent. One of the folds that
+trained an n-gram is told that it owns it, and in the next round it adds one to its history's followers. At last each
+fold scores its documents from the answers. A very common n-gram is one entry a fold; the number of parts grows with the
+bytes of text.
 
 Null texts are empty: one end mark. Without training documents every probability is 1 / (0 + 0 + 1). Repeated rows are
 scored one by one; a null doc_id is training data; other columns are ignored.
+
+``Automaton`` and ``train`` hold a model of frequent n-grams in memory; the scores do not use them.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import trimmed, written
-from .tokens import LOWER, text_chunks, word_hashes, words
+from .tokens import _STEP, LOWER, mix, text_chunks, word_hashes, words
 
 SHARE = 2e-6
 DISCOUNT = 0.6
 #: Tokens that a task holds before it counts them.
 HELD = 1 << 20
 END = np.uint64(0x1D8AF066E5C5B0AB)
+#: Bytes of text to a part of the hash space.
+PART_BYTES = 4 << 20
+#: Tokens of a fold.
+FOLD = 1 << 21
 
 
 def token_stream(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -196,51 +208,210 @@ def train(docs: DataFrame) -> tuple[Automaton, DataFrame, int, int]:
     return model, counts, n, v
 
 
-def lm_scores(docs: DataFrame, training: Column) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
-    learn = F.coalesce(training, F.lit(True))
-    model, counts, n, v = train(docs.where(learn).select("text"))
-    shared = spark.sparkContext.broadcast(model)
+def _grams(tokens: np.ndarray, cuts: np.ndarray) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """By order the id of the n-gram that ends at each position, and the positions of triples (a document's first has none)."""
+    last = np.roll(tokens, 1)
+    last[cuts[:-1]] = END
+    pair = mix(last * _STEP[0] + tokens)
+    deep = np.ones(len(tokens), bool)
+    deep[cuts[:-1]] = False
+    deep = np.flatnonzero(deep)
+    return {1: tokens, 2: pair, 3: mix(pair[deep - 1] * _STEP[1] + tokens[deep])}, deep
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    planes = [np.ascontiguousarray(x).astype(np.int64, copy=False).view(np.uint8).reshape(-1, 8).T.tobytes() for x in columns]
+    return pa.compress(b"".join(planes), "zstd", asbytes=True)
+
+
+def _unpack(data, n: int, columns: int) -> list[np.ndarray]:
+    raw = np.frombuffer(pa.decompress(data, 8 * n * columns, "zstd"), np.uint8).reshape(columns, 8, n)
+    return [np.ascontiguousarray(x.T).view(np.int64).ravel() for x in raw]
+
+
+def _steps(keys: np.ndarray) -> np.ndarray:
+    """Sorted keys as differences, which pack well; ``_keys`` gives them back."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.int64)
+
+
+def _keys(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps.view(np.uint64), dtype=np.uint64)
+
+
+_FIELDS = pa.schema([("fold", pa.int64()), ("order", pa.int32()), ("part", pa.int32()), ("n", pa.int64()), ("data", pa.binary()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64()))])
+_MESSAGE = "fold long, order int, part int, n long, data binary, ids array<long>, lengths array<long>"
+
+
+def _messages(rows: list[tuple]) -> pa.Table:
+    rows = [(*r, None, None)[:7] for r in rows]
+    return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _FIELDS, strict=True)] if rows else [pa.array([], f.type) for f in _FIELDS], schema=_FIELDS)
+
+
+def _by_part(fold: int, order: int, bits: int, keys: np.ndarray, *columns: np.ndarray) -> pa.Table:
+    """Sorted keys and what goes with them, cut into parts of the hash space."""
+    part, start = np.unique(keys >> np.uint64(64 - bits), return_index=True)
+    ends = [*start.tolist()[1:], len(keys)]
+    return _messages([(fold, order, p, e - s, _pack(_steps(keys[s:e]), *(x[s:e] for x in columns))) for p, s, e in zip(part.tolist(), start.tolist(), ends, strict=True)])
+
+
+class Fold:
+    """The documents of a fold, their distinct n-grams by order, and what the parts have answered."""
+
+    def __init__(self, tokens: np.ndarray, lengths: np.ndarray, learned: np.ndarray):
+        self.tokens, self.lengths, self.learned = tokens, lengths, learned
+        self.cuts = np.concatenate([[0], np.cumsum(lengths)])
+        self.grams, self.deep = _grams(tokens, self.cuts)
+        self.found: dict[int, tuple] = {}
+
+    @classmethod
+    def read(cls, part: pa.Table) -> tuple[Fold, list, dict[int, list[np.ndarray]]]:
+        """The fold, its doc_ids and the answers by order, each aligned with the order's sorted n-grams."""
+        part = part.sort_by([("order", "ascending"), ("part", "ascending")])
+        order, sizes, data = part.column("order").to_numpy(), part.column("n").to_numpy(), part.column("data")
+        flat = _unpack(data[0].as_buffer(), int(sizes[0]), 1)[0]
+        v = int(flat[0])
+        tokens = _keys(flat[1 : v + 1])[flat[v + 1 : 2 * v + 1]][flat[2 * v + 1 :]]
+        marked = np.array(part.column("lengths")[0].as_py())
+        told = {k: list(map(np.concatenate, zip(*(_unpack(data[int(r)].as_buffer(), int(sizes[r]), _ANSWERS[k]) for r in np.flatnonzero(order == k)), strict=True))) for k in set(order.tolist()) - {0}}
+        return cls(tokens, marked >> 1, (marked & 1).astype(float)), part.column("ids")[0].as_py(), told
+
+    def written(self, fold: int, ids: list) -> pa.Table:
+        words_, rank, times = np.unique(self.tokens, return_inverse=True, return_counts=True)
+        often = np.argsort(-times, kind="stable")
+        place = np.empty(len(often), np.int64)
+        place[often] = np.arange(len(often))
+        flat = np.concatenate([[len(words_)], _steps(words_), often, place[rank]])
+        return _messages([(fold, 0, 0, len(flat), _pack(flat), ids, self.lengths * 2 + self.learned.astype(np.int64))])
+
+    def distinct(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted n-grams, a position of each and the place of each position's n-gram."""
+        if order not in self.found:
+            keys, first, inverse = np.unique(self.grams[order], return_index=True, return_inverse=True)
+            self.found[order] = keys, self.deep[first] if order == 3 else first, inverse
+        return self.found[order]
+
+    def before(self, at: np.ndarray) -> np.ndarray:
+        """Places (among the words) of the words before positions."""
+        words_, _, inverse = self.distinct(1)
+        start = np.zeros(len(self.tokens), bool)
+        start[self.cuts[:-1]] = True
+        return np.where(start[at], np.searchsorted(words_, END), inverse[at - 1])
+
+    def message(self, fold: int, order: int, bits: int, owned: np.ndarray | None = None) -> pa.Table:
+        """The n-grams of an order; ``owned``: which of the next order's n-grams this fold owns."""
+        keys, _, inverse = self.distinct(order)
+        learned = np.repeat(self.learned, self.lengths)
+        times = np.bincount(inverse, learned[self.deep] if order == 3 else learned, len(keys)).astype(np.int64)
+        if owned is None:
+            return _by_part(fold, order, bits, keys, times)
+        at = self.distinct(order + 1)[1][owned.astype(bool)]
+        return _by_part(fold, order, bits, keys, times, np.bincount(inverse[at - 1] if order == 2 else self.before(at), minlength=len(keys)))
+
+
+#: Columns of the messages and answers by order.
+_SENT, _ANSWERS = {3: 2, 2: 3, 1: 3}, {3: 2, 2: 3, 1: 3}
+
+
+def _folds(docs: DataFrame, order: int, bits: int) -> DataFrame:
+    """Each fold's documents (order 0) or n-grams. Folds follow the rows of a partition, so every call makes the same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        number, size, held = TaskContext.get().partitionId() << 32, 0, []
+
+        def close() -> list[pa.RecordBatch]:
+            fold = Fold(*(np.concatenate([x[k] for x in held]) for k in range(3)))
+            out = fold.message(number, order, bits) if order else fold.written(number, [i for x in held for i in x[3].to_pylist()])
+            return out.to_batches()
+
         for batch in batches:
             for row, tokens, cuts in token_stream(batch.column(1)):
-                weight, ids = own.traverse(tokens, cuts)
-                n_docs = len(cuts) - 1
-                owner = np.repeat(np.arange(n_docs), np.diff(cuts))
-                total = np.bincount(owner, weight, n_docs)
-                known = ids >= 0
-                base = np.bincount(owner[known], own.word_arc[ids[known]], n_docs)
-                n_known = np.bincount(owner[known], minlength=n_docs)
-                rare_h, rare_d = tokens[~known], owner[~known]
-                order = np.lexsort((rare_h, rare_d))
-                h, d = rare_h[order], rare_d[order]
-                first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])) if len(h) else np.zeros(0, np.int64)
-                times = np.diff(np.concatenate([first, [len(h)]]))
-                lists = np.concatenate([[0], np.cumsum(np.bincount(d[first], minlength=n_docs))])
-                at = pa.array(lists, pa.int32())
-                yield pa.record_batch(
-                    [
-                        batch.column(0)[row : row + n_docs], pa.array(np.diff(cuts)), pa.array(n_known), pa.array(base), pa.array(total),
-                        pa.ListArray.from_arrays(at, pa.array(h[first].view(np.int64))), pa.ListArray.from_arrays(at, pa.array(times.astype(np.int32))),
-                    ],
-                    ["doc_id", "n_tokens", "n_known", "base", "total", "rare", "times"],
-                )
-
-    schema = "doc_id long, n_tokens long, n_known long, base double, total double, rare array<long>, times array<int>"
-    passed = written(docs.select("doc_id", "text").mapInArrow(trimmed(run), schema).withColumn("row", F.monotonically_increasing_id()), "traversed")
-    rare = passed.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).selectExpr("row", "x.rare AS h", "x.times AS k")
-    # A word of no count adds nothing but the norm, which is known: an inner join is enough.
-    found = rare.join(counts.hint("shuffle_hash") if n == 0 else counts, "h").groupBy("row").agg(F.sum("k").alias("seen"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("logs"))
-    norm = float(model.norm)
-    seen, logs = F.coalesce("seen", F.lit(0)), F.coalesce("logs", F.lit(0.0))
-    rest = logs - F.lit(norm) * (F.col("n_tokens") - F.col("n_known"))
-    return passed.drop("rare", "times").join(found, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("n_known") + seen).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + rest).alias("base_score"), (F.col("total") + rest).alias("score"),
-    )
+                end = row + len(cuts) - 1
+                held.append((tokens, np.diff(cuts), batch.column(2)[row:end].to_numpy(zero_copy_only=False).astype(float), batch.column(0)[row:end]))
+                size += len(tokens)
+                if size >= FOLD:
+                    yield from close()
+                    number, size, held = number + 1, 0, []
+        if held:
+            yield from close()
+
+    return docs.mapInArrow(trimmed(run), _MESSAGE)
+
+
+def _answered(sent: DataFrame) -> DataFrame:
+    """Each message's n-grams with whole counts: (count, owned, followers), for triples without followers.
+
+    Rows of fold -1 hold the training tokens and distinct words of a part.
+    """
+
+    def run(key: tuple, part: pa.Table) -> pa.Table:
+        order, place = key[0].as_py(), key[1].as_py()
+        folds, sizes = part.column("fold").to_numpy(), part.column("n").to_numpy()
+        steps, times, *more = zip(*(_unpack(x.as_buffer(), n, _SENT[order]) for x, n in zip(part.column("data"), sizes.tolist(), strict=True)), strict=True)
+        found, inverse = np.unique(np.concatenate([_keys(x) for x in steps]), return_inverse=True)
+        times = np.concatenate(times)
+        counts = np.bincount(inverse, times, len(found)).astype(np.int64)
+        trained = np.flatnonzero(times)
+        owned = np.zeros(len(times), np.int64)
+        owned[trained[np.unique(inverse[trained], return_index=True)[1]]] = 1
+        columns = [counts[inverse], owned, *(np.bincount(inverse, np.concatenate(x), len(found)).astype(np.int64)[inverse] for x in more)]
+        ends = np.cumsum(sizes)
+        rows = [(f, order, place, e - s, _pack(*(x[s:e] for x in columns))) for f, s, e in zip(folds.tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True)]
+        if order == 1:
+            rows.append((-1, 1, place, 1, _pack(counts.sum(keepdims=True), np.count_nonzero(counts, keepdims=True))))
+        return _messages(rows)
+
+    return sent.groupBy("order", "part").applyInArrow(run, _MESSAGE)
+
+
+def lm_scores(docs: DataFrame, training: Column) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs`` (doc_id, text)."""
+    rows = docs.select("doc_id", "text", F.coalesce(training, F.lit(True)).alias("learn"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(8, (size // PART_BYTES).bit_length())
+
+    def next_order(order: int, answers: DataFrame) -> DataFrame:
+        def run(key: tuple, part: pa.Table) -> pa.Table:
+            fold, _, told = Fold.read(part)
+            # A fold of empty texts has no triples.
+            return fold.message(key[0].as_py(), order, bits, told[order + 1][1] if order + 1 in told else np.zeros(0))
+
+        return _folds(rows, 0, bits).unionByName(answers).groupBy("fold").applyInArrow(run, _MESSAGE)
+
+    def kept(sent: DataFrame, name: str) -> DataFrame:
+        out = written(_answered(sent), name)
+        # What the round has shuffled is of no more use; executors delete it once the driver forgets it.
+        gc.collect()
+        docs.sparkSession.sparkContext._jvm.System.gc()
+        return out
+
+    triples = kept(_folds(rows, 3, bits), "triples")
+    pairs = kept(next_order(2, triples), "pairs")
+    singles = kept(next_order(1, pairs), "words")
+    n = v = 0
+    for r in singles.where("fold = -1").select("data").toLocalIterator():
+        part_n, part_v = _unpack(bytes(r.data), 1, 2)
+        n, v = n + int(part_n[0]), v + int(part_v[0])
+
+    def finish(key: tuple, part: pa.Table) -> pa.Table:
+        fold, ids, told = Fold.read(part)
+
+        def step(count, state, followers, below):
+            return np.where(state > 0, (np.maximum(count - DISCOUNT, 0) + DISCOUNT * followers * below) / np.maximum(state, 1), below)
+
+        one, two = fold.distinct(1)[2], fold.distinct(2)[2]
+        base = (told[1][0] + 1)[one] / (n + v + 1)
+        history = fold.before(np.arange(len(one)))
+        weight = step(told[2][0][two], told[1][0][history], told[1][2][history], base)
+        if len(fold.deep):
+            state = two[fold.deep - 1]
+            weight[fold.deep] = step(told[3][0][fold.distinct(3)[2]], told[2][0][state], told[2][2][state], weight[fold.deep])
+        owner = np.repeat(np.arange(len(ids)), fold.lengths)
+        total = lambda x: np.bincount(owner, x, len(ids))
+        columns = [pa.array(ids, pa.int64()), fold.lengths, total(told[1][0][one] > 0).astype(np.int64), np.full(len(ids), n), total(np.log10(base)), total(np.log10(weight))]
+        return pa.table(columns, ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    told = reduce(DataFrame.unionByName, [_folds(rows, 0, bits), triples, pairs, singles.where("fold >= 0")])
+    return told.groupBy("fold").applyInArrow(finish, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op9_lm_scoring(spark, sf_dir: str) -> DataFrame:

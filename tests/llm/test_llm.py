@@ -188,6 +188,35 @@ def test_lm_histories_sum_to_one(docs):
         break
 
 
+def test_lm_uses_every_ngram(docs, monkeypatch):
+    """Scores against plain counts of all pairs and triples, however rare, over several folds."""
+    monkeypatch.setattr(lm_scoring, "FOLD", 500)
+    texts = dict(corpus())
+    tokens = {i: [*WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), x or "")), None] for i, x in texts.items()}
+    held = {i for i in texts if zlib.crc32(str(i).encode()) % 7 == 2}
+    grams, after = Counter(), defaultdict(set)
+    for i, x in tokens.items():
+        for k in range(len(x)) if i not in held else ():
+            line = [None, *x]
+            for m in (0, 1, 2) if k else (0, 1):
+                history = tuple(line[k + 1 - m : k + 1])
+                grams[history, x[k]] += 1
+                grams[history] += 1
+                after[history].add(x[k])
+    n, v = grams[()], len(after[()])
+
+    def p(history, w):
+        if not history:
+            return (grams[(), w] + 1) / (n + v + 1)
+        c, below = grams[history], p(history[1:], w)
+        return (max(grams[history, w] - 0.6, 0) + 0.6 * len(after[history]) * below) / c if c else below
+
+    got = {r.doc_id: r.score for r in lm_scoring.lm_scores(docs, F.crc32(F.col("doc_id").cast("string")) % 7 != 2).collect()}
+    for i, x in tokens.items():
+        line = [None, *x]
+        assert math.isclose(got[i], sum(math.log10(p(tuple(line[max(0, k - 1) : k + 1]), x[k])) for k in range(len(x))), rel_tol=1e-9)
+
+
 def test_decontamination(spark, docs, empty):
     texts = dict(corpus())
     items = [(1, texts[12]), (2, texts[13].split("\n")[0]), (3, None), (4, ""), (5, "a b c d"), (6, texts[14] + " " + "z " * 50)]
