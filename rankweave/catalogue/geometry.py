@@ -108,11 +108,7 @@ def mask_dice_audit(spark, sf_dir: str) -> DataFrame:
     return bind.rounded(out.select(F.coalesce("p_brand", F.lit("all")).alias("p_brand"), F.coalesce("lung", F.lit(-1)).alias("lung"), "n", "shared", "dice", "iou", "false_empty"))
 
 
-@bind.register(QUERIES, ORACLE_SQL, "retention_rectangles", "WITH " + _crops_sql(boxes.CROPS) + """, l AS (SELECT *, v.k AS lung, floor(w * (0.1::DOUBLE + 0.5::DOUBLE * v.k)) AS a, floor(w * (0.4::DOUBLE + 0.5::DOUBLE * v.k)) AS c, floor(h * 0.1::DOUBLE) AS t, floor(h * 0.9::DOUBLE) AS u FROM b, (VALUES (0), (1)) v(k) WHERE w < 100 AND h < 128),
-m AS (SELECT p_partkey, slot, lung, greatest(0, least(x1, c) - greatest(x0, a)) * greatest(0, least(y1, u) - greatest(y0, t)) / ((c - a) * (u - t)) AS whole,
-      greatest(0, least(x1, c) - greatest(x0, a)) * greatest(0, least(y1, u) - greatest(y0, t + 0.75::DOUBLE * (u - t))) / ((c - a) * 0.25::DOUBLE * (u - t)) AS basal FROM l)
-SELECT p_partkey, slot, round(min(whole), 6) AS consolidation, round(min(basal), 6) AS pleural_effusion FROM m GROUP BY p_partkey, slot""")
-def retention_rectangles(spark, sf_dir: str) -> DataFrame:
+def _retention(sizes: DataFrame) -> DataFrame:
     """Retention of real rasters (two rectangles a part): masks are drawn, prepared once per part and read at 13 boxes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,12 +118,29 @@ def retention_rectangles(spark, sf_dir: str) -> DataFrame:
                 masks = np.zeros((2, h, w), bool)
                 for k in (0, 1):
                     masks[k, int(h * 0.1) : int(h * 0.9), int(w * (0.1 + 0.5 * k)) : int(w * (0.4 + 0.5 * k))] = True
-                shares = raster.retention(masks, np.array([[b["x0"], b["y0"], b["x1"], b["y1"]] for b in crops]))
-                rows += [(key, b["slot"], s[2], s[0]) for b, s in zip(crops, shares, strict=True)]
+                shares = raster.retention(masks, np.array([[b["x0"], b["y0"], b["x1"], b["y1"]] for b in crops]), ("consolidation", "pleural_effusion"))
+                rows += [(key, b["slot"], *s) for b, s in zip(crops, shares, strict=True)]
             yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.float64(), pa.float64()))], ["p_partkey", "slot", "consolidation", "pleural_effusion"])
 
-    small = _sizes(spark, sf_dir).where("w < 100 AND h < 128").select("p_partkey", "w", "h", boxes.crop_table(F.col("w"), F.col("h"), boxes.CROPS).alias("crops"))
-    return bind.rounded(small.mapInArrow(run, "p_partkey long, slot int, consolidation double, pleural_effusion double"))
+    crops = sizes.select("p_partkey", "w", "h", boxes.crop_table(F.col("w"), F.col("h"), boxes.CROPS).alias("crops"))
+    return bind.rounded(crops.mapInArrow(run, "p_partkey long, slot int, consolidation double, pleural_effusion double"))
+
+
+@bind.register(QUERIES, ORACLE_SQL, "retention_rectangles", "WITH " + _crops_sql(boxes.CROPS) + """, l AS (SELECT *, v.k AS lung, floor(w * (0.1::DOUBLE + 0.5::DOUBLE * v.k)) AS a, floor(w * (0.4::DOUBLE + 0.5::DOUBLE * v.k)) AS c, floor(h * 0.1::DOUBLE) AS t, floor(h * 0.9::DOUBLE) AS u FROM b, (VALUES (0), (1)) v(k) WHERE w < 100 AND h < 128),
+m AS (SELECT p_partkey, slot, lung, greatest(0, least(x1, c) - greatest(x0, a)) * greatest(0, least(y1, u) - greatest(y0, t)) / ((c - a) * (u - t)) AS whole,
+      greatest(0, least(x1, c) - greatest(x0, a)) * greatest(0, least(y1, u) - greatest(y0, t + 0.75::DOUBLE * (u - t))) / ((c - a) * 0.25::DOUBLE * (u - t)) AS basal FROM l)
+SELECT p_partkey, slot, round(min(whole), 6) AS consolidation, round(min(basal), 6) AS pleural_effusion FROM m GROUP BY p_partkey, slot""")
+def retention_rectangles(spark, sf_dir: str) -> DataFrame:
+    """Small rasters only, as its SQL has it; ``retention_rectangles_all`` has every part."""
+    return _retention(_sizes(spark, sf_dir).where("w < 100 AND h < 128"))
+
+
+@bind.register(QUERIES, ORACLE_SQL, "retention_rectangles_all", "WITH " + _crops_sql(boxes.CROPS) + """, l AS (SELECT *, v.k AS lung, floor(w * (0.1::DOUBLE + 0.5::DOUBLE * v.k)) AS a, floor(w * (0.4::DOUBLE + 0.5::DOUBLE * v.k)) AS c, floor(h * 0.1::DOUBLE) AS t, floor(h * 0.9::DOUBLE) AS u FROM b, (VALUES (0), (1)) v(k)),
+m AS (SELECT p_partkey, slot, lung, greatest(0, least(x1, c) - greatest(x0, a)) * greatest(0, least(y1, u) - greatest(y0, t)) / ((c - a) * (u - t)) AS whole,
+      greatest(0, least(x1, c) - greatest(x0, a)) * greatest(0, least(y1, u) - greatest(y0, t + 0.75::DOUBLE * (u - t))) / ((c - a) * 0.25::DOUBLE * (u - t)) AS basal FROM l)
+SELECT p_partkey, slot, round(min(whole), 6) AS consolidation, round(min(basal), 6) AS pleural_effusion FROM m GROUP BY p_partkey, slot""")
+def retention_rectangles_all(spark, sf_dir: str) -> DataFrame:
+    return _retention(_sizes(spark, sf_dir))
 
 
 @bind.register(QUERIES, ORACLE_SQL, "l2_normalise", "WITH n AS (SELECT vec_id, label, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n, embedding FROM embeddings) SELECT vec_id, round(n, 6) AS norm, round(embedding[1]::DOUBLE / n, 6) AS first, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE / n)), 6) AS total FROM n")

@@ -120,3 +120,9 @@ def test_greedy_is_sequential(spark):
             kept.add(k)
     got = dedup.greedy_keep(spark.createDataFrame(sorted(edges), "early long, late long"), spark.range(60).withColumnRenamed("id", "node"))
     assert {r.node for r in got.where("kept").collect()} == kept
+
+
+def test_retention_of_every_part(spark):
+    sf = "/root/testdata/sf0.001"
+    got = catalogue.QUERIES["retention_rectangles_all"](spark, sf)
+    assert got.count() == 13 * spark.read.parquet(f"{sf}/part.parquet").count()
