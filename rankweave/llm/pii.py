@@ -41,7 +41,7 @@ GENERATORS = {
     "phone": re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9-])"),
     "account": re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
-    "secret": re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,255}|(?:pass(?:word|wd)|token|secret|api[_-]?key)\"? ?[=:] ?\"?[^\s\"',;]{6,256})", re.I),
+    "secret": re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|(?:pass(?:word|wd)|token|secret|api[_-]?key)\"? ?[=:] ?\"?[^\s\"',;]{6,})", re.I),
     "number": re.compile(r"(?<![0-9.-])[0-9][0-9 -]{5,40}[0-9](?![0-9.-])"),
 }
 KINDS = (*BASE, *(k for k in GENERATORS if k not in BASE))

@@ -158,6 +158,14 @@ def test_pii_base_spans(docs, empty):
     assert pii.pii_spans(empty).count() == 0
 
 
+def test_long_secrets_go_whole():
+    value = "".join("aK7x9Q2m"[k * k % 8] + str(k % 10) for k in range(400))
+    for text in (f"password={value} end", f"token: ghp_{value} end"):
+        (start, end, kind), *more = [x for x in pii.proposals(text) if x[2] == "secret"]
+        assert text[end:] == " end" and not more
+        assert pii.redact(text).endswith("[SECRET] end")
+
+
 def test_lm_base_and_distribution(docs, empty):
     texts = dict(corpus())
     tokens = {i: [*WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), x or "")), None] for i, x in texts.items()}
