@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,11 +40,12 @@ def near_pairs(df: DataFrame, key: str, code: str, radius: int = RADIUS) -> Data
     return pairs.select(F.col("k_a").alias("a"), F.col("k_b").alias("b"), hamming(F.col("l_a"), F.col("l_b")).alias("distance")).where(F.col("distance") <= radius)
 
 
-def greedy_keep(edges: DataFrame, nodes: DataFrame, protected: DataFrame | None = None, max_rounds: int = 1000) -> DataFrame:
+def greedy_keep(edges: DataFrame, nodes: DataFrame, protected: DataFrame | None = None, max_rounds: int | None = None) -> DataFrame:
     """Nodes kept by the sequential rule: keep a row unless an earlier kept (or protected) row matches it.
 
     Rounds decide every row whose earlier neighbours are decided; each is written to the checkpoint folder. Equals the
-    one-by-one scan, since a decision depends on earlier rows only. ``edges``: (early, late).
+    one-by-one scan, since a decision depends on earlier rows only. ``edges``: (early, late). Every node is in the result:
+    rows still open after ``max_rounds``, or in a cycle of edges, are an error.
     """
     spark = nodes.sparkSession
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
@@ -66,16 +66,14 @@ def greedy_keep(edges: DataFrame, nodes: DataFrame, protected: DataFrame | None
     # Rows that no edge reaches as the later side are kept at once and never enter a round.
     late = edges.select(F.col("late").alias("node")).distinct().withColumn("touched", F.lit(True))
     state = saved(state.join(late, "node", "left").select("node", F.coalesce("kept", F.when(F.col("touched").isNull(), True)).alias("kept")))
-    done = [state.where("kept IS NOT NULL")]
-    open_, live = saved(state.where("kept IS NULL")), saved(edges)
-    decided = done[0]
-    for _ in range(max_rounds):
-        if not open_.limit(1).count():
-            break
+    decided, left = state.where("kept IS NOT NULL"), None
+    open_, live, rounds = saved(state.where("kept IS NULL")), saved(edges), 0
+    while n := open_.count():
+        if n == left or rounds == max_rounds:
+            raise RuntimeError(f"{n} rows are undecided after {rounds} rounds")
         early = live.join(decided.withColumnRenamed("node", "early").withColumnRenamed("kept", "early_kept"), "early", "left")
         fate = early.groupBy(F.col("late").alias("node")).agg(F.max(F.coalesce("early_kept", F.lit(False))).alias("hit"), F.max(F.col("early_kept").isNull()).alias("waits"))
         now = saved(open_.join(fate, "node", "left").select("node", F.when(F.col("hit"), False).when(F.coalesce("waits", F.lit(False)), None).otherwise(True).alias("kept")))
-        done.append(now.where("kept IS NOT NULL"))
-        decided = saved(reduce(DataFrame.unionByName, done))
-        open_ = now.where("kept IS NULL")
-    return reduce(DataFrame.unionByName, done)
+        decided = saved(decided.unionByName(now.where("kept IS NOT NULL")))
+        open_, left, rounds = now.where("kept IS NULL"), n, rounds + 1
+    return decided

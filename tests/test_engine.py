@@ -122,6 +122,13 @@ def test_greedy_is_sequential(spark):
     assert {r.node for r in got.where("kept").collect()} == kept
 
 
+def test_greedy_leaves_no_row_open(spark):
+    chain, nodes = spark.range(6).selectExpr("id AS early", "id + 1 AS late"), spark.range(7).withColumnRenamed("id", "node")
+    assert {r.node: r.kept for r in dedup.greedy_keep(chain, nodes).collect()} == {k: k % 2 == 0 for k in range(7)}
+    with pytest.raises(RuntimeError, match="undecided"):
+        dedup.greedy_keep(chain, nodes, max_rounds=2)
+
+
 def test_retention_of_every_part(spark):
     sf = "/root/testdata/sf0.001"
     got = catalogue.QUERIES["retention_rectangles_all"](spark, sf)
