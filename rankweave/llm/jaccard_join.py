@@ -195,7 +195,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = written(sets.where("n > 0").groupBy("fp_a", "fp_b", "n").agg(F.min("doc_id").alias("class")), "classes")
     # Members of classes other than their representatives, and empty sets, take no part in the search.
     copies = written(sets.where("n > 0").select("doc_id", "fp_a", "fp_b", "n").join(classes, ["fp_a", "fp_b", "n"]).where("doc_id > class").select("doc_id").distinct(), "copies")
-    lone = sets.where("n > 0").join(checked_broadcast(copies, BROADCAST_ROWS), "doc_id", "left_anti")
+    # Rows without a doc_id cannot be named in a pair; in the lists they would only part those that can.
+    lone = sets.where("n > 0 AND doc_id IS NOT NULL").join(checked_broadcast(copies, BROADCAST_ROWS), "doc_id", "left_anti")
     entry = F.posexplode(F.arrays_zip("keys", "salts"))
     postings = lone.select("doc_id", "n", entry.alias("pos", "entry")).selectExpr("doc_id", "n", "pos", "entry.keys AS key", "CAST(IF(entry.salts > 1, 1 + pmod(xxhash64(doc_id), entry.salts), 0) AS INT) AS salt")
     # A list of one document is dropped here; all that follows works on lists of two and more, ``wide`` on three and more.

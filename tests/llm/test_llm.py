@@ -158,6 +158,14 @@ def test_pii_base_spans(docs, empty):
     assert pii.pii_spans(empty).count() == 0
 
 
+def test_jaccard_rows_without_id_part_no_pair(spark):
+    # A pair of short texts shares one list, in which the row without an id may stand between them.
+    text = lambda f, n: " ".join(f"f{f}w{k}" for k in range(n))
+    rows = [r for f in range(40) for r in ((2 * f, text(f, 8)), (2 * f + 1, text(f, 7)), (None, text(f, 8)))]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.count() == 120 and {r.doc_id: r.component_id for r in got.where("doc_id IS NOT NULL").collect()} == {k: k - k % 2 for k in range(80)}
+
+
 def test_long_secrets_go_whole():
     value = "".join("aK7x9Q2m"[k * k % 8] + str(k % 10) for k in range(400))
     for text in (f"password={value} end", f"token: ghp_{value} end"):
