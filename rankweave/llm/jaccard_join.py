@@ -2,21 +2,28 @@
 
 Two documents link when their sets of distinct 5-word shingles have Jaccard similarity of 0.75 or more.
 
-1. A fixed-size table of counts (one per hash bucket, over all documents) gives one order of all shingles, rare first.
-   Any order is correct; buckets that also hold a common shingle only make a prefix a little less selective.
-2. Documents with equal sets fall into one class; the smallest doc_id stands for it.
-3. A document of n shingles can reach the threshold only with documents that share one of its first
-   n - ceil(3n/4) + 1 shingles. Those become postings (shingle, document, n, position).
-4. Within a posting list, documents in pseudo-random order are compared with their neighbours only, so a list of m
-   documents gives m - 1 pairs. Each pair passes the length and positional filters, is made distinct, passes the suffix
-   filter (the parities of set sizes within ranges of the hash space bound the overlap) and is verified once on whole sets.
-5. What the neighbours joined is one component. In lists of three and more that still hold several (in a list of two the
-   only pair was compared), every pair of documents of different components that passes the three filters is compared.
-   So no link between different components is missed, while a group of thousands of near copies costs pairs in
-   proportion to its size. Lists of very common shingles are salted; this last step joins the salts.
-
-Null texts and texts without words have an empty set and link with nothing. Repeated rows of one doc_id act as one
-document. Other columns are ignored.
+1. Documents with equal sets fall into one class; one document stands for it.
+2. The number of classes that hold a shingle is counted exactly, for every shingle: folds of documents send their
+   distinct shingles to parts of the hash space, which answer with whole counts. Shingles are keys of as many bits as
+   keep the share of collisions alike at every size; a collision can only make a key more common than its shingles.
+3. Rare first: a document's keys are ordered by count, then key. A document of n shingles can reach the threshold only
+   with documents that share one of its first n - ceil(3n/4) + 1. Keys of one class alone come first and need no
+   posting; of the others those within the prefix become postings (key, document, n, position).
+4. Neighbours: postings are sorted by key and, within a key's list, by each document's least shared key, so that near
+   copies stand side by side. Only neighbours are compared, so a list of m documents gives m - 1 pairs. The sort is by
+   ranges, which cut long lists; the rows at the cuts are compared too. Pairs pass the length and positional filters, are
+   made distinct, pass the suffix filter (the parities of set sizes within ranges of the hash space bound the overlap)
+   and are verified once on whole sets. What they join is one component. Lists that still hold several components are
+   compared the same way once more, in an order that differs from list to list.
+5. In lists of three and more that still hold several components (in a list of two the only pair was compared) every
+   pair of documents of different components that passes the three filters is verified. So no link between different
+   components is missed, while a group of thousands of near copies costs pairs in proportion to its size. Long lists are
+   cut into blocks, and every two blocks meet in a task of their own.
+
+Null texts and texts without words have an empty set and link with nothing. The rows of one doc_id act as one document,
+which links with whatever any of its texts links with; each row has its own n_shingles. A row without a doc_id is no
+document: it links nothing, and its component_id is that of a document with an equal set, null if there is none. Other
+columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,97 +33,154 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import checked_broadcast, small_batches, trimmed, written
-from .tokens import LOWER, shingle_hashes, shingle_sets, text_chunks, word_hashes, words
-
-#: log2 of the number of counters (4 bytes each) that order the shingles; their size does not depend on the data.
-BUCKET_BITS = 20
-BLOCKS = 64
+from .exchange import by_part, from_steps, pack, steps, unpack
+from .shared import checked_broadcast, discard, forget_shuffles, sized_join, small_batches, trimmed, written
+from .tokens import shingle_sets
+
+#: Shingles of a fold and of a part: what a task holds. Messages number folds times parts, so raise both for petabytes.
+FOLD = 1 << 21
+#: Bits of a key beyond those that number all shingles: one key in 4,096 belongs to two shingles.
+SPARE_BITS = 12
 #: Ranges of the hash space whose set sizes, odd or even, the suffix filter compares; one bit each.
 RANGES = 512
-#: A posting list is salted beyond about so many rows.
-LIST_ROWS = 50_000
+#: Postings of a block; a longer list is cut before its components are compared.
+BLOCK = 2_000
 #: Rows of (doc_id) that may be broadcast, 16 bytes each.
 BROADCAST_ROWS = 2_000_000
 PAIR_ROWS = 500_000
 
-_SET_SCHEMA = "doc_id long, n long, fp_a long, fp_b long, bits array<long>, keys array<long>, salts array<int>"
+_SET_SCHEMA = "doc_id long, n long, fp_a long, fp_b long, bits array<long>"
+_FOLD_SCHEMA = "fold long, part int, n long, data binary, keys binary, ids array<long>, sizes array<long>"
+_POSTING_SCHEMA = "key long, doc_id long, n long, pos long, least long"
 
 
-def shingle_counts(docs: DataFrame) -> np.ndarray:
-    """Occurrences of shingles per hash bucket over all documents, as one fixed-size array."""
-    width = (1 << BUCKET_BITS) // BLOCKS
+def document_sets(docs: DataFrame) -> DataFrame:
+    """Per row: set size, fingerprint of the whole set and its parities by range."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << BUCKET_BITS, np.uint32)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = np.uint64(64 - RANGES.bit_length() + 1)
         for batch in batches:
-            for _, _, data, offsets in text_chunks(batch.column(0)):
-                data = LOWER[data]
-                starts, ends, bounds = words(data, offsets)
-                found = shingle_hashes(word_hashes(data, starts, ends), bounds)[0]
-                np.add.at(counts, (found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), np.uint32(1))
-        blocks = [(b, counts[b * width : (b + 1) * width]) for b in range(BLOCKS)]
-        blocks = [(b, pa.compress(x.tobytes(), "zstd", asbytes=True)) for b, x in blocks if x.any()]
-        yield pa.record_batch([pa.array([b for b, _ in blocks], pa.int32()), pa.array([x for _, x in blocks], pa.binary())], ["block", "counts"])
-
-    def add(key: tuple, part: pa.Table) -> pa.Table:
-        total = np.zeros(width, np.uint64)
-        for x in part.column("counts"):
-            total += np.frombuffer(pa.decompress(x.as_py(), 4 * width, "zstd", asbytes=True), np.uint32)
-        packed = pa.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), "zstd", asbytes=True)
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([packed], pa.binary())], ["block", "counts"])
-
-    schema = "block int, counts binary"
-    per_task = docs.select("text").mapInArrow(trimmed(count), schema)
-    # Salted first, so no task gets more than a share of the many partial tables of one block.
-    partial = per_task.withColumn("salt", F.spark_partition_id() % 16).groupBy("block", "salt").applyInArrow(add, schema)
-    out = np.zeros(1 << BUCKET_BITS, np.uint32)
-    for block, packed in partial.groupBy("block").applyInArrow(add, schema).collect():  # 4 MB at most, at any input size
-        out[block * width : (block + 1) * width] = np.frombuffer(pa.decompress(bytes(packed), 4 * width, "zstd", asbytes=True), np.uint32)
-    return out
+            n, fp_a, fp_b, bits = [], [], [], []
+            for _, own in shingle_sets(batch.column(1)):
+                n.append(len(own))
+                fp_a.append(own.sum(dtype=np.uint64))
+                fp_b.append(((own ^ (own >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).sum(dtype=np.uint64))
+                bits.append(np.packbits(np.bincount((own >> cut).astype(np.int64), minlength=RANGES).astype(np.uint8) & 1).view(np.int64))
+            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            ends = pa.array(np.arange(len(n) + 1) * (RANGES // 64), pa.int32())
+            parities = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64)))
+            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), signed(fp_a), signed(fp_b), parities], ["doc_id", "n", "fp_a", "fp_b", "bits"])
 
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), _SET_SCHEMA)
 
-def document_sets(docs: DataFrame, shared) -> DataFrame:
-    """Per document: set size, fingerprint of the whole set, parities by range and the rare-first prefix.
 
-    ``shared``: the broadcast counters.
-    """
+def _table(rows: list[tuple]) -> pa.Table:
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    names = ["fold", "part", "n", "data", "keys", "ids", "sizes"]
+    return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
+
+
+def folds(docs: DataFrame, key_bits: int, part_bits: int) -> DataFrame:
+    """Folds of documents: one row (part -1) with each document's places among the fold's distinct keys, and one row a
+    part with those keys and how many of the fold's documents hold each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        ranks = np.minimum(table, 65535).astype(np.uint16)
-        shift, cut = np.uint64(64 - BUCKET_BITS), np.uint64(64 - RANGES.bit_length() + 1)
-        for batch in batches:
-            ids = batch.column(0)
-            rows: list[list] = [[], [], [], []]
-            bits, keys, salts, ends = [], [], [], [0]
-            for _, own in shingle_sets(batch.column(1)):
-                n = len(own)
-                bucket = own >> shift
-                order = np.argsort(ranks[bucket], kind="stable")[: n - (3 * n + 3) // 4 + 1 if n else 0]
-                rows[0].append(n)
-                rows[1].append(own.sum(dtype=np.uint64))
-                rows[2].append(((own ^ (own >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).sum(dtype=np.uint64))
-                bits.append(np.packbits(np.bincount((own >> cut).astype(np.int64), minlength=RANGES).astype(np.uint8) & 1).view(np.int64))
-                keys.append(own[order])
-                salts.append(1 + table[bucket[order]] // LIST_ROWS)
-                ends.append(ends[-1] + len(order))
-            flat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
-            at = pa.array(ends, pa.int32())
-            yield pa.record_batch(
-                [
-                    ids, pa.array(rows[0], pa.int64()), pa.array(np.array(rows[1], np.uint64).view(np.int64)), pa.array(np.array(rows[2], np.uint64).view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * (RANGES // 64), pa.int32()), pa.array(flat(bits, np.int64))),
-                    pa.ListArray.from_arrays(at, pa.array(flat(keys, np.uint64).view(np.int64))), pa.ListArray.from_arrays(at, pa.array(flat(salts, np.int32))),
-                ],
-                ["doc_id", "n", "fp_a", "fp_b", "bits", "keys", "salts"],
-            )
+        number, size, ids, sets = TaskContext.get().partitionId() << 32, 0, [], []
+
+        def close() -> list[pa.RecordBatch]:
+            keys, place, times = np.unique(np.concatenate(sets) >> np.uint64(64 - key_bits), return_inverse=True, return_counts=True)
+            sizes = np.array([len(x) for x in sets])
+            first = np.cumsum(sizes) - sizes
+            gaps = np.diff(place, prepend=0)
+            gaps[first] = place[first]
+            rows = [(number, -1, len(place), pack(gaps), None, ids, sizes)]
+            rows += [(number, p, e - s, pack(steps(keys[s:e]), times[s:e]), None, None, None) for p, s, e in by_part(keys, key_bits - part_bits)]
+            return _table(rows).to_batches()
 
-    return docs.select("doc_id", "text").mapInArrow(trimmed(run), _SET_SCHEMA)
+        for batch in batches:
+            named = batch.column(0).to_pylist()
+            for row, own in shingle_sets(batch.column(1)):
+                if len(own):
+                    ids.append(named[row])
+                    sets.append(own)
+                    size += len(own)
+                if size >= FOLD:
+                    yield from close()
+                    number, size, ids, sets = number + 1, 0, [], []
+        if sets:
+            yield from close()
+
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), _FOLD_SCHEMA)
+
+
+def counted(sent: DataFrame) -> DataFrame:
+    """Each message's answer: for all its keys the number of documents that hold it, and the keys that two or more hold."""
+
+    def run(key: tuple, part: pa.Table) -> pa.Table:
+        sizes = part.column("n").to_numpy()
+        moves, times = zip(*(unpack(x.as_buffer(), n, 2) for x, n in zip(part.column("data"), sizes.tolist(), strict=True)), strict=True)
+        own = [from_steps(x) for x in moves]
+        found, inverse = np.unique(np.concatenate(own), return_inverse=True)
+        total = np.bincount(inverse, np.concatenate(times), len(found)).astype(np.int64)[inverse]
+        ends, rows = np.cumsum(sizes), []
+        for fold, e, keys in zip(part.column("fold").to_pylist(), ends.tolist(), own, strict=True):
+            held = total[e - len(keys) : e]
+            rows.append((fold, key[0].as_py(), len(keys), pack(held), pack(steps(keys[held > 1])), None, None))
+        return _table(rows)
+
+    return sent.groupBy("part").applyInArrow(run, _FOLD_SCHEMA)
+
+
+def prefixes(contents: DataFrame, answers: DataFrame) -> DataFrame:
+    """Postings of the keys within each document's prefix that another document holds too."""
+
+    def run(key: tuple, part: pa.Table) -> pa.Table:
+        part = part.sort_by("part")
+        n, data, keys = part.column("n").to_pylist(), part.column("data"), part.column("keys")
+        ids, sizes = np.array(part.column("ids")[0].as_py(), np.int64), np.array(part.column("sizes")[0].as_py(), np.int64)
+        held = np.concatenate([unpack(x.as_buffer(), m)[0] for x, m in zip(data[1:], n[1:], strict=True)])
+        shared, at = [], 0
+        for x, m in zip(keys[1:], n[1:], strict=True):
+            shared.append(from_steps(unpack(x.as_buffer(), int((held[at : at + m] > 1).sum()))[0]))
+            at += m
+        shared = np.concatenate(shared)
+        first = np.cumsum(sizes) - sizes
+        place = np.cumsum(unpack(data[0].as_buffer(), n[0])[0])
+        # Each document's gaps start anew at its first place.
+        place -= np.repeat(np.concatenate([[0], place[first[1:] - 1]]), sizes)
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        some = np.flatnonzero(held[place] > 1)
+        doc, place = doc[some], place[some]
+        count = np.bincount(doc, minlength=len(sizes))
+        value = shared[np.cumsum(held > 1)[place] - 1].view(np.int64)
+        start = np.cumsum(count) - count
+        least = value[np.minimum(start, max(len(value) - 1, 0))] if len(value) else np.zeros(len(sizes), np.int64)
+        order = np.lexsort((place, held[place], doc))
+        pos = (sizes - count)[doc] + np.arange(len(doc)) - start[doc]
+        inside = pos < (sizes - (3 * sizes + 3) // 4 + 1)[doc]
+        doc, value = doc[inside], value[order][inside]
+        return pa.table([value, ids[doc], sizes[doc], pos[inside], least[doc]], ["key", "doc_id", "n", "pos", "least"])
+
+    both = contents.unionByName(answers)
+    return both.groupBy("fold").applyInArrow(run, _POSTING_SCHEMA)
+
+
+def postings_of(docs: DataFrame, shingles: int) -> DataFrame:
+    """Postings of ``docs``, which hold so many shingles in all."""
+    key_bits = min(64, max(24, shingles.bit_length() + SPARE_BITS))
+    part_bits = max(6, (shingles // FOLD).bit_length())
+    sent = written(folds(docs, key_bits, part_bits), "folds")
+    answers = written(counted(sent.where("part >= 0").select("fold", "part", "n", "data")), "answers")
+    forget_shuffles(docs.sparkSession)
+    out = written(prefixes(sent.where("part = -1"), answers), "postings")
+    discard(sent, answers)
+    forget_shuffles(docs.sparkSession)
+    return out
 
 
 def _reach(a: str, b: str) -> F.Column:
@@ -130,45 +194,122 @@ def _alike() -> F.Column:
     return apart <= F.col("n_a") + F.col("n_b") - 2 * _reach("n_a", "n_b")
 
 
+#: Length filter.
+_NEAR = "100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)"
+
+
 def _filtered(pairs: DataFrame) -> DataFrame:
     """Length and positional filters on (a, n_a, pos_a, b, n_b, pos_b)."""
-    near = F.expr("100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)")
     room = F.expr("1 + least(n_a - pos_a - 1, n_b - pos_b - 1)")
-    # A pair's first common prefix shingle in both orders satisfies this; later ones may fail without harm.
-    return pairs.where(near & (room >= _reach("n_a", "n_b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # A pair's first common prefix key in both orders satisfies this; later ones may fail without harm.
+    return pairs.where(F.expr(_NEAR) & (room >= _reach("n_a", "n_b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _neighbours(postings: DataFrame, by: list[str], seed: int) -> DataFrame:
-    """Pairs of documents that follow one another in each list, in an order that differs from list to list."""
-    order = Window.partitionBy(*by).orderBy(F.xxhash64("doc_id", "key", F.lit(seed)), "doc_id")
-    last = postings.select("*", *(F.lag(c).over(order).alias(f"{c}_b") for c in ("doc_id", "n", "pos")))
-    return _filtered(last.where("doc_id_b IS NOT NULL AND doc_id_b <> doc_id").selectExpr("doc_id AS a", "n AS n_a", "pos AS pos_a", "doc_id_b AS b", "n_b", "pos_b"))
+def lists_of(postings: DataFrame, order: list[str]) -> DataFrame:
+    """Postings with the one before them in their list (doc_id_b, n_b, pos_b and, if there, component_b) by ``order``.
+
+    A posting alone in its list is left out. ``wide``: the list has three postings or more. Ranges cut long lists; rows
+    beside a cut count as wide, and ``edge`` is 2p for the first row of range p and 2p + 1 for its last.
+    """
+    columns = list(dict.fromkeys([*postings.columns, *order]))
+    carried = [c for c in ("doc_id", "n", "pos", "component") if c in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, opening = TaskContext.get().partitionId(), None, True
+
+        def ready(rows: pa.Table, since: int, until: int, closing: bool) -> list[pa.RecordBatch]:
+            """Rows from ``since`` to ``until``, whose neighbours two places off are in ``rows``."""
+            key, size = rows.column("key").to_numpy(), rows.num_rows
+            padded = np.zeros(size + 3, bool)
+            padded[2 : size + 1] = key[1:] == key[:-1]  # at i + 1: row i equals the row before it
+            up, up2, down, down2 = padded[1 : size + 1], padded[:size], padded[2 : size + 2], padded[3 : size + 3]
+            edge = np.full(size, -1)
+            wide = (up & down) | (up & up2) | (down & down2)
+            if opening:
+                edge[0] = 2 * number
+                wide[:2] |= key[:2] == key[0]
+            if closing:
+                wide[-2:] |= key[-2:] == key[-1]
+            last = np.full(size, -1)
+            if closing:
+                last[-1] = 2 * number + 1
+            before = [pa.array(np.roll(rows.column(c).to_numpy(), 1), mask=~up) for c in carried]
+            out = pa.table([*(rows.column(c) for c in columns), pa.array(wide), pa.array(edge), pa.array(last), *before], [*columns, "wide", "first_edge", "last_edge", *(f"{c}_b" for c in carried)])
+            keep = (up | down | wide | (edge >= 0) | (last >= 0))[since:until]
+            return out.slice(since, until - since).filter(pa.array(keep)).combine_chunks().to_batches()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = pa.Table.from_batches([batch])
+            # ``held`` ends with two rows that wait, before them two that were given out.
+            rows = new if held is None else pa.concat_tables([held, new])
+            since = 0 if opening else 2
+            until = rows.num_rows - 2
+            if until > since and (not opening or rows.num_rows >= 4):
+                yield from ready(rows, since, until, False)
+                held, opening = rows.slice(until - 2), False
+            else:
+                held = rows
+        if held is not None:
+            yield from ready(held, 0 if opening else 2, held.num_rows, True)
+
+    schema = ", ".join(f"{c} long" for c in columns) + ", wide boolean, first_edge long, last_edge long" + "".join(f", {c}_b long" for c in carried)
+    return postings.select(*columns).repartitionByRange("key", *order).sortWithinPartitions("key", *order).mapInArrow(trimmed(run), schema)
+
+
+def listed(postings: DataFrame, order: list[str]) -> DataFrame:
+    """``lists_of``, written; its rows are a few numbers, so batches may be longer than those of texts."""
+    small_batches(postings.sparkSession, 20_000)
+    try:
+        return written(lists_of(postings, order), "lists")
+    finally:
+        small_batches(postings.sparkSession)
+
+
+def neighbours(lists: DataFrame) -> DataFrame:
+    """Pairs of documents that follow one another in a list, those across a cut too, that pass the first two filters.
+
+    Where components are known, only pairs of different ones.
+    """
+    carried = [c for c in ("doc_id", "n", "pos", "component") if c in lists.columns]
+    # Two rows a range at most; the first row of a range follows the last one of the range before it.
+    ends = [lists.where(f"{x} >= 0").select(F.col(x).alias("edge"), "key", *carried) for x in ("first_edge", "last_edge")]
+    order = Window.orderBy("edge")
+    cut = ends[0].unionByName(ends[1]).select("*", *(F.lag(c).over(order).alias(f"{c}_b") for c in ("key", *carried))).where("edge % 2 = 0 AND key = key_b")
+    columns = [*carried, *(f"{c}_b" for c in carried)]
+    pairs = lists.where("doc_id_b IS NOT NULL").select(*columns).unionByName(cut.select(*columns)).where("doc_id <> doc_id_b")
+    if "component" in carried:
+        pairs = pairs.where("component <> component_b")
+    return _filtered(pairs.selectExpr("doc_id AS a", "n AS n_a", "pos AS pos_a", "doc_id_b AS b", "n_b", "pos_b"))
 
 
 def _hashes(docs: DataFrame) -> DataFrame:
-    """(doc_id, hashes): each document's whole set, sorted, as bytes."""
+    """(doc_id, n, hashes): each row's whole set, sorted, packed. 48 bits of a hash tell the shingles of two texts apart."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([x.tobytes() for _, x in shingle_sets(batch.column(1))], pa.binary())], ["doc_id", "hashes"])
+            sets = [x for _, x in shingle_sets(batch.column(1))]
+            packed = [pack(steps(x >> np.uint64(16))) for x in sets]
+            yield pa.record_batch([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "n", "hashes"])
 
-    return docs.mapInArrow(trimmed(hashed), "doc_id long, hashes binary")
+    return docs.mapInArrow(trimmed(hashed), "doc_id long, n long, hashes binary")
 
 
-def _verified(likely: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(likely: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs that have a similarity of 0.75 on their whole sets; only the documents of pairs are read into sets."""
     # Beside a broadcast of the (few) likely pairs, only the sets of their documents move.
     near = checked_broadcast(likely, PAIR_ROWS)
     ends = written(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
     sets = written(_hashes(docs.join(checked_broadcast(ends, BROADCAST_ROWS), "doc_id", "left_semi")), "hashes")
-    own = lambda c: sets.withColumnRenamed("doc_id", c).withColumnRenamed("hashes", f"h_{c}").join(near, c)
+    own = lambda c: sets.selectExpr(f"doc_id AS {c}", f"n AS n_{c}", f"hashes AS h_{c}").join(near, c)
     both = own("a").join(own("b"), ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for m, x, n, y in zip(*(batch.column(k) for k in range(2, 6)), strict=True):
+                p, q = (from_steps(unpack(z.as_buffer(), k.as_py())[0]) for z, k in ((x, m), (y, n)))
                 if len(p) > len(q):
                     p, q = q, p
                 at = np.searchsorted(q, p)
@@ -176,51 +317,77 @@ def _verified(likely: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(100 * shared >= 75 * (len(p) + len(q) - shared) and shared > 0)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "h_a", "h_b").mapInArrow(trimmed(run), "a long, b long").distinct()
+    links = written(both.select("a", "b", "n_a", "h_a", "n_b", "h_b").mapInArrow(trimmed(run), "a long, b long").distinct(), "links")
+    discard(ends, sets)
+    forget_shuffles(docs.sparkSession)
+    return links
+
+
+def parted(lists: DataFrame, groups: DataFrame) -> DataFrame:
+    """Postings (key, doc_id, n, pos) with the component of their document, only in lists that hold several components;
+    ``blocks``: into how many blocks their list is cut."""
+    named = groups.withColumnRenamed("node", "doc_id")
+    labelled = written(lists.where("wide").select("key", "doc_id", "n", "pos").join(named, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "labelled")
+    several = labelled.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+    several = written(several.select("key", "size", F.expr(f"1 + (size - 1) DIV {BLOCK}").alias("blocks")), "several")
+    out = written(sized_join(labelled, several, ["key"], "size").where("blocks IS NOT NULL"), "parted")
+    discard(labelled, several)
+    return out
 
 
-def _labelled(postings: DataFrame, groups: DataFrame) -> DataFrame:
-    """Postings with the component of their document, only in lists that hold more than one component."""
-    with_group = written(postings.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "labelled")
-    return with_group.join(with_group.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key"), "key")
+def across(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """Pairs of different components that share a list and pass all three filters."""
+    rows = rows.join(bits.select("doc_id", "bits"), "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    others = F.explode(F.expr("sequence(0L, blocks - 1)"))
+    left = rows.select("key", F.col("block").alias("i"), others.alias("j"), *(F.col(x).alias(f"{x}_a") for x in ("component", "n", "pos", "bits")), F.col("doc_id").alias("a"))
+    right = rows.select("key", others.alias("i"), F.col("block").alias("j"), *(F.col(x).alias(f"{x}_b") for x in ("component", "n", "pos", "bits")), F.col("doc_id").alias("b"))
+    return _filtered(left.join(right, ["key", "i", "j"]).where(F.expr("component_a < component_b AND " + _NEAR) & _alike()))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    shared = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs))
-    sets = written(document_sets(docs, shared), "sets")
-    shared.destroy()  # the sets are written; workers need not keep the counters
-    classes = written(sets.where("n > 0").groupBy("fp_a", "fp_b", "n").agg(F.min("doc_id").alias("class")), "classes")
-    # Members of classes other than their representatives, and empty sets, take no part in the search.
-    copies = written(sets.where("n > 0").select("doc_id", "fp_a", "fp_b", "n").join(classes, ["fp_a", "fp_b", "n"]).where("doc_id > class").select("doc_id").distinct(), "copies")
-    # Rows without a doc_id cannot be named in a pair; in the lists they would only part those that can.
-    lone = sets.where("n > 0 AND doc_id IS NOT NULL").join(checked_broadcast(copies, BROADCAST_ROWS), "doc_id", "left_anti")
-    entry = F.posexplode(F.arrays_zip("keys", "salts"))
-    postings = lone.select("doc_id", "n", entry.alias("pos", "entry")).selectExpr("doc_id", "n", "pos", "entry.keys AS key", "CAST(IF(entry.salts > 1, 1 + pmod(xxhash64(doc_id), entry.salts), 0) AS INT) AS salt")
-    # A list of one document is dropped here; all that follows works on lists of two and more, ``wide`` on three and more.
-    whole = Window.partitionBy("key", "salt").orderBy("doc_id")
-    dealt = postings.repartition("key", "salt").select("*", *(F.lag("doc_id", k).over(whole).alias(f"at_{k + 2}") for k in (-2, -1, 1, 2)))
-    wide = F.expr("salt > 0 OR (at_1 IS NOT NULL AND at_3 IS NOT NULL) OR at_0 IS NOT NULL OR at_4 IS NOT NULL")
-    lists = written(dealt.where("at_1 IS NOT NULL OR at_3 IS NOT NULL OR salt > 0").select("doc_id", "n", "pos", "key", "salt", wide.alias("wide")), "lists")
+    sets = written(document_sets(docs), "sets")
+    kinds = ["fp_a", "fp_b", "n"]
+    classes = written(sets.where("n > 0").groupBy(*kinds).agg(F.min("doc_id").alias("class"), F.count("*").alias("size")), "classes")
+    classed = written(sized_join(sets.where("n > 0").select("doc_id", *kinds), classes, kinds, "size").where("doc_id IS NOT NULL").select("doc_id", "class"), "classed")
+    by_doc = written(classed.groupBy("doc_id").agg(F.min("class").alias("first"), F.max("class").alias("last")).where("first <> doc_id OR first <> last"), "by-doc")
+    # Documents all of whose texts stand in an earlier class take no part in the search.
+    copies = written(by_doc.where("last < doc_id").select("doc_id"), "copies")
+    several = classed.join(by_doc.where("first <> last").select("doc_id"), "doc_id").select(F.col("doc_id").alias("u"), F.col("class").alias("v")).where("u <> v").distinct()
+
+    without = lambda df: df.where("doc_id IS NOT NULL").join(checked_broadcast(copies, BROADCAST_ROWS), "doc_id", "left_anti")
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    postings = postings_of(without(docs), total)
+    lists = listed(postings, ["least", "n", "doc_id"])
+    discard(postings)
     members = written(lists.select("doc_id").distinct(), "members")
-    bits = written(lone.join(checked_broadcast(members, BROADCAST_ROWS), "doc_id", "left_semi").select("doc_id", "n", "bits").dropDuplicates(["doc_id"]), "bits")
+    bits = written(without(sets).join(checked_broadcast(members, BROADCAST_ROWS), "doc_id", "left_semi").select("doc_id", "n", "bits").distinct(), "bits")
     side = lambda c: bits.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-
-    first = written(_neighbours(lists, ["key", "salt"], 0), "pairs")
-    likely = written(first.join(side("a"), "a").join(side("b"), "b").where(_alike()).select("a", "b"), "likely")
-    links = written(_verified(likely, docs), "links").selectExpr("a AS u", "b AS v")
-    groups = connected_components(links)
-    rest = written(_labelled(lists.where("wide").select("doc_id", "n", "pos", "key"), groups).join(bits.select("doc_id", "bits"), "doc_id"), "rest")
-    left, right = (rest.select("key", "component", F.col("doc_id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "pos", "bits"))) for c in "ab")
-    near = F.expr("component < other AND 100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)")
-    cross = _filtered(left.join(right.withColumnRenamed("component", "other"), "key").where(near & _alike()))
-    more = written(_verified(written(cross.join(likely, ["a", "b"], "left_anti"), "likely"), docs), "links")
-    if not more.isEmpty():
-        groups = connected_components(more.selectExpr("a AS u", "b AS v").unionByName(groups.selectExpr("node AS u", "component AS v")))
-    named = sets.select("doc_id", "n", "fp_a", "fp_b").join(classes, ["fp_a", "fp_b", "n"], "left").join(groups.withColumnRenamed("node", "class"), "class", "left")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class", "doc_id").alias("component_id"))
+    alike = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").where(_alike()).select("a", "b").distinct()
+
+    seen = written(alike(written(neighbours(lists), "pairs")), "likely")
+    links = verified(seen, docs)
+    groups = connected_components(links.selectExpr("a AS u", "b AS v").unionByName(several))
+    rows = parted(lists, groups)
+    mixed = listed(rows.withColumn("least", F.xxhash64("doc_id", "key")), ["least", "doc_id"])
+    likely = written(alike(written(neighbours(mixed), "pairs")).join(seen, ["a", "b"], "left_anti"), "likely")
+    links = verified(likely, docs)
+    seen = written(seen.unionByName(likely), "seen")
+    grown = lambda: groups.selectExpr("node AS u", "component AS v")
+    if not links.isEmpty():
+        groups = connected_components(links.selectExpr("a AS u", "b AS v").unionByName(grown()))
+        rows = parted(rows.withColumn("wide", F.lit(True)), groups)
+    likely = written(across(rows, bits).join(seen, ["a", "b"], "left_anti"), "likely")
+    links = verified(likely, docs)
+    if not links.isEmpty():
+        groups = connected_components(links.selectExpr("a AS u", "b AS v").unionByName(grown()))
+    # A copy takes its class's component, a document of several texts that of its own node.
+    stars = written(groups.withColumnRenamed("component", "own"), "components")
+    rooted = written(classes.join(stars.withColumnRenamed("node", "class"), "class", "left").select(*kinds, "size", F.coalesce("own", "class").alias("root")), "roots")
+    found = sized_join(sets.select("doc_id", *kinds), rooted, kinds, "size").join(stars.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("own", "root", "doc_id").alias("component_id"))
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,6 @@ scored one by one; a null doc_id is training data; other columns are ignored.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from functools import reduce
 
@@ -31,7 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import trimmed, written
+from .exchange import by_part, from_steps, pack, steps, unpack
+from .shared import forget_shuffles, trimmed, written
 from .tokens import _STEP, LOWER, mix, text_chunks, word_hashes, words
 
 SHARE = 2e-6
@@ -219,25 +219,6 @@ def _grams(tokens: np.ndarray, cuts: np.ndarray) -> tuple[dict[int, np.ndarray],
     return {1: tokens, 2: pair, 3: mix(pair[deep - 1] * _STEP[1] + tokens[deep])}, deep
 
 
-def _pack(*columns: np.ndarray) -> bytes:
-    planes = [np.ascontiguousarray(x).astype(np.int64, copy=False).view(np.uint8).reshape(-1, 8).T.tobytes() for x in columns]
-    return pa.compress(b"".join(planes), "zstd", asbytes=True)
-
-
-def _unpack(data, n: int, columns: int) -> list[np.ndarray]:
-    raw = np.frombuffer(pa.decompress(data, 8 * n * columns, "zstd"), np.uint8).reshape(columns, 8, n)
-    return [np.ascontiguousarray(x.T).view(np.int64).ravel() for x in raw]
-
-
-def _steps(keys: np.ndarray) -> np.ndarray:
-    """Sorted keys as differences, which pack well; ``_keys`` gives them back."""
-    return np.diff(keys, prepend=np.uint64(0)).view(np.int64)
-
-
-def _keys(steps: np.ndarray) -> np.ndarray:
-    return np.cumsum(steps.view(np.uint64), dtype=np.uint64)
-
-
 _FIELDS = pa.schema([("fold", pa.int64()), ("order", pa.int32()), ("part", pa.int32()), ("n", pa.int64()), ("data", pa.binary()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64()))])
 _MESSAGE = "fold long, order int, part int, n long, data binary, ids array<long>, lengths array<long>"
 
@@ -249,9 +230,7 @@ def _messages(rows: list[tuple]) -> pa.Table:
 
 def _by_part(fold: int, order: int, bits: int, keys: np.ndarray, *columns: np.ndarray) -> pa.Table:
     """Sorted keys and what goes with them, cut into parts of the hash space."""
-    part, start = np.unique(keys >> np.uint64(64 - bits), return_index=True)
-    ends = [*start.tolist()[1:], len(keys)]
-    return _messages([(fold, order, p, e - s, _pack(_steps(keys[s:e]), *(x[s:e] for x in columns))) for p, s, e in zip(part.tolist(), start.tolist(), ends, strict=True)])
+    return _messages([(fold, order, p, e - s, pack(steps(keys[s:e]), *(x[s:e] for x in columns))) for p, s, e in by_part(keys, 64 - bits)])
 
 
 class Fold:
@@ -268,11 +247,11 @@ class Fold:
         """The fold, its doc_ids and the answers by order, each aligned with the order's sorted n-grams."""
         part = part.sort_by([("order", "ascending"), ("part", "ascending")])
         order, sizes, data = part.column("order").to_numpy(), part.column("n").to_numpy(), part.column("data")
-        flat = _unpack(data[0].as_buffer(), int(sizes[0]), 1)[0]
+        flat = unpack(data[0].as_buffer(), int(sizes[0]), 1)[0]
         v = int(flat[0])
-        tokens = _keys(flat[1 : v + 1])[flat[v + 1 : 2 * v + 1]][flat[2 * v + 1 :]]
+        tokens = from_steps(flat[1 : v + 1])[flat[v + 1 : 2 * v + 1]][flat[2 * v + 1 :]]
         marked = np.array(part.column("lengths")[0].as_py())
-        told = {k: list(map(np.concatenate, zip(*(_unpack(data[int(r)].as_buffer(), int(sizes[r]), _ANSWERS[k]) for r in np.flatnonzero(order == k)), strict=True))) for k in set(order.tolist()) - {0}}
+        told = {k: list(map(np.concatenate, zip(*(unpack(data[int(r)].as_buffer(), int(sizes[r]), _ANSWERS[k]) for r in np.flatnonzero(order == k)), strict=True))) for k in set(order.tolist()) - {0}}
         return cls(tokens, marked >> 1, (marked & 1).astype(float)), part.column("ids")[0].as_py(), told
 
     def written(self, fold: int, ids: list) -> pa.Table:
@@ -280,8 +259,8 @@ class Fold:
         often = np.argsort(-times, kind="stable")
         place = np.empty(len(often), np.int64)
         place[often] = np.arange(len(often))
-        flat = np.concatenate([[len(words_)], _steps(words_), often, place[rank]])
-        return _messages([(fold, 0, 0, len(flat), _pack(flat), ids, self.lengths * 2 + self.learned.astype(np.int64))])
+        flat = np.concatenate([[len(words_)], steps(words_), often, place[rank]])
+        return _messages([(fold, 0, 0, len(flat), pack(flat), ids, self.lengths * 2 + self.learned.astype(np.int64))])
 
     def distinct(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted n-grams, a position of each and the place of each position's n-gram."""
@@ -346,8 +325,8 @@ def _answered(sent: DataFrame) -> DataFrame:
     def run(key: tuple, part: pa.Table) -> pa.Table:
         order, place = key[0].as_py(), key[1].as_py()
         folds, sizes = part.column("fold").to_numpy(), part.column("n").to_numpy()
-        steps, times, *more = zip(*(_unpack(x.as_buffer(), n, _SENT[order]) for x, n in zip(part.column("data"), sizes.tolist(), strict=True)), strict=True)
-        found, inverse = np.unique(np.concatenate([_keys(x) for x in steps]), return_inverse=True)
+        moves, times, *more = zip(*(unpack(x.as_buffer(), n, _SENT[order]) for x, n in zip(part.column("data"), sizes.tolist(), strict=True)), strict=True)
+        found, inverse = np.unique(np.concatenate([from_steps(x) for x in moves]), return_inverse=True)
         times = np.concatenate(times)
         counts = np.bincount(inverse, times, len(found)).astype(np.int64)
         trained = np.flatnonzero(times)
@@ -355,9 +334,9 @@ def _answered(sent: DataFrame) -> DataFrame:
         owned[trained[np.unique(inverse[trained], return_index=True)[1]]] = 1
         columns = [counts[inverse], owned, *(np.bincount(inverse, np.concatenate(x), len(found)).astype(np.int64)[inverse] for x in more)]
         ends = np.cumsum(sizes)
-        rows = [(f, order, place, e - s, _pack(*(x[s:e] for x in columns))) for f, s, e in zip(folds.tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True)]
+        rows = [(f, order, place, e - s, pack(*(x[s:e] for x in columns))) for f, s, e in zip(folds.tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True)]
         if order == 1:
-            rows.append((-1, 1, place, 1, _pack(counts.sum(keepdims=True), np.count_nonzero(counts, keepdims=True))))
+            rows.append((-1, 1, place, 1, pack(counts.sum(keepdims=True), np.count_nonzero(counts, keepdims=True))))
         return _messages(rows)
 
     return sent.groupBy("order", "part").applyInArrow(run, _MESSAGE)
@@ -379,9 +358,7 @@ def lm_scores(docs: DataFrame, training: Column) -> DataFrame:
 
     def kept(sent: DataFrame, name: str) -> DataFrame:
         out = written(_answered(sent), name)
-        # What the round has shuffled is of no more use; executors delete it once the driver forgets it.
-        gc.collect()
-        docs.sparkSession.sparkContext._jvm.System.gc()
+        forget_shuffles(docs.sparkSession)
         return out
 
     triples = kept(_folds(rows, 3, bits), "triples")
@@ -389,7 +366,7 @@ def lm_scores(docs: DataFrame, training: Column) -> DataFrame:
     singles = kept(next_order(1, pairs), "words")
     n = v = 0
     for r in singles.where("fold = -1").select("data").toLocalIterator():
-        part_n, part_v = _unpack(bytes(r.data), 1, 2)
+        part_n, part_v = unpack(bytes(r.data), 1, 2)
         n, v = n + int(part_n[0]), v + int(part_v[0])
 
     def finish(key: tuple, part: pa.Table) -> pa.Table:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -12,10 +13,16 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset (tests), a temporary one is set."""
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where it is unset, a session whose executors are this very process (tests) gets a temporary one; on a cluster there
+    is no place that all executors see, which is an error.
+    """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="rankweave-")
         context.setCheckpointDir(named)
     return named
@@ -26,12 +33,45 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``written`` has written, once all that reads it is written itself."""
+    for df in frames:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forget_shuffles(spark: SparkSession) -> None:
+    """Executors delete the files of shuffles that the driver no longer refers to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def checked_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """A broadcast hint only if the (already written) frame has at most ``rows`` rows; beyond that Spark shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """A broadcast hint only if the (already written) frame has at most ``rows`` rows; beyond that Spark shuffles.
+
+    The count reads file footers. Rows hold a few numbers each, so ``rows`` bounds the bytes.
+    """
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def sized_join(left: DataFrame, right: DataFrame, keys: list[str], size: str, most: int = 100_000) -> DataFrame:
+    """Left join with a (written) table of one row a key, whose column ``size`` says how many left rows hold the key.
+
+    Keys of over ``most`` rows, of which there are rows / ``most`` at the utmost, are broadcast, so their rows stay where
+    they are; the other keys meet by a shuffle in which no key is hot.
+    """
+    hot, cold = right.where(F.col(size) > most).drop(size), right.where(F.col(size) <= most).drop(size)
+    if hot.isEmpty():
+        return left.join(cold, keys, "left")
+    here = left.join(F.broadcast(hot.withColumn("is_hot", F.lit(True))), keys, "left")
+    named = here.where("is_hot").drop("is_hot")
+    return named.unionByName(left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, "left"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

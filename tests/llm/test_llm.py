@@ -92,10 +92,6 @@ def test_jaccard_components(docs, empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
-def test_salted_lists_join(docs, monkeypatch):
-    plain = {tuple(r) for r in jaccard_join.jaccard_components(docs).collect()}
-    monkeypatch.setattr(jaccard_join, "LIST_ROWS", 3)
-    assert {tuple(r) for r in jaccard_join.jaccard_components(docs).collect()} == plain
 
 
 def test_packing_round_trip(docs, empty):
@@ -308,3 +304,43 @@ def test_attention_gradient():
         down = loss()
         model.p[name][at] += 1e-5
         assert abs((up - down) / 2e-5 - g[at]) < 1e-6
+
+
+def brute_components(rows):
+    """(doc_id, n, component) by all pairs; the texts of one doc_id are one node."""
+    sets = [(i, shingle_set(t)) for i, t in rows]
+    parent = {i: i for i, _ in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, (a, x) in enumerate(sets):
+        for b, y in sets[:k]:
+            if x and y and 100 * len(x & y) >= 75 * len(x | y):
+                p, q = sorted((root(a), root(b)))
+                parent[q] = p
+    return sorted((i, len(s), root(i)) for i, s in sets)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_jaccard_small_folds_and_blocks(spark, monkeypatch, seed):
+    """Several folds, parts and blocks, families of near copies that share boilerplate, and ids of several texts."""
+    monkeypatch.setattr(jaccard_join, "FOLD", 400)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    rng = random.Random(seed)
+    word = lambda: "w" + str(rng.randrange(4000))
+    common = [word() for _ in range(14)]
+    rows = []
+    for family in range(12):
+        base = [word() for _ in range(rng.choice([6, 12, 30, 60]))]
+        for k in range(rng.choice([1, 2, 9, 20])):
+            own = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 4])):
+                own[rng.randrange(len(own))] = word()
+            rows.append((len(rows), " ".join([*common, *own][: rng.choice([len(own) + 14, len(own) + 13])])))
+    rows += [(3, rows[-1][1]), (3, rows[0][1]), (5, None), (900, "one two"), (901, "One two"), (902, ""), (2, rows[2][1])]
+    rng.shuffle(rows)
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(map(tuple, got.collect())) == brute_components(rows)
