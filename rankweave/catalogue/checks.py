@@ -152,8 +152,26 @@ def near_dup_pairs(spark, sf_dir: str) -> DataFrame:
 def greedy_dedup(spark, sf_dir: str) -> DataFrame:
     """Keep in order what no earlier kept row matches; here each family's first row."""
     f = bind.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), fingerprint(F.col("o_orderkey")).alias("code"))
-    edges = dedup.near_pairs(f, "k", "code").select(F.col("a").alias("early"), F.col("b").alias("late"))
-    return dedup.greedy_keep(edges, f.select(F.col("k").alias("node")))
+    return dedup.greedy_keep(dedup.pair_groups(dedup.near_pairs(f, "k", "code")), f.select(F.col("k").alias("node")))
+
+
+#: Decisions in order, each from the five before it (bits of ``w``) and the protected rows.
+_CHAIN = """WITH RECURSIVE o AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) AS i FROM orders),
+r AS (SELECT k, i, NOT (k % 1009 = 7) AS kept, CASE WHEN k % 1009 = 7 THEN 0 ELSE 1 END AS w FROM o WHERE i = 1
+    UNION ALL SELECT o.k, o.i, x.kept, CAST((w * 2) % 32 + CASE WHEN x.kept THEN 1 ELSE 0 END AS INT)
+    FROM r JOIN o ON o.i = r.i + 1, LATERAL (SELECT NOT (o.k % 1009 = 7 OR (o.k % 3 <> 0 AND w & 1 = 1) OR (o.k % 5 = 1 AND w & 2 = 2) OR (o.k % 4 = 2 AND w & 16 = 16)) AS kept) x)
+SELECT k AS node, kept FROM r"""
+
+
+@bind.register(QUERIES, ORACLE_SQL, "greedy_chain", _CHAIN)
+def greedy_chain(spark, sf_dir: str) -> DataFrame:
+    """One chain of all orders, each matching some of the five before it, with protected rows outside the cohort."""
+    o = bind.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    back = F.array(*(F.when(c, F.col("k") - d) for d, c in ((1, F.col("k") % 3 != 0), (2, F.col("k") % 5 == 1), (5, F.col("k") % 4 == 2))))
+    pairs = o.select("k", F.explode(back).alias("early")).where("early >= 0")
+    guarded = o.where("k % 1009 = 7").select(F.lit(-1).cast("long").alias("early"), "k")
+    members = dedup.pair_groups(pairs.select("early", "k").unionByName(guarded), "early", "k")
+    return dedup.greedy_keep(members, o.withColumnRenamed("k", "node"), o.agg(F.lit(-1).cast("long").alias("node")))
 
 
 @bind.register(QUERIES, ORACLE_SQL, "state_counts", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(bit_and(o_orderkey) AS BIGINT) AS low FROM orders GROUP BY ALL")

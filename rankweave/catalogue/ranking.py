@@ -39,6 +39,16 @@ def rank_metrics_by_dataset(spark, sf_dir: str) -> DataFrame:
     return bind.rounded(ranking.rank_metrics(bind.scored(spark, sf_dir), ["ds"], "y", "score_a"))
 
 
+_FINE = "SELECT l_returnflag AS ds, 1 - 2 * l_discount AS y, (1 - l_quantity / 50) * 0.5 + l_extendedprice / 1e6 AS s FROM lineitem"
+
+
+@bind.register(QUERIES, ORACLE_SQL, "rank_metrics_continuous", metrics_sql(["ds"], bind.SCORED_SQL, _FINE))
+def rank_metrics_continuous(spark, sf_dir: str) -> DataFrame:
+    """Scores with nearly as many values as rows: buckets, not scopes, meet in a task."""
+    q = bind.table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("ds"), (1 - 2 * F.col("l_discount")).alias("y"), ((1 - F.col("l_quantity") / 50) * 0.5 + F.col("l_extendedprice") / 1e6).alias("s"))
+    return bind.rounded(ranking.rank_metrics(q, ["ds"], "y", "s"))
+
+
 @bind.register(QUERIES, ORACLE_SQL, "subgroup_cube", metrics_sql(["scope", "ds", "part"], bind.SCORED_SQL, """SELECT x.scope, ds, CASE x.scope WHEN 'finding' THEN finding WHEN 'variant' THEN variant::VARCHAR
     WHEN 'finding_variant' THEN finding || '|' || variant ELSE '' END AS part, y, score_a AS s FROM scored, (VALUES ('all'), ('finding'), ('variant'), ('finding_variant')) x(scope)"""))
 def subgroup_cube(spark, sf_dir: str) -> DataFrame:

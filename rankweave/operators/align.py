@@ -70,10 +70,14 @@ def chunked(df: DataFrame, order: list[str], size: int, by: list[str] | None = N
 
 
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """0-based global positions: a range-partitioned sort, counts per partition, and their running sums broadcast."""
-    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    local = Window.partitionBy("part").orderBy(*order)
-    ranked = spread.withColumn("within", F.row_number().over(local) - 1)
+    """0-based global positions: a range-partitioned sort, counts per partition, and their running sums.
+
+    The number of ranges is fixed, so they are not coalesced differently where the plan uses them twice. The sums are
+    one row a range.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    ranked = spread.withColumn("within", F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1)
     sizes = ranked.groupBy("part").agg(F.count("*").alias("size"))
     before = sizes.withColumn("base", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return ranked.join(F.broadcast(before.select("part", "base")), "part").withColumn("position", F.col("base") + F.col("within")).drop("part", "within", "base")

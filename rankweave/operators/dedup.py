@@ -1,14 +1,26 @@
-"""Near duplicates by banded fingerprints, greedy in order."""
+"""Near duplicates by banded fingerprints and exact hashes, kept greedily in order."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from collections.abc import Iterator
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .skew import sized_join
+
 #: Hamming distance that nine bands of 256 bits find for certain: of nine bands, eight differing bits leave one equal.
 RADIUS = 8
+#: Widest mean difference of two thumbnails that still are one picture.
+THUMBNAIL = 12.0
+#: Codes of one band that meet in one task; a larger band is cut into blocks.
+BLOCK = 4_000
+#: Memberships (24 bytes and their names) that a greedy scan ends in one task.
+LOCAL_ROWS = 1_000_000
 
 
 def lanes(code: Column) -> Column:
@@ -16,64 +28,160 @@ def lanes(code: Column) -> Column:
     return F.array(*(F.conv(F.substring(code, 1 + 16 * k, 16), 16, -10).cast("long") for k in range(4)))
 
 
-def bands(code: Column) -> Column:
-    """Nine bands: eight of 28 bits and one of 32, as numbered strings of hex digits."""
-    cuts = [(1 + 7 * k, 7) for k in range(8)] + [(57, 8)]
-    return F.array(*(F.concat(F.lit(f"{k}:"), F.substring(code, a, n)) for k, (a, n) in enumerate(cuts)))
+#: First bit and width of the nine bands, from the left: eight of 28 bits and one of 32.
+BANDS = [(28 * k, 28) for k in range(8)] + [(224, 32)]
+
+
+def _pieces(start: int, width: int) -> Iterator[tuple[int, int, int]]:
+    """(lane, right shift, width) of the parts of a band that lie in each lane."""
+    while width:
+        lane, at = divmod(start, 64)
+        take = min(width, 64 - at)
+        yield lane, 64 - at - take, take
+        start, width = start + take, width - take
+
+
+def bands(lanes_: Column) -> Column:
+    """The nine bands of a code as numbers, from its lanes."""
+
+    def band(start: int, width: int) -> Column:
+        out = F.lit(0).cast("long")
+        for lane, right, take in _pieces(start, width):
+            out = F.shiftleft(out, take).bitwiseOR(F.shiftrightunsigned(lanes_[lane], right).bitwiseAND(F.lit((1 << take) - 1)))
+        return out
+
+    return F.array(*(band(*x) for x in BANDS))
+
+
+def _first_shared(a: Column, b: Column) -> Column:
+    """The first band in which two codes are equal, from their lanes."""
+    out = F.when(F.lit(False), F.lit(0))
+    for k, x in enumerate(BANDS):
+        equal = reduce(Column.__and__, (F.shiftrightunsigned(a[lane].bitwiseXOR(b[lane]), right).bitwiseAND(F.lit((1 << take) - 1)) == 0 for lane, right, take in _pieces(*x)))
+        out = out.when(equal, F.lit(k))
+    return out
 
 
 def hamming(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    """Differing bits of two codes, from their lanes."""
+    return reduce(Column.__add__, (F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(4)))
 
 
 def near_pairs(df: DataFrame, key: str, code: str, radius: int = RADIUS) -> DataFrame:
     """(a, b, distance), a < b, for different codes within ``radius``; equal codes are one class and do not pair.
 
-    The self-join runs on distinct codes (exact copies collapse first), so a hot code costs one row; pairs found in
-    several bands are verified once, in the least band they share.
+    The self-join runs on distinct codes (exact copies collapse first), so a hot code costs one row; a pair found in
+    several bands counts in the first band it shares. Rows carry the key, the lanes and one band. A band value of many
+    codes (blank pictures) is cut into blocks, and every two blocks meet in a task of their own. A null code or key
+    pairs with nothing.
     """
-    classes = df.groupBy(code).agg(F.min(key).alias("k"))
-    opened = classes.select("k", lanes(F.col(code)).alias("l"), bands(F.col(code)).alias("all"), F.posexplode(bands(F.col(code))).alias("p", "band"))
-    a, b = (opened.select(*(F.col(c).alias(f"{c}_{s}") for c in ("k", "l", "all", "p")), "band") for s in "ab")
-    first = F.array_position(F.zip_with("all_a", "all_b", lambda x, y: x == y), F.lit(True)) - 1
-    pairs = a.join(b, "band").where((F.col("k_a") < F.col("k_b")) & (first == F.col("p_a")))
-    return pairs.select(F.col("k_a").alias("a"), F.col("k_b").alias("b"), hamming(F.col("l_a"), F.col("l_b")).alias("distance")).where(F.col("distance") <= radius)
+    classes = df.where(F.col(code).isNotNull() & F.col(key).isNotNull()).groupBy(code).agg(F.min(key).alias("k")).select("k", lanes(F.col(code)).alias("l"))
+    opened = classes.select("k", "l", F.posexplode(bands(F.col("l"))).alias("p", "band"))
+    sizes = opened.groupBy("p", "band").agg((1 + F.expr(f"(count(*) - 1) DIV {BLOCK}")).alias("blocks")).where("blocks > 1")
+    cut = opened.join(F.broadcast(sizes), ["p", "band"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")))
+    others = F.explode(F.expr("sequence(0L, blocks - 1)"))
+    a = cut.select("p", "band", F.col("block").alias("i"), others.alias("j"), F.col("k").alias("a"), F.col("l").alias("x"))
+    b = cut.select("p", "band", others.alias("i"), F.col("block").alias("j"), F.col("k").alias("b"), F.col("l").alias("y"))
+    pairs = a.join(b, ["p", "band", "i", "j"]).where((F.col("a") < F.col("b")) & (hamming(F.col("x"), F.col("y")) <= radius) & (_first_shared(F.col("x"), F.col("y")) == F.col("p")))
+    return pairs.select("a", "b", hamming(F.col("x"), F.col("y")).alias("distance"))
+
+
+def thumbnail_difference(a: Column, b: Column) -> Column:
+    """Mean absolute difference of two thumbnails given as binary of equal length."""
+    bytes_of = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.conv(F.hex(F.substring(x, i, F.lit(1))), 16, 10).cast("int"))
+    apart = F.zip_with(bytes_of(a), bytes_of(b), lambda x, y: F.abs(x - y))
+    return F.aggregate(apart, F.lit(0).cast("long"), lambda s, x: s + x) / F.length(a)
+
+
+def memberships(df: DataFrame, key: str, exact: list[str], code: str, thumbnail: str, radius: int = RADIUS, most: float = THUMBNAIL) -> DataFrame:
+    """(group, node): rows of one group match each other. Equal values of an exact hash are one group however many rows
+    hold them; a near pair (codes within ``radius`` and thumbnails within ``most``) is a group of two."""
+    hashes = [df.where(F.col(h).isNotNull()).select(F.concat(F.lit(f"{h}:"), F.col(h).cast("string")).alias("group"), F.col(key).alias("node")) for h in exact]
+    # Rows of one code and thumbnail match each other and pair alike, so pairs are sought between those classes.
+    kinds = df.where(F.col(code).isNotNull()).groupBy(code, thumbnail).agg(F.min(key).alias("kind"))
+    alike = df.join(kinds, [code, thumbnail]).select("kind", F.col(key).alias("node"))
+    hashes.append(alike.select(F.concat(F.lit("kind:"), F.col("kind").cast("string")).alias("group"), "node"))
+    codes = kinds.select(code, thumbnail, "kind")
+    near = near_pairs(codes, "kind", code, radius).select("a", "b")
+    by_code = codes.groupBy(code).agg(F.min("kind").alias("first"))
+    named = codes.join(by_code, code).select("first", "kind", F.col(thumbnail).alias("picture"))
+    twins = by_code.select(F.col("first").alias("a"), F.col("first").alias("b"))
+    side = lambda c: named.select(F.col("first").alias(c), F.col("kind").alias(f"kind_{c}"), F.col("picture").alias(f"picture_{c}"))
+    found = near.unionByName(twins).join(side("a"), "a").join(side("b"), "b").where("a < b OR kind_a < kind_b").where(thumbnail_difference(F.col("picture_a"), F.col("picture_b")) <= most)
+    pairs = found.select(F.concat_ws(":", F.lit("near"), F.col("kind_a").cast("string"), F.col("kind_b").cast("string")).alias("group"), F.explode(F.array("kind_a", "kind_b")).alias("kind"))
+    # All rows of the two classes match each other, so they are one group.
+    return reduce(DataFrame.unionByName, hashes).unionByName(pairs.join(alike, "kind").select("group", "node")).distinct()
+
+
+def _folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary one only where the executors are this process."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="rankweave-")
+        context.setCheckpointDir(folder)
+    return folder
 
 
-def greedy_keep(edges: DataFrame, nodes: DataFrame, protected: DataFrame | None = None, max_rounds: int | None = None) -> DataFrame:
-    """Nodes kept by the sequential rule: keep a row unless an earlier kept (or protected) row matches it.
+def pair_groups(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(group, node) of matching pairs."""
+    return pairs.select(F.concat_ws(":", F.col(a).cast("string"), F.col(b).cast("string")).alias("group"), F.explode(F.array(a, b)).alias("node"))
 
-    Rounds decide every row whose earlier neighbours are decided; each is written to the checkpoint folder. Equals the
-    one-by-one scan, since a decision depends on earlier rows only. ``edges``: (early, late). Every node is in the result:
-    rows still open after ``max_rounds``, or in a cycle of edges, are an error.
-    """
-    spark = nodes.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        import tempfile
 
-        folder = "file://" + tempfile.mkdtemp(prefix="rankweave-")
-        spark.sparkContext.setCheckpointDir(folder)
+def greedy_keep(members: DataFrame, nodes: DataFrame, seeds: DataFrame | None = None, local_rows: int = LOCAL_ROWS) -> DataFrame:
+    """(node, kept) by the sequential rule: in the order of ``node`` keep a row unless an earlier kept row matches it.
+
+    ``members``: (group, node), rows of one group match each other. ``seeds``: (node), kept before all others, whether in
+    ``nodes`` or not; of the result only those of ``nodes`` are part. Rounds decide every row all of whose earlier
+    matches are decided, by the least kept and the least open node of each group, so a group of any size costs its
+    rows; each round is written, and decided rows leave the table. The first open row is decided in each round, so
+    rounds end with no row open. Once no more than ``local_rows`` memberships are open, one task scans the rest in
+    order. A null node is no row.
+    """
+    spark, folder = nodes.sparkSession, _folder(nodes.sparkSession)
 
     def saved(df: DataFrame) -> DataFrame:
         path = f"{folder}/greedy-{uuid.uuid4().hex}"
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    state = nodes.select("node", F.lit(None).cast("boolean").alias("kept"))
-    if protected is not None:
-        state = state.join(protected.select("node", F.lit(True).alias("seed")), "node", "left").select("node", F.col("seed").alias("kept"))
-    # Rows that no edge reaches as the later side are kept at once and never enter a round.
-    late = edges.select(F.col("late").alias("node")).distinct().withColumn("touched", F.lit(True))
-    state = saved(state.join(late, "node", "left").select("node", F.coalesce("kept", F.when(F.col("touched").isNull(), True)).alias("kept")))
-    decided, left = state.where("kept IS NOT NULL"), None
-    open_, live, rounds = saved(state.where("kept IS NULL")), saved(edges), 0
-    while n := open_.count():
-        if n == left or rounds == max_rounds:
-            raise RuntimeError(f"{n} rows are undecided after {rounds} rounds")
-        early = live.join(decided.withColumnRenamed("node", "early").withColumnRenamed("kept", "early_kept"), "early", "left")
-        fate = early.groupBy(F.col("late").alias("node")).agg(F.max(F.coalesce("early_kept", F.lit(False))).alias("hit"), F.max(F.col("early_kept").isNull()).alias("waits"))
-        now = saved(open_.join(fate, "node", "left").select("node", F.when(F.col("hit"), False).when(F.coalesce("waits", F.lit(False)), None).otherwise(True).alias("kept")))
-        decided = saved(decided.unionByName(now.where("kept IS NOT NULL")))
-        open_, left, rounds = now.where("kept IS NULL"), n, rounds + 1
-    return decided
+    rows = nodes.select("node").where("node IS NOT NULL").distinct().withColumn("seed", F.lit(False))
+    if seeds is not None:
+        rows = rows.unionByName(seeds.select("node").distinct().withColumn("seed", F.lit(True))).groupBy("node").agg(F.max("seed").alias("seed"))
+    kept = F.when(F.col("seed"), F.lit(True))
+    live = saved(members.select("group", "node").distinct().join(rows, "node").select("group", "node", F.when(F.col("seed"), F.lit(-(2**63))).otherwise(F.col("node")).alias("rank"), kept.alias("kept")))
+    decided = []
+    while live.where("kept IS NULL").limit(1).count():
+        if live.count() <= local_rows:
+            decided.append(saved(live.groupBy(F.lit(0).alias("all")).applyInArrow(_scan, "node long, kept boolean")))
+            break
+        groups = saved(live.groupBy("group").agg(F.min(F.when(F.col("kept"), F.col("rank"))).alias("first_kept"), F.min(F.when(F.col("kept").isNull(), F.col("rank"))).alias("first_open"), F.count("*").alias("size")))
+        # Groups with no open row have nothing more to say.
+        joined = sized_join(live, groups, ["group"], "size").where("first_open IS NOT NULL")
+        fate = joined.where("kept IS NULL").groupBy("node").agg(F.max(F.coalesce(F.col("first_kept") < F.col("rank"), F.lit(False))).alias("hit"), F.max(F.col("first_open") < F.col("rank")).alias("waits"))
+        now = saved(fate.where("hit OR NOT waits").select("node", (~F.col("hit")).alias("fate")))
+        decided.append(now.withColumnRenamed("fate", "kept"))
+        live = saved(joined.select("group", "node", "rank", "kept").join(now, "node", "left").where("coalesce(fate, true)").select("group", "node", "rank", F.coalesce("kept", "fate").alias("kept")))
+    found = reduce(DataFrame.unionByName, decided) if decided else spark.createDataFrame([], "node long, kept boolean")
+    # Rows that match nothing, and seeds, are kept.
+    return nodes.select("node").where("node IS NOT NULL").distinct().join(found, "node", "left").select("node", F.coalesce("kept", F.lit(True)).alias("kept"))
+
+
+def _scan(key: tuple, part: pa.Table) -> pa.Table:
+    """The one-by-one rule over the memberships that are left."""
+    taken: set[str] = set()
+    groups: dict[int, list[str]] = {}
+    for group, node, kept in zip(*(part.column(c).to_pylist() for c in ("group", "node", "kept")), strict=True):
+        if kept:
+            taken.add(group)
+        else:
+            groups.setdefault(node, []).append(group)
+    order, kept = sorted(groups), []
+    for node in order:
+        kept.append(not any(g in taken for g in groups[node]))
+        if kept[-1]:
+            taken.update(groups[node])
+    return pa.table([pa.array(order, pa.int64()), pa.array(kept, pa.bool_())], ["node", "kept"])

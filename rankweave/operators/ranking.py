@@ -1,16 +1,21 @@
 """Tie-aware ranking metrics over tie blocks.
 
-A tie block holds all rows of one scope with one score, reduced to counts and sums before any window runs; windows then
-see one row per distinct score. "Bad" is a truth under ``cut``. Labels never break ties: expectations inside a block
+A tie block holds all rows of one scope with one score, reduced to counts and sums before any window runs. Windows see
+one row per distinct score and never a whole scope: a scope's scores are cut into buckets at approximate quantiles, sums
+of whole buckets are added up first, and a window runs inside each bucket. "Bad" is a truth under ``cut``. Labels never break ties: expectations inside a block
 are closed forms with harmonic numbers, which are column expressions, so no table of them is joined.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CUT = 0.9
+#: Buckets of a scope's scores; a window sees about one in so many of its distinct values.
+BUCKETS = 128
 COVERAGES = (0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
 
 
@@ -33,16 +38,36 @@ def tie_blocks(df: DataFrame, by: list[str], truth: str, score: str, weight: str
     )
 
 
+def same_scope(by: list[str], left: str, right: str) -> Column | bool:
+    """Null-safe equality of the scope columns of two aliased frames."""
+    return reduce(Column.__and__, (F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in by), F.lit(True))
+
+
+def running(blocks: DataFrame, by: list[str], value: str, sums: list[str]) -> DataFrame:
+    """``blocks`` with, for each of ``sums``, ``<c>_before`` over the rows of the scope with a larger value and
+    ``<c>_total`` over the scope. ``value`` is a number, not null, and differs from row to row of a scope.
+
+    Buckets hang on values alone, so equal values never part and a recomputed task places its rows alike.
+    """
+    edges = [k / BUCKETS for k in range(1, BUCKETS)]
+    cuts = blocks.groupBy(*by).agg(F.percentile_approx(F.col(value).cast("double"), edges, 1000).alias("cuts"))
+    at = F.size(F.filter("cuts", lambda c: c > F.col(value))).alias("bucket")
+    placed = blocks.alias("x").join(cuts.alias("y"), same_scope(by, "x", "y")).select("x.*", at)
+    whole = placed.groupBy(*by, "bucket").agg(*(F.sum(c).alias(f"{c}_own") for c in sums))
+    # One row a bucket: at most BUCKETS rows of a scope meet here.
+    order = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = whole.select(*by, "bucket", *(F.coalesce(F.sum(f"{c}_own").over(order), F.lit(0)).alias(f"{c}_base") for c in sums), *(F.sum(f"{c}_own").over(Window.partitionBy(*by)).alias(f"{c}_total") for c in sums))
+    joined = placed.alias("x").join(base.alias("y"), same_scope([*by, "bucket"], "x", "y")).select("x.*", *(f"y.{c}_{k}" for c in sums for k in ("base", "total")))
+    within = Window.partitionBy(*by, "bucket").orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
+    before = [(F.col(f"{c}_base") + F.coalesce(F.sum(c).over(within), F.lit(0))).alias(f"{c}_before") for c in sums]
+    return joined.select(*blocks.columns, *before, *(f"{c}_total" for c in sums))
+
+
 def prefixed(blocks: DataFrame, by: list[str]) -> DataFrame:
-    """Blocks with what ranks before them: best scores first (desc) and worst first (asc), and scope totals."""
-    best = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
-    worst = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
-    before = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
-    return blocks.select(
-        "*", before("n", best).alias("n_before"), before("bad", best).alias("bad_before"), before("n", worst).alias("n_under"), before("bad", worst).alias("bad_under"),
-        F.sum("n").over(whole).alias("total"), F.sum("bad").over(whole).alias("total_bad"),
-    )
+    """Blocks with what ranks before them: best scores first (before) and worst first (under), and scope totals."""
+    b = running(blocks, by, "score", ["n", "bad"])
+    under = lambda c: (F.col(f"{c}_total") - F.col(f"{c}_before") - F.col(c)).alias(f"{c}_under")
+    return b.select(*blocks.columns, "n_before", "bad_before", under("n"), under("bad"), F.col("n_total").alias("total"), F.col("bad_total").alias("total_bad"))
 
 
 def rank_metrics(df: DataFrame, by: list[str], truth: str, score: str, weight: str | None = None) -> DataFrame:
@@ -93,15 +118,14 @@ def curve_points(df: DataFrame, by: list[str], truth: str, score: str, resolutio
 def spearman(df: DataFrame, by: list[str], truth: str, score: str) -> DataFrame:
     """Pearson correlation of average ranks; NULL where a side is constant (``corr`` would raise under ANSI).
 
-    Ranks come from per-value counts, so windows run over distinct values; rows meet their ranks by equi-joins.
+    Ranks come from per-value counts, added up in buckets; rows meet their ranks by equi-joins.
     """
     rows = df.where(F.col(truth).isNotNull() & F.col(score).isNotNull())
     pairs = rows.groupBy(*by, F.col(truth).alias("t"), F.col(score).alias("s")).agg(F.count("*").alias("n"))
 
     def ranks(value: str) -> DataFrame:
-        order = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        counts = pairs.groupBy(*by, value).agg(F.sum("n").alias("m"))
-        return counts.select(*by, value, (F.coalesce(F.sum("m").over(order), F.lit(0)) + (F.col("m") + 1) / 2).alias(f"r_{value}"))
+        counts = running(pairs.groupBy(*by, value).agg(F.sum("n").alias("m")), by, value, ["m"])
+        return counts.select(*by, value, (F.col("m_total") - F.col("m_before") - F.col("m") + (F.col("m") + 1) / 2).alias(f"r_{value}"))
 
     x, y, n = F.col("r_t"), F.col("r_s"), F.col("n")
     moments = pairs.join(ranks("t"), [*by, "t"]).join(ranks("s"), [*by, "s"]).groupBy(*by).agg(
@@ -123,13 +147,13 @@ def budget_curves(df: DataFrame, by: list[str], truth: str, score: str, budgets=
     w = F.col(weight) if weight else F.lit(1)
     bad = F.when(F.col(truth) < CUT, w).otherwise(0)
     b = df.where(w > 0).groupBy(*by, F.col(score).alias("score")).agg(F.sum(w).cast("double").alias("w"), F.sum(bad).cast("double").alias("bad"))
-    whole = Window.partitionBy(*by)
-    order = Window.partitionBy(*by).orderBy(F.asc_nulls_first("score")).rowsBetween(Window.unboundedPreceding, -1)
-    missing = F.sum(F.when(F.col("score").isNull(), F.col("w")).otherwise(0.0)).over(whole)
-    b = b.select("*", F.sum("w").over(whole).alias("total"), F.sum("bad").over(whole).alias("total_bad"), missing.alias("missing"), F.coalesce(F.sum("w").over(order), F.lit(0.0)).alias("before"))
+    scopes = b.groupBy(*by).agg(F.sum("w").alias("total"), F.sum("bad").alias("total_bad"), F.sum(F.when(F.col("score").isNull(), F.col("w")).otherwise(0.0)).alias("missing"))
+    ranked = running(b.where("score IS NOT NULL"), by, "score", ["w"])
+    placed = ranked.select(*b.columns, (F.col("w_total") - F.col("w_before") - F.col("w")).alias("lower")).unionByName(b.where("score IS NULL").withColumn("lower", F.lit(0.0)))
+    b = placed.alias("x").join(scopes.alias("y"), same_scope(by, "x", "y")).select("x.*", "y.total", "y.total_bad", "y.missing")
     at = b.select("*", F.explode(F.array(*(F.lit(float(x)) for x in budgets))).alias("budget"))
     quota = F.greatest(F.lit(0.0), F.col("budget") * F.col("total") - F.col("missing"))
-    picked = F.when(F.col("score").isNull(), 1.0).otherwise(F.least(F.greatest(quota - (F.col("before") - F.col("missing")), F.lit(0.0)), F.col("w")) / F.col("w"))
+    picked = F.when(F.col("score").isNull(), 1.0).otherwise(F.least(F.greatest(quota - F.col("lower"), F.lit(0.0)), F.col("w")) / F.col("w"))
     return at.groupBy(*by, "budget").agg(F.sum(picked * F.col("w")).alias("reviewed"), F.sum(picked * F.col("bad")).alias("bad_reviewed"), F.first("total").alias("total"), F.first("total_bad").alias("total_bad")).select(
         *by, "budget", "reviewed", "bad_reviewed", F.try_divide("bad_reviewed", "total_bad").alias("recall"), F.try_divide(F.col("total_bad") - F.col("bad_reviewed"), F.col("total") - F.col("reviewed")).alias("risk_left")
     )

@@ -7,20 +7,24 @@ draws table has replicates times groups rows at most and is never joined with ro
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .align import numbered
+from .ranking import same_scope
+
 
 def hash_draws(groups: DataFrame, strata: list[str], group: str, replicates: int, seed: int = 17) -> DataFrame:
     """(strata, rep, group, w): multiplicities by stratum; ``groups`` has one row per group, also those without rows."""
-    # The stratum's groups are numbered by range-partitioned order inside each stratum only.
-    order = Window.partitionBy(*strata).orderBy(group) if strata else Window.partitionBy(F.lit(0)).orderBy(group)
-    whole = Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(0))
-    numbered = groups.select(*strata, group, (F.row_number().over(order) - 1).alias("k"), F.count("*").over(whole).alias("size"))
+    # Groups are numbered over all strata in order; a stratum's first number makes its own.
+    places = numbered(groups.select(*strata, group), [*strata, group])
+    firsts = places.groupBy(*strata).agg(F.min("position").alias("first"), F.count("*").alias("size"))
+    joined = places.alias("x").join(firsts.alias("y"), same_scope(strata, "x", "y"))
+    numbers = joined.select(*(f"x.{c}" for c in (*strata, group)), (F.col("position") - F.col("first")).alias("k"), "size")
     name = F.concat_ws(":", *strata, F.lit(str(seed)), F.col("rep"), F.col("k"))
-    drawn = numbered.select(*strata, "k", "size", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+    drawn = numbers.select(*strata, "k", "size", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
     picks = drawn.select(*strata, "rep", F.pmod(F.conv(F.substring(F.sha2(name, 256), 1, 12), 16, 10).cast("long"), F.col("size")).alias("k"))
-    return picks.groupBy(*strata, "rep", "k").agg(F.count("*").alias("w")).join(numbered.select(*strata, "k", group), [*strata, "k"]).select(*strata, "rep", group, "w")
+    return picks.groupBy(*strata, "rep", "k").agg(F.count("*").alias("w")).join(numbers.select(*strata, "k", group), [*strata, "k"]).select(*strata, "rep", group, "w")
 
 
 def generator_draws(spark: SparkSession, n_groups: int, replicates: int, seed: int = 17) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rankweave import catalogue
 from rankweave.functions import claims, ids, raster
-from rankweave.operators import align, contracts, dedup, ranking
+from rankweave.operators import align, contracts, dedup, ranking, reports
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SF = "/root/testdata/sf0.001"
@@ -54,22 +54,77 @@ def test_metric_goldens(spark):
     assert good.aurc == 0 and bad.aurc == 1 and good.auroc is None and bad.auroc is None and bad.eaurc == 0
 
 
-def test_claims():
-    found = lambda x: claims.analyse(x)[0]
-    reasons = {"Prior pneumothorax.": "history", "Pneumothorax has resolved.": "resolved", "No new consolidation.": "comparison", "Possible consolidation.": "uncertain", "No focal consolidation or atelectasis.": "ambiguous_modifier_scope"}
-    assert {x: found(x)[0]["skip_reason"] for x in reasons} == reasons
-    text = "É. No pleural effusion or pneumothorax."
-    assert [text[c["start"] : c["end"]] for c in found(text)] == ["pleural effusion", "pneumothorax"]
-    first = {**found(text)[0], "abstain": True, "reason": "low", "support_score": 0.1}
-    out = claims.apply_edits(text, [first, first, None])
-    assert [x["reason"] for x in out["skipped_edits"]] == ["duplicate_decision", "duplicate_decision", "invalid_decision"]
-    text = "No pleural effusion or pneumothorax."
-    first = {**found(text)[0], "abstain": True, "reason": "low", "support_score": None}
-    assert claims.apply_edits(text, [first])["edited_findings"] == "No pneumothorax; the current image does not support confident exclusion of pleural effusion."
-    review = claims.geometry_review(text, [first])
-    assert claims.audit_review(text, [first], review)
-    with pytest.raises(ValueError):
-        claims.geometry_review(text, [{**first, "claim_id": "stale"}])
+#: Sentences and why their mentions may not be touched.
+HAZARDS = {
+    "History of pneumothorax.": "history", "The pleural effusion has resolved.": "resolved", "Cannot exclude consolidation.": "uncertain", "Pleural effusion is not excluded.": "uncertain",
+    "No interval change in pleural effusion.": "comparison", "No new pneumothorax.": "comparison", "No significant pleural effusion.": "qualified_assertion", "No large pneumothorax.": "qualified_assertion",
+    "No pleural effusion with adjacent consolidation.": "ambiguous_scope", "No left pleural effusion or pneumothorax.": "ambiguous_modifier_scope", "No focal consolidation or atelectasis.": "ambiguous_modifier_scope",
+    "No airspace consolidation or atelectasis.": "ambiguous_modifier_scope", "No pleural effusion and pneumothorax.": "ambiguous_scope", "No pleural effusion or pneumothorax and a left basilar opacity is present.": "ambiguous_scope",
+    "Pneumothorax is present.": "not_explicit_negative", "Pleural effusion or pneumothorax is absent.": "ambiguous_scope", "No pleural effusion, consolidation is present.": "ambiguous_scope", "Neither pneumothorax is seen.": "ambiguous_scope",
+}
+SAFE = [
+    "There is no evidence of consolidation, pulmonary edema, pleural effusion, or pneumothorax.", "No focal consolidation, pleural effusion, or pneumothorax.", "No pleural effusions or pneumothorax are identified.",
+    "Neither pleural effusion nor pneumothorax is seen.", "Pleural effusion and pneumothorax are absent.", "WITHOUT pleural\u00a0effusion or Pneumothorax.",
+]
+
+
+def test_claims(spark):
+    odd = "  FINDINGS:\n  α😀 Small left pleural effusion.\r\nNo pneumothorax!  "
+    rows = [(k, x) for k, x in enumerate([*HAZARDS, *SAFE, odd, "No effusion or opacity.", "", None, "No pneumothorax, but small left pleural effusion is present."])]
+    texts = dict(rows)
+    found = {}
+    for r in claims.extract_claims(spark.createDataFrame(rows, "k long, text string"), "k", "text").collect():
+        x = texts[r.k]
+        assert x[r.start : r.end] == r.claim_text and x[r.sentence_start : r.sentence_end] == r.sentence_text
+        found.setdefault(x, []).append((r.start, r.finding, r.eligible, r.skip_reason, r.polarity, r.laterality))
+    for x, why in HAZARDS.items():
+        assert {c[2:4] for c in found[x]} == {(False, why)}, x
+    for x in SAFE:
+        assert all(c[2] and c[4] == "negative" for c in found[x]), x
+    assert [c[1:] for c in sorted(found[odd])] == [("pleural_effusion", False, "qualified_assertion", "positive", "left"), ("pneumothorax", True, None, "negative", "unspecified")]
+    assert [c[1:3] for c in sorted(found[rows[-1][1]])] == [("pneumothorax", True), ("pleural_effusion", False)]
+    assert set(found) == {*HAZARDS, *SAFE, odd, rows[-1][1]}
+
+
+def decided(spark, rows, findings=None, **more):
+    df = spark.createDataFrame(rows, "k long, text string")
+    d = claims.extract_claims(df, "k", "text").withColumns({"abstain": F.col("finding").isin(*findings) if findings else F.lit(True), "support_score": F.lit(0.15), "reason": F.lit("low")})
+    return df, d
+
+
+def test_edits(spark):
+    end = "the current image does not support confident exclusion of"
+    rows = [(1, "No pleural effusion or pneumothorax."), (2, "É. No consolidation, pulmonary edema, pleural effusion, or pneumothorax are seen.\nTube is unchanged."), (3, "No pleural effusion or pneumothorax, but left atelectasis is present."), (4, "Lungs clear."), (5, None)]
+    df, d = decided(spark, rows, ["pleural_effusion"])
+    out = {r.k: r for r in reports.edit_reports(df, d, "k", "text").collect()}
+    assert out[1].edited_findings == f"No pneumothorax; {end} pleural effusion."
+    assert out[2].edited_findings == f"É. No consolidation, pulmonary edema, or pneumothorax are seen; {end} pleural effusion.\nTube is unchanged."
+    assert out[3].edited_findings == f"No pneumothorax; {end} pleural effusion, but left atelectasis is present."
+    assert out[4].edited_findings == "Lungs clear." and out[5].edited_findings is None and [len(out[k].edits) for k in range(1, 6)] == [1, 1, 1, 0, 0] and not out[1].skipped_edits
+    df, d = decided(spark, rows[:2] + [(6, "No large pneumothorax.")])
+    stale = d.where("k = 1").limit(1).withColumn("claim_id", F.lit("stale"))
+    wrong = d.where("k = 2 AND finding = 'consolidation'").withColumn("start", F.col("start") + 1)
+    twice = d.where("k = 1 AND finding = 'pneumothorax'")
+    scored = d.where("k = 2 AND finding = 'pneumothorax'").withColumn("support_score", F.lit(1.5))
+    rest = d.where("NOT (k = 2 AND finding IN ('consolidation', 'pneumothorax'))")
+    out = {r.k: r for r in reports.edit_reports(df, rest.unionByName(stale).unionByName(wrong).unionByName(twice).unionByName(scored), "k", "text").collect()}
+    why = {k: sorted(x.reason for x in r.skipped_edits) for k, r in out.items()}
+    assert why == {1: ["duplicate_decision", "duplicate_decision", "unknown_or_stale_claim"], 2: ["claim_metadata_mismatch", "invalid_support_score"], 6: ["qualified_assertion"]}
+    assert out[6].edited_findings == "No large pneumothorax."
+
+
+def test_geometry_review(spark):
+    rows = [(1, "No pleural effusion or pneumothorax."), (2, "Lungs clear.")]
+    df, d = decided(spark, rows)
+    d = d.withColumns({"trigger": F.lit("predicted_anatomical_retention"), "proxy_retention_score": F.lit(0.2)})
+    out = reports.geometry_review(df, d, "k", "text")
+    stored = {r.k: r for r in out.collect()}
+    assert stored[1].edited_findings.startswith("Predicted lung-field retention is low; review pleural effusion on the complete image; predicted") and stored[1].unchanged_utf8_bytes == 1 and stored[2].changed_groups == 0
+    assert reports.audit_review(df, out, "k", "text").count() == 0
+    assert reports.audit_review(df, out.withColumn("edited_findings", F.lit("x")), "k", "text").count() == 2
+    for bad in (d.withColumn("trigger", F.lit("other")), d.withColumn("claim_id", F.lit("stale")), d.withColumn("trigger", F.lit("ranking_only"))):
+        with pytest.raises(contracts.ContractError):
+            reports.geometry_review(df, bad, "k", "text")
 
 
 def test_rasters():
@@ -109,24 +164,58 @@ def test_ids_and_contracts(spark):
     assert {r.k: r.state for r in states.collect()} == {1: "missing", 2: "matched", 3: "unknown"}
 
 
-def test_greedy_is_sequential(spark):
+@pytest.mark.parametrize("local_rows", [0, 10**6])
+def test_greedy_is_sequential(spark, local_rows):
+    """Groups of any size, seeds outside the cohort and a long chain against the scan one by one."""
     import random
 
     rng = random.Random(4)
-    edges = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(70)}
-    kept: set[int] = set()
-    for k in range(60):
-        if not any((a, k) in edges for a in kept):
+    groups = [rng.sample(range(60), rng.choice([2, 2, 2, 3, 7])) for _ in range(40)] + [[k, k + 1] for k in range(60, 72)] + [[-5, 61], [-6, 3, 4, 90]]
+    taken, kept = {g for g, x in enumerate(groups) if -5 in x or -6 in x}, set()
+    for k in range(75):
+        own = {g for g, x in enumerate(groups) if k in x}
+        if not own & taken:
             kept.add(k)
-    got = dedup.greedy_keep(spark.createDataFrame(sorted(edges), "early long, late long"), spark.range(60).withColumnRenamed("id", "node"))
-    assert {r.node for r in got.where("kept").collect()} == kept
+            taken |= own
+    members = spark.createDataFrame([(str(g), k) for g, x in enumerate(groups) for k in x], "group string, node long")
+    nodes = spark.createDataFrame([(k,) for k in [*range(75), 3, None]], "node long")
+    got = dedup.greedy_keep(members, nodes, spark.createDataFrame([(-5,), (-6,)], "node long"), local_rows).collect()
+    assert sorted((r.node, r.kept) for r in got) == [(k, k in kept) for k in range(75)]
+    assert dedup.greedy_keep(members.limit(0), nodes, None, local_rows).where("kept").count() == 75
+
 
+def test_near_matches_by_brute_force(spark, monkeypatch):
+    """Codes within eight bits whose thumbnails agree, and equal hashes, also where a band is common to many codes."""
+    import random
 
-def test_greedy_leaves_no_row_open(spark):
-    chain, nodes = spark.range(6).selectExpr("id AS early", "id + 1 AS late"), spark.range(7).withColumnRenamed("id", "node")
-    assert {r.node: r.kept for r in dedup.greedy_keep(chain, nodes).collect()} == {k: k % 2 == 0 for k in range(7)}
-    with pytest.raises(RuntimeError, match="undecided"):
-        dedup.greedy_keep(chain, nodes, max_rounds=2)
+    monkeypatch.setattr(dedup, "BLOCK", 5)
+    rng = random.Random(17)
+    rows = []
+    for k in range(90):
+        code, thumb, digest = (rng.getrandbits(256), bytes(rng.randrange(256) for _ in range(16)), f"h{k}") if k < 30 else list(rows[rng.randrange(len(rows))][1:])
+        code = int(code, 16) if isinstance(code, str) else code
+        for _ in range(rng.choice([0, 0, 3, 8, 9])):
+            code ^= 1 << rng.randrange(256)
+        code &= (1 << 228) - 1 if k % 3 else (1 << 256) - 1
+        rows.append((k, f"{code:064x}", bytes(min(255, x + rng.choice([0, 0, 10, 30])) for x in thumb), digest if rng.random() < 0.3 else f"d{k}"))
+    df = spark.createDataFrame([*rows, (None, rows[0][1], rows[0][2], "h0"), (90, None, None, None)], "k long, code string, thumb binary, digest string")
+
+    def match(x, y):
+        apart = bin(int(x[1], 16) ^ int(y[1], 16)).count("1")
+        return x[3] == y[3] or (apart <= 8 and sum(abs(p - q) for p, q in zip(x[2], y[2])) / 16 <= 12)
+
+    near = {(r.a, r.b): r.distance for r in dedup.near_pairs(df, "k", "code").collect()}
+    first = {}
+    for k, code, *_ in rows:
+        first.setdefault(code, k)
+    classes = sorted((k, c) for c, k in first.items())
+    want = {(a, b): bin(int(x, 16) ^ int(y, 16)).count("1") for a, x in classes for b, y in classes if a < b}
+    assert near == {p: d for p, d in want.items() if d <= 8}
+    groups = {}
+    for r in dedup.memberships(df.where("k IS NOT NULL"), "k", ["digest"], "code", "thumb").collect():
+        groups.setdefault(r.group, set()).add(r.node)
+    found = {(a, b) for g in groups.values() for a in g for b in g if a < b}
+    assert found == {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and match(x, y)}
 
 
 def test_retention_of_every_part(spark):
