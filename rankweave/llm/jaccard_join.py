@@ -9,12 +9,14 @@ Two documents link when their sets of distinct 5-word shingles have Jaccard simi
 3. Rare first: a document's keys are ordered by count, then key. A document of n shingles can reach the threshold only
    with documents that share one of its first n - ceil(3n/4) + 1. Keys of one class alone come first and need no
    posting; of the others those within the prefix become postings (key, document, n, position).
-4. Neighbours: postings are sorted by key and, within a key's list, by each document's least shared key, so that near
-   copies stand side by side. Only neighbours are compared, so a list of m documents gives m - 1 pairs. The sort is by
-   ranges, which cut long lists; the rows at the cuts are compared too. Pairs pass the length and positional filters, are
-   made distinct, pass the suffix filter (the parities of set sizes within ranges of the hash space bound the overlap)
-   and are verified once on whole sets. What they join is one component. Lists that still hold several components are
-   compared the same way once more, in an order that differs from list to list.
+4. Postings are sorted by key and, within a key's list, by each document's least shared key, so that near copies stand
+   in one run. Each row is compared with one row before it: in a run the row whose place has the lowest digit (to the
+   base ``FAN``) of its own place cleared, so rows hang in a flat tree and none is compared with more than a few times
+   ``FAN`` others; the first row of a run with the first row of the run before. A list of m documents gives m - 1 pairs.
+   The sort is by ranges, which cut long lists; the rows at the cuts are compared too. Pairs pass the length and
+   positional filters, are made distinct, pass the suffix filter (the parities of set sizes within ranges of the hash
+   space bound the overlap) and are verified once on whole sets. What they join is one component. Lists that still hold
+   several components are compared once more, each row with the one before it in an order that differs from list to list.
 5. In lists of three and more that still hold several components (in a list of two the only pair was compared) every
    pair of documents of different components that passes the three filters is verified. So no link between different
    components is missed, while a group of thousands of near copies costs pairs in proportion to its size. Long lists are
@@ -48,6 +50,8 @@ FOLD = 1 << 21
 SPARE_BITS = 12
 #: Ranges of the hash space whose set sizes, odd or even, the suffix filter compares; one bit each.
 RANGES = 512
+#: Rows of a run that hang on one row, level by level; so many levels are enough for 2 ** 60 rows.
+FAN, LEVELS = 64, 10
 #: Postings of a block; a longer list is cut before its components are compared.
 BLOCK = 2_000
 #: Rows of (doc_id) that may be broadcast, 16 bytes each.
@@ -206,7 +210,8 @@ def _filtered(pairs: DataFrame) -> DataFrame:
 
 
 def lists_of(postings: DataFrame, order: list[str]) -> DataFrame:
-    """Postings with the one before them in their list (doc_id_b, n_b, pos_b and, if there, component_b) by ``order``.
+    """Postings sorted by key and ``order`` with the row each is compared with (doc_id_b, n_b, pos_b and, if there,
+    component_b), if any; rows of equal ``order[0]`` are a run.
 
     A posting alone in its list is left out. ``wide``: the list has three postings or more. Ranges cut long lists; rows
     beside a cut count as wide, and ``edge`` is 2p for the first row of range p and 2p + 1 for its last.
@@ -216,6 +221,7 @@ def lists_of(postings: DataFrame, order: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, opening = TaskContext.get().partitionId(), None, True
+        tree = Tree(len(carried))
 
         def ready(rows: pa.Table, since: int, until: int, closing: bool) -> list[pa.RecordBatch]:
             """Rows from ``since`` to ``until``, whose neighbours two places off are in ``rows``."""
@@ -223,20 +229,21 @@ def lists_of(postings: DataFrame, order: list[str]) -> DataFrame:
             padded = np.zeros(size + 3, bool)
             padded[2 : size + 1] = key[1:] == key[:-1]  # at i + 1: row i equals the row before it
             up, up2, down, down2 = padded[1 : size + 1], padded[:size], padded[2 : size + 2], padded[3 : size + 3]
-            edge = np.full(size, -1)
+            first, last = np.full(size, -1), np.full(size, -1)
             wide = (up & down) | (up & up2) | (down & down2)
             if opening:
-                edge[0] = 2 * number
+                first[0] = 2 * number
                 wide[:2] |= key[:2] == key[0]
             if closing:
                 wide[-2:] |= key[-2:] == key[-1]
-            last = np.full(size, -1)
-            if closing:
                 last[-1] = 2 * number + 1
-            before = [pa.array(np.roll(rows.column(c).to_numpy(), 1), mask=~up) for c in carried]
-            out = pa.table([*(rows.column(c) for c in columns), pa.array(wide), pa.array(edge), pa.array(last), *before], [*columns, "wide", "first_edge", "last_edge", *(f"{c}_b" for c in carried)])
-            keep = (up | down | wide | (edge >= 0) | (last >= 0))[since:until]
-            return out.slice(since, until - since).filter(pa.array(keep)).combine_chunks().to_batches()
+            chosen = rows.slice(since, until - since)
+            own = np.stack([chosen.column(c).to_numpy() for c in carried])
+            there, before = tree.parents(chosen.column("key").to_numpy(), chosen.column(order[0]).to_numpy(), own)
+            parents = [pa.array(x, mask=~there) for x in before]
+            out = pa.table([*(chosen.column(c) for c in columns), *(pa.array(x[since:until]) for x in (wide, first, last)), *parents], [*columns, "wide", "first_edge", "last_edge", *(f"{c}_b" for c in carried)])
+            keep = (up | down | wide | (first >= 0) | (last >= 0))[since:until]
+            return out.filter(pa.array(keep)).combine_chunks().to_batches()
 
         for batch in batches:
             if not batch.num_rows:
@@ -246,7 +253,7 @@ def lists_of(postings: DataFrame, order: list[str]) -> DataFrame:
             rows = new if held is None else pa.concat_tables([held, new])
             since = 0 if opening else 2
             until = rows.num_rows - 2
-            if until > since and (not opening or rows.num_rows >= 4):
+            if rows.num_rows >= 4:
                 yield from ready(rows, since, until, False)
                 held, opening = rows.slice(until - 2), False
             else:
@@ -258,6 +265,51 @@ def lists_of(postings: DataFrame, order: list[str]) -> DataFrame:
     return postings.select(*columns).repartitionByRange("key", *order).sortWithinPartitions("key", *order).mapInArrow(trimmed(run), schema)
 
 
+class Tree:
+    """Which earlier row each row of a sorted stream is compared with; batch by batch, a few rows are kept."""
+
+    def __init__(self, width: int):
+        self.place, self.key, self.mark = -1, None, None  # of the last row
+        self.leader = None  # the first row of the last run
+        self.anchors: list = [None] * LEVELS  # the last row of the run whose place is a multiple of FAN ** (level + 1)
+        self.width = width
+
+    def parents(self, key: np.ndarray, mark: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether a row has a parent, the parents' columns)."""
+        n = len(key)
+        there, out = np.zeros(n, bool), np.zeros((self.width, n), np.int64)
+        if not n:
+            return there, out
+        new_list = np.concatenate([[self.key is None or key[0] != self.key], key[1:] != key[:-1]])
+        new_run = new_list | np.concatenate([[self.mark is None or mark[0] != self.mark], mark[1:] != mark[:-1]])
+        at = np.arange(n)
+        start = np.maximum.accumulate(np.where(new_run, at, -1))
+        place = np.where(start >= 0, at - start, at + self.place + 1)
+        # First rows of runs: the leader of the run before, in the same list.
+        heads = np.flatnonzero(new_run)
+        leaders = np.concatenate([[-1], heads[:-1]])
+        linked = heads[~new_list[heads]]
+        back = leaders[~new_list[heads]]
+        there[linked] = True
+        out[:, linked] = np.where(back >= 0, own[:, np.maximum(back, 0)], 0 if self.leader is None else self.leader[:, None])
+        for level in range(LEVELS):
+            step = FAN**level
+            mine = np.flatnonzero((place > 0) & (place % step == 0) & (place // step % FAN != 0))
+            if len(mine):
+                back = mine - place[mine] % (step * FAN)
+                there[mine] = True
+                kept = self.anchors[level]
+                out[:, mine] = np.where(back >= 0, own[:, np.maximum(back, 0)], 0 if kept is None else kept[:, None])
+        for level in range(LEVELS):
+            anchors = np.flatnonzero(place % FAN ** (level + 1) == 0)
+            if len(anchors):
+                self.anchors[level] = own[:, anchors[-1]].copy()
+        if len(heads):
+            self.leader = own[:, heads[-1]].copy()
+        self.place, self.key, self.mark = int(place[-1]), key[-1], mark[-1]
+        return there, out
+
+
 def listed(postings: DataFrame, order: list[str]) -> DataFrame:
     """``lists_of``, written; its rows are a few numbers, so batches may be longer than those of texts."""
     small_batches(postings.sparkSession, 20_000)
@@ -268,7 +320,7 @@ def listed(postings: DataFrame, order: list[str]) -> DataFrame:
 
 
 def neighbours(lists: DataFrame) -> DataFrame:
-    """Pairs of documents that follow one another in a list, those across a cut too, that pass the first two filters.
+    """Pairs of rows that are compared in a list, those across a cut too, that pass the first two filters.
 
     Where components are known, only pairs of different ones.
     """

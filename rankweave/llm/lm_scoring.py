@@ -10,13 +10,11 @@ Nothing that grows with the input is broadcast or meets in one task. Documents a
 tokens. In three rounds (triples, pairs, words) each fold sends its distinct n-grams with their training counts to parts
 of the hash space, and each part answers every fold with the whole counts, in the order sent. One of the folds that
 trained an n-gram is told that it owns it, and in the next round it adds one to its history's followers. At last each
-fold scores its documents from the answers. A very common n-gram is one entry a fold; the number of parts grows with the
-bytes of text.
+fold builds the part of the automaton that its documents can reach and traverses it. A very common n-gram is one entry a
+fold; the number of parts grows with the bytes of text.
 
 Null texts are empty: one end mark. Without training documents every probability is 1 / (0 + 0 + 1). Repeated rows are
-scored one by one; a null doc_id is training data; other columns are ignored.
-
-``Automaton`` and ``train`` hold a model of frequent n-grams in memory; the scores do not use them.
+scored one by one; a null doc_id is training data; other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,10 +32,7 @@ from .exchange import by_part, from_steps, pack, steps, unpack
 from .shared import forget_shuffles, trimmed, written
 from .tokens import _STEP, LOWER, mix, text_chunks, word_hashes, words
 
-SHARE = 2e-6
 DISCOUNT = 0.6
-#: Tokens that a task holds before it counts them.
-HELD = 1 << 20
 END = np.uint64(0x1D8AF066E5C5B0AB)
 #: Bytes of text to a part of the hash space.
 PART_BYTES = 4 << 20
@@ -57,157 +52,6 @@ def token_stream(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray
         yield row, tokens, cuts
 
 
-def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Places of keys in a sorted table, -1 where they are not."""
-    if not len(table):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[at] == keys, at, -1)
-
-
-class Automaton:
-    """States and arcs as sorted arrays: words (order 1), kept pairs (order 2), kept triples (order 3)."""
-
-    def __init__(self, n: int, v: int, words_: np.ndarray, counts: np.ndarray):
-        order = np.argsort(words_)
-        self.total, self.norm = n, np.log10(n + v + 1)
-        self.words, self.counts = words_[order], counts[order].astype(float)
-        self.word_arc = np.log10(self.counts + 1) - self.norm
-        self.pairs, self.pair_counts = np.zeros(0, np.int64), np.zeros(0)
-        self.triples, self.triple_counts = np.zeros(0, np.int64), np.zeros(0)
-        self.pair_arc, self.triple_arc, self.word_fail, self.pair_fail = np.zeros(0), np.zeros(0), np.zeros(len(words_)), np.zeros(0)
-
-    @property
-    def size(self) -> int:
-        return max(1, len(self.words))
-
-    def ids(self, tokens: np.ndarray) -> np.ndarray:
-        return _find(self.words, tokens)
-
-    def before(self, ids: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-        """The id before each token; before a document's first stands the end mark."""
-        out = np.empty_like(ids)
-        out[1:] = ids[:-1]
-        out[cuts[:-1]] = self.ids(np.array([END]))[0]
-        return out
-
-    def pair_ids(self, ids: np.ndarray, last: np.ndarray) -> np.ndarray:
-        return np.where((ids >= 0) & (last >= 0), _find(self.pairs, last * self.size + ids), -1)
-
-    def pair_before(self, pair: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-        out = np.empty_like(pair)
-        out[1:] = pair[:-1]
-        out[cuts[:-1]] = -1
-        return out
-
-    def with_pairs(self, keys: np.ndarray, counts: np.ndarray) -> Automaton:
-        order = np.argsort(keys)
-        self.pairs, self.pair_counts = keys[order], counts[order].astype(float)
-        history, word = self.pairs // self.size, self.pairs % self.size
-        share = (self.pair_counts - DISCOUNT) / self.counts[history]
-        taken = np.bincount(history, share, len(self.words))
-        lower = np.bincount(history, 10 ** self.word_arc[word], len(self.words))
-        self.pair_arc = np.log10(share)
-        self.word_fail = np.log10(np.maximum(1 - taken, 1e-12) / np.maximum(1 - lower, 1e-12))
-        return self
-
-    def with_triples(self, keys: np.ndarray, counts: np.ndarray) -> Automaton:
-        order = np.argsort(keys)
-        self.triples, self.triple_counts = keys[order], counts[order].astype(float)
-        history, word = self.triples // self.size, self.triples % self.size
-        share = (self.triple_counts - DISCOUNT) / self.pair_counts[history]
-        middle = self.pairs[history] % self.size
-        step = _find(self.pairs, middle * self.size + word)
-        below = np.where(step >= 0, self.pair_arc[np.maximum(step, 0)], self.word_fail[middle] + self.word_arc[word])
-        taken, lower = np.bincount(history, share, len(self.pairs)), np.bincount(history, 10**below, len(self.pairs))
-        self.triple_arc = np.log10(share)
-        self.pair_fail = np.log10(np.maximum(1 - taken, 1e-12) / np.maximum(1 - lower, 1e-12))
-        return self
-
-    def traverse(self, tokens: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log10 weight of each step (words not in the automaton: failure arcs only) and the word ids.
-
-        The state before a token depends on the two tokens before it alone, so all steps of a chunk are taken at once:
-        each round follows the failure arcs of the steps that have found no arc yet.
-        """
-        ids = self.ids(tokens)
-        last = self.before(ids, cuts)
-        pair = self.pair_ids(ids, last)
-        state = self.pair_before(pair, cuts)
-        weight, open_ = np.zeros(len(ids)), np.ones(len(ids), bool)
-        deep = np.flatnonzero(state >= 0)
-        if len(deep) and len(self.pair_fail):
-            found = np.where(ids[deep] >= 0, _find(self.triples, state[deep] * self.size + ids[deep]), -1)
-            hit = found >= 0
-            weight[deep[hit]] += self.triple_arc[found[hit]]
-            open_[deep[hit]] = False
-            weight[deep[~hit]] += self.pair_fail[state[deep[~hit]]]
-        hit = open_ & (pair >= 0)
-        weight[hit] += self.pair_arc[pair[hit]]
-        open_ &= ~hit
-        fails = open_ & (last >= 0)
-        weight[fails] += self.word_fail[last[fails]]
-        ends = open_ & (ids >= 0)
-        weight[ends] += self.word_arc[ids[ends]]
-        return weight, ids
-
-
-def _counted(docs: DataFrame, keys_of) -> DataFrame:
-    """(h, c): how often each key that ``keys_of(tokens, cuts)`` gives occurs; summed in tasks before the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def fold() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.record_batch([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "c"])
-
-        for batch in batches:
-            for _, tokens, cuts in token_stream(batch.column(0)):
-                held.append(keys_of(tokens, cuts))
-                size += len(held[-1])
-                if size >= HELD:
-                    yield fold()
-                    size = 0
-        if held:
-            yield fold()
-
-    return docs.select("text").mapInArrow(trimmed(run), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-
-
-def train(docs: DataFrame) -> tuple[Automaton, DataFrame, int, int]:
-    """The automaton of ``docs`` (text), all word counts (h, c), the tokens N and the distinct words V."""
-    spark = docs.sparkSession
-    counts = written(_counted(docs, lambda tokens, cuts: tokens), "word-counts")
-    sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    n, v = sums.n or 0, sums.v
-    floor = max(2, int(np.ceil(SHARE * n)))
-
-    def frequent(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        rows = df.where(F.col("c") >= floor).toPandas()  # at most 1 / SHARE rows
-        return rows.h.to_numpy(np.int64), rows.c.to_numpy(np.int64)
-
-    keys, c = frequent(counts)
-    model = Automaton(n, v, keys.view(np.uint64), c)
-    for order in (2, 3):
-        shared = spark.sparkContext.broadcast(model)
-
-        def keys_of(tokens: np.ndarray, cuts: np.ndarray, shared=shared, order=order) -> np.ndarray:
-            own = shared.value
-            ids = own.ids(tokens)
-            last = own.before(ids, cuts)
-            if order == 2:
-                return (last * own.size + ids)[(ids >= 0) & (last >= 0)]
-            pair = own.pair_ids(ids, last)
-            state = own.pair_before(pair, cuts)
-            return (state * own.size + ids)[(state >= 0) & (pair >= 0)]
-
-        keys, c = frequent(_counted(docs, keys_of))
-        model = model.with_pairs(keys, c) if order == 2 else model.with_triples(keys, c)
-    return model, counts, n, v
-
-
 def _grams(tokens: np.ndarray, cuts: np.ndarray) -> tuple[dict[int, np.ndarray], np.ndarray]:
     """By order the id of the n-gram that ends at each position, and the positions of triples (a document's first has none)."""
     last = np.roll(tokens, 1)
@@ -287,6 +131,57 @@ class Fold:
         return _by_part(fold, order, bits, keys, times, np.bincount(inverse[at - 1] if order == 2 else self.before(at), minlength=len(keys)))
 
 
+class Automaton:
+    """The states, arcs and failure arcs that a fold's documents can reach, with log10 weights from whole counts.
+
+    States are the empty history, each word and each pair that training continues. A state's arcs carry the interpolated
+    weight of their word; its failure arc leads to the history without its first word and carries the discounted mass.
+    The empty state has an arc for every word. Arcs are arrays by the place of their n-gram among the fold's distinct
+    ones, -inf where training does not have it; failure arcs are arrays by the place of the state, nan where it is none.
+    """
+
+    def __init__(self, fold: Fold, told: dict[int, list[np.ndarray]], n: int, v: int):
+        self.fold, self.word, self.pair = fold, fold.distinct(1)[2], fold.distinct(2)[2]
+        (singles, _, after), (pairs, _, after_pairs) = told[1], told[2]
+        self.arc1 = np.log10((singles + 1) / (n + v + 1))
+        self.fail1 = self._failure(singles, after)
+        at = fold.distinct(2)[1]
+        state = fold.before(at)
+        self.arc2 = self._arcs(pairs, singles[state], self.fail1[state] + self.arc1[self.word[at]])
+        self.fail2 = self._failure(pairs, after_pairs)
+        self.arc3 = None
+        if 3 in told:
+            at = fold.distinct(3)[1]
+            state = self.pair[at - 1]
+            self.arc3 = self._arcs(told[3][0], pairs[state], self.fail2[state] + self._from_word(at))
+
+    @staticmethod
+    def _failure(count: np.ndarray, followers: np.ndarray) -> np.ndarray:
+        return np.where(followers > 0, np.log10(DISCOUNT * np.maximum(followers, 1) / np.maximum(count, 1)), np.nan)
+
+    @staticmethod
+    def _arcs(count: np.ndarray, held: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """Weights of arcs from a state met ``held`` times; ``lower``: the failure arc and the word's weight below it."""
+        return np.where(count > 0, np.log10(np.maximum(count - DISCOUNT, 0.1) / np.maximum(held, 1) + 10**lower), -np.inf)
+
+    @staticmethod
+    def _step(arc: np.ndarray, fail: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """The arc, else the failure arc and the step below; where the state is none, the step below."""
+        return np.where(np.isfinite(arc), arc, np.nan_to_num(fail) + below)
+
+    def _from_word(self, at: np.ndarray) -> np.ndarray:
+        """Weights of the steps at positions, from the state of the one word before."""
+        return self._step(self.arc2[self.pair[at]], self.fail1[self.fold.before(at)], self.arc1[self.word[at]])
+
+    def traverse(self) -> np.ndarray:
+        """The weight of every step, left to right: documents start in the state of the end mark, and each step leads to
+        the state of the last two words. That state is known from the words alone, so all steps are taken at once."""
+        weight, deep = self._from_word(np.arange(len(self.word))), self.fold.deep
+        if self.arc3 is not None:
+            weight[deep] = self._step(self.arc3[self.fold.distinct(3)[2]], self.fail2[self.pair[deep - 1]], weight[deep])
+        return weight
+
+
 #: Columns of the messages and answers by order.
 _SENT, _ANSWERS = {3: 2, 2: 3, 1: 3}, {3: 2, 2: 3, 1: 3}
 
@@ -357,13 +252,15 @@ def lm_scores(docs: DataFrame, training: Column) -> DataFrame:
         return _folds(rows, 0, bits).unionByName(answers).groupBy("fold").applyInArrow(run, _MESSAGE)
 
     def kept(sent: DataFrame, name: str) -> DataFrame:
-        out = written(_answered(sent), name)
-        forget_shuffles(docs.sparkSession)
-        return out
+        return written(_answered(sent), name)
 
+    # What a round has shuffled is of no more use once its answers are written.
     triples = kept(_folds(rows, 3, bits), "triples")
+    forget_shuffles(docs.sparkSession)
     pairs = kept(next_order(2, triples), "pairs")
+    forget_shuffles(docs.sparkSession)
     singles = kept(next_order(1, pairs), "words")
+    forget_shuffles(docs.sparkSession)
     n = v = 0
     for r in singles.where("fold = -1").select("data").toLocalIterator():
         part_n, part_v = unpack(bytes(r.data), 1, 2)
@@ -372,19 +269,11 @@ def lm_scores(docs: DataFrame, training: Column) -> DataFrame:
     def finish(key: tuple, part: pa.Table) -> pa.Table:
         fold, ids, told = Fold.read(part)
 
-        def step(count, state, followers, below):
-            return np.where(state > 0, (np.maximum(count - DISCOUNT, 0) + DISCOUNT * followers * below) / np.maximum(state, 1), below)
-
-        one, two = fold.distinct(1)[2], fold.distinct(2)[2]
-        base = (told[1][0] + 1)[one] / (n + v + 1)
-        history = fold.before(np.arange(len(one)))
-        weight = step(told[2][0][two], told[1][0][history], told[1][2][history], base)
-        if len(fold.deep):
-            state = two[fold.deep - 1]
-            weight[fold.deep] = step(told[3][0][fold.distinct(3)[2]], told[2][0][state], told[2][2][state], weight[fold.deep])
+        automaton = Automaton(fold, told, n, v)
+        one = fold.distinct(1)[2]
         owner = np.repeat(np.arange(len(ids)), fold.lengths)
         total = lambda x: np.bincount(owner, x, len(ids))
-        columns = [pa.array(ids, pa.int64()), fold.lengths, total(told[1][0][one] > 0).astype(np.int64), np.full(len(ids), n), total(np.log10(base)), total(np.log10(weight))]
+        columns = [pa.array(ids, pa.int64()), fold.lengths, total(told[1][0][one] > 0).astype(np.int64), np.full(len(ids), n), total(automaton.arc1[one]), total(automaton.traverse())]
         return pa.table(columns, ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     told = reduce(DataFrame.unionByName, [_folds(rows, 0, bits), triples, pairs, singles.where("fold >= 0")])

@@ -5,8 +5,12 @@ is the one that fits and whose demand vector has the largest dot product with wh
 shares of the limits). When nothing fits, or only one more segment may come, a waiting document is cut so that its
 piece fills the sequence. The last open sequence of a partition is cut at powers of two, which need no padding.
 
+A plain document bears loss on every id, so for it the third limit is the first. Instruction data names a column with
+the place where the response begins; then only the ids from there on bear loss, under a limit of their own.
+
 Documents are packed within their partition, so there is no shuffle, and a recomputed partition gives the same rows.
-Null texts are empty: a document of one id, the end mark. Repeated rows are packed once each.
+Null texts are empty: a document of one id, the end mark. Repeated rows are packed once each; a null doc_id stays null;
+other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .shared import trimmed
 from .tokens import text_chunks, word_hashes, words
@@ -48,7 +53,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.mark = self._ids(self.MARK)[0]
         self.clear()
 
@@ -207,12 +211,17 @@ class Packer:
                 self._emit(own)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, *, limit: int = LIMIT, max_segments: int = MAX_SEGMENTS) -> DataFrame:
-    """Pieces of every row of ``docs`` (doc_id, text) with their place; ``tokenizer`` is a vocabulary file's path."""
+def pack_documents(docs: DataFrame, tokenizer: str, *, limit: int = LIMIT, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, response_start: str | None = None) -> DataFrame:
+    """Pieces of every row of ``docs`` (doc_id, text) with their place; ``tokenizer`` is a vocabulary file's path.
+
+    ``response_start``: a column with the code point from which a text bears loss (a word that it cuts belongs to the
+    prompt; null or negative: from the first, beyond the end: the end mark alone). ``max_loss``: loss-bearing ids of a
+    sequence, by default ``limit``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer)
-        packer = Packer(TaskContext.get().partitionId() << 40, limit, max_segments, limit)
+        packer = Packer(TaskContext.get().partitionId() << 40, limit, max_segments, max_loss or limit)
 
         def rows() -> Iterator[pa.RecordBatch]:
             if packer.rows:
@@ -222,8 +231,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, limit: int = LIMIT, max_s
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
+            loss = loss_bearing(encoder, batch.column(1).to_pylist(), batch.column(2).to_pylist()) if response_start else None
             for row, tokens in encoder.encode(batch.column(1)):
-                packer.add(ids[row], tokens)
+                packer.add(ids[row], tokens, None if loss is None or loss[row] is None else len(tokens) - loss[row])
                 if packer.tokens >= 2 * WAITING:
                     packer.form()
                 if len(packer.rows) > 4096:
@@ -231,7 +241,23 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, limit: int = LIMIT, max_s
         packer.form(last=True)
         yield from rows()
 
-    return docs.select("doc_id", "text").mapInArrow(trimmed(run), SCHEMA)
+    return docs.select("doc_id", "text", *([F.col(response_start).cast("long")] if response_start else [])).mapInArrow(trimmed(run), SCHEMA)
+
+
+def loss_bearing(encoder: WordEncoder, texts: list[str | None], starts: list[int | None]) -> list[int | None]:
+    """By row the ids of its prompt: of the words that begin before the response; null for a text without a prompt."""
+    prompts = []
+    for text, start in zip(texts, starts, strict=True):
+        end = min(max(start or 0, 0), len(text or ""))
+        while text and 0 < end < len(text) and not (_is_space(text[end - 1]) or _is_space(text[end])):
+            end += 1
+        prompts.append((text or "")[:end])
+    sizes = {row: len(ids) - 1 for row, ids in encoder.encode(pa.array(prompts, pa.string()))}
+    return [sizes[k] if start is not None and start > 0 else None for k, start in enumerate(starts)]
+
+
+def _is_space(x: str) -> bool:
+    return x in " \t\n\v\f\r"
 
 
 def word_vocabulary() -> str:

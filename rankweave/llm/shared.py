@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.skew import sized_join  # noqa: F401
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
@@ -60,20 +62,6 @@ def checked_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def sized_join(left: DataFrame, right: DataFrame, keys: list[str], size: str, most: int = 100_000) -> DataFrame:
-    """Left join with a (written) table of one row a key, whose column ``size`` says how many left rows hold the key.
-
-    Keys of over ``most`` rows, of which there are rows / ``most`` at the utmost, are broadcast, so their rows stay where
-    they are; the other keys meet by a shuffle in which no key is hot.
-    """
-    hot, cold = right.where(F.col(size) > most).drop(size), right.where(F.col(size) <= most).drop(size)
-    if hot.isEmpty():
-        return left.join(cold, keys, "left")
-    here = left.join(F.broadcast(hot.withColumn("is_hot", F.lit(True))), keys, "left")
-    named = here.where("is_hot").drop("is_hot")
-    return named.unionByName(left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, "left"))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
