@@ -9,7 +9,7 @@ exact share of the item's distinct 5-word shingles found in the document is comp
 
 Only DataFrame functions; items are few but their number is checked before they are broadcast, else they are shuffled.
 Null and empty texts, on either side, match nothing. Items with under five words are one shingle and match documents
-that are just those words. Repeated rows of a document give one result each only once per doc_id.
+that are just those words. Texts of one doc_id count as one document, whose shingles are those of all of them. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -67,9 +67,10 @@ def contamination(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the documents that contain an item; all their columns stay."""
+    """``docs`` without the documents that contain an item; all their columns stay. Rows without a doc_id, which no match
+    could name, go too."""
     hit = written(contamination(docs, items, threshold).select("doc_id").distinct(), "contaminated")
-    return docs.join(checked_broadcast(hit, BROADCAST_ROWS), "doc_id", "left_anti").select(*docs.columns)
+    return docs.where("doc_id IS NOT NULL").join(checked_broadcast(hit, BROADCAST_ROWS), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:
