@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each stage's result as Parquet in the
 shared folder and reads it as the next one's documents. All stages but the last keep the columns of ``documents``.
-A null doc_id is no document that later stages could name, so duplicates and contamination leave such rows alone.
+A row without a doc_id is no document that a verdict could name; it goes with the near duplicates.
 """
 
 from __future__ import annotations
@@ -32,9 +32,15 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group stays; of rows with one doc_id, one."""
+    """The smallest doc_id of each group stays; of several rows with one doc_id, the one with the smallest text."""
     small_batches(spark)
-    return _without(docs, jaccard_components(docs).where(F.col("component_id") != F.col("doc_id")))
+    left = _without(docs.where("doc_id IS NOT NULL"), jaccard_components(docs).where(F.col("component_id") != F.col("doc_id")))
+    # Only the rows of repeated ids move, in chunks that partial aggregation has made one row a task.
+    repeated = written(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    once = left.join(checked_broadcast(repeated, BROADCAST_ROWS), "doc_id", "left_anti")
+    rest = [c for c in docs.columns if c != "doc_id"]
+    several = left.join(checked_broadcast(repeated, BROADCAST_ROWS), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *(c for c in rest if c != "text"))).alias("r"))
+    return once.select(*docs.columns).unionByName(several.select("doc_id", "r.*").select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
