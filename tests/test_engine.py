@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankweave import catalogue
-from rankweave.functions import claims, ids, raster
+from rankweave.functions import claims, ids, raster, shapes
 from rankweave.operators import align, contracts, dedup, ranking, reports
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -141,7 +141,7 @@ def test_rasters():
     lungs = np.zeros((2, 80, 100), bool)
     lungs[0, 10:70, 10:40], lungs[1, 10:70, 60:90] = True, True
     assert raster.retention(lungs, [[0, 0, 100, 80], [0, 0, 1, 1], [0, 0, 50, 80]]).tolist() == [[1, 1, 1], [0, 0, 0], [0, 0, 0]]
-    assert (raster.split_lungs(lungs.any(0)) == lungs).all() and raster.geometry_block(lungs).shape == (3, 75)
+    assert (shapes.split_lungs(lungs.any(0)) == lungs).all() and shapes.geometry_block(lungs[None]).shape == (1, 3, 75) and len(shapes.block_names()) == 75
     assert raster.rasterize(raster.polygon_contour([(1, 1), (5, 1), (5, 4), (1, 4), (1, 1)]), 6, 6).sum() == 12
     with pytest.raises(ValueError):
         raster.polygon_contour([(0, 0), (4, 4), (4, 0), (0, 4)])
@@ -164,6 +164,35 @@ def test_ids_and_contracts(spark):
     assert {r.k: r.state for r in states.collect()} == {1: "missing", 2: "matched", 3: "unknown"}
 
 
+def test_shapes_by_definition(spark):
+    """Measures of random masks from their pixels, one by one."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    masks = rng.random((6, 9, 12)) > 0.5
+    masks[5] = False
+    got = shapes.measures(masks)
+    for k, m in enumerate(masks[:5]):
+        ys, xs = np.nonzero(m)
+        inside = lambda y, x, m=m: 0 <= y < 9 and 0 <= x < 12 and m[y, x]
+        outline = sum(not inside(y + dy, x + dx) for y, x in zip(ys, xs) for dy, dx in ((0, 1), (1, 0), (0, -1), (-1, 0)))
+        want = {
+            "area_fraction": m.mean(), "bbox_x0": xs.min() / 12, "bbox_y0": ys.min() / 9, "bbox_width": (xs.max() + 1 - xs.min()) / 12, "bbox_height": (ys.max() + 1 - ys.min()) / 9, "centroid_x": (xs + 0.5).mean() / 12,
+            "centroid_y": (ys + 0.5).mean() / 9, "compactness": 4 * np.pi * m.sum() / outline**2, "contact_top": m[0].mean(), "contact_right": m[:, -1].mean(), "mass_middle_third": m[3:6].sum() / m.sum(), "empty": 0,
+        }
+        assert all(np.isclose(got[name][k], v) for name, v in want.items())
+    assert got["empty"][5] == 1 and got["centroid_x"][5] == 0
+    pair = np.zeros((1, 2, 20, 30))
+    pair[0, 1, 4:16, 3:12], pair[0, 0, 4:16, 18:27] = 0.9, 0.8
+    out = shapes.bilateral(pair)
+    assert np.isclose(out["image_left_foreground_probability_mean"][0], 0.9) and np.isclose(out["bilateral_reflected_dice"][0], 1) and out["bilateral_overlap_fraction"][0] == 0
+    rim = shapes.parts(pair > 0.5)[1][0, 1]
+    assert rim.sum() == 12 * 9 - 10 * 7
+    bits = raster.pack(pair[0, 0] > 0.5)
+    rows = shapes.geometry_blocks(spark.createDataFrame([(1, bits, raster.pack(pair[0, 1] > 0.5), 20, 30), (2, None, bits, 20, 30)], "k long, a binary, b binary, h int, w int"), "k", "a", "b", "h", "w").collect()
+    assert [r.k for r in rows] == [1, 1, 1] and np.allclose([r.features for r in rows], shapes.geometry_block(pair > 0.5)[0])
+
+
 @pytest.mark.parametrize("local_rows", [0, 10**6])
 def test_greedy_is_sequential(spark, local_rows):
     """Groups of any size, seeds outside the cohort and a long chain against the scan one by one."""
