@@ -126,15 +126,6 @@ def _retention(sizes: DataFrame) -> DataFrame:
     return bind.rounded(crops.mapInArrow(run, "p_partkey long, slot int, consolidation double, pleural_effusion double"))
 
 
-@bind.register(QUERIES, ORACLE_SQL, "retention_rectangles", "WITH " + _crops_sql(boxes.CROPS) + """, l AS (SELECT *, v.k AS lung, floor(w * (0.1::DOUBLE + 0.5::DOUBLE * v.k)) AS a, floor(w * (0.4::DOUBLE + 0.5::DOUBLE * v.k)) AS c, floor(h * 0.1::DOUBLE) AS t, floor(h * 0.9::DOUBLE) AS u FROM b, (VALUES (0), (1)) v(k) WHERE w < 100 AND h < 128),
-m AS (SELECT p_partkey, slot, lung, greatest(0, least(x1, c) - greatest(x0, a)) * greatest(0, least(y1, u) - greatest(y0, t)) / ((c - a) * (u - t)) AS whole,
-      greatest(0, least(x1, c) - greatest(x0, a)) * greatest(0, least(y1, u) - greatest(y0, t + 0.75::DOUBLE * (u - t))) / ((c - a) * 0.25::DOUBLE * (u - t)) AS basal FROM l)
-SELECT p_partkey, slot, round(min(whole), 6) AS consolidation, round(min(basal), 6) AS pleural_effusion FROM m GROUP BY p_partkey, slot""")
-def retention_rectangles(spark, sf_dir: str) -> DataFrame:
-    """Small rasters only, as its SQL has it; ``retention_rectangles_all`` has every part."""
-    return _retention(_sizes(spark, sf_dir).where("w < 100 AND h < 128"))
-
-
 @bind.register(QUERIES, ORACLE_SQL, "retention_rectangles_all", "WITH " + _crops_sql(boxes.CROPS) + """, l AS (SELECT *, v.k AS lung, floor(w * (0.1::DOUBLE + 0.5::DOUBLE * v.k)) AS a, floor(w * (0.4::DOUBLE + 0.5::DOUBLE * v.k)) AS c, floor(h * 0.1::DOUBLE) AS t, floor(h * 0.9::DOUBLE) AS u FROM b, (VALUES (0), (1)) v(k)),
 m AS (SELECT p_partkey, slot, lung, greatest(0, least(x1, c) - greatest(x0, a)) * greatest(0, least(y1, u) - greatest(y0, t)) / ((c - a) * (u - t)) AS whole,
       greatest(0, least(x1, c) - greatest(x0, a)) * greatest(0, least(y1, u) - greatest(y0, t + 0.75::DOUBLE * (u - t))) / ((c - a) * 0.25::DOUBLE * (u - t)) AS basal FROM l)

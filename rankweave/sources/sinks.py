@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.contracts import assert_empty, failure_contract
+from .readers import files
 
 
 def fresh(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -18,10 +19,13 @@ def append(df: DataFrame, path: str) -> None:
 
 
 def with_receipt(df: DataFrame, path: str, stage: str, keys: list[str]) -> DataFrame:
-    """Write and return the receipt: rows and an order-free digest of the keys."""
+    """Write, and return the receipt: one row a file with its digest, and the rows and an order-free digest of the keys
+    of the whole. ``readers.verified`` takes it."""
     fresh(df, path)
-    back = df.sparkSession.read.parquet(path)
-    return back.agg(F.count("*").alias("n_rows"), F.sum(F.xxhash64(*keys).cast("decimal(38,0)")).cast("string").alias("digest")).select(F.lit(stage).alias("stage"), F.lit("completed").alias("status"), "n_rows", "digest")
+    spark = df.sparkSession
+    n_rows, digest = spark.read.parquet(path).agg(F.count("*").alias("n_rows"), F.sum(F.xxhash64(*keys).cast("decimal(38,0)")).cast("string").alias("digest")).first()
+    told = [F.lit(stage).alias("stage"), F.lit("completed").alias("status"), F.lit(n_rows).alias("n_rows"), F.lit(digest).alias("digest")]
+    return files(spark, path, "*.parquet").select(*told, "name", F.col("sha256").alias("output_sha256"))
 
 
 def all_inputs(roster: DataFrame, scores: DataFrame, key: str) -> DataFrame:

@@ -43,8 +43,15 @@ def test_files_and_archives(spark, tmp_path):
 
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(1, 0.5, "success", None), (2, None, "failed", "too dark")], SCHEMA)
-    receipt = sinks.with_receipt(rows, str(tmp_path / "out"), "scores", ["k"]).first()
+    receipt = sinks.with_receipt(rows.coalesce(1), str(tmp_path / "out"), "scores", ["k"]).first()
     assert (receipt.stage, receipt.status, receipt.n_rows) == ("scores", "completed", 2)
+    written = readers.files(spark, str(tmp_path / "out"), "*.parquet")
+    receipts = sinks.with_receipt(rows, str(tmp_path / "more"), "scores", ["k"]).unionByName(spark.createDataFrame([receipt]))
+    assert readers.verified(written, receipts, "scores").count() == written.count()
+    with pytest.raises(ContractError):
+        readers.verified(written, receipts.where(F.col("output_sha256") != receipt.output_sha256), "scores")
+    with pytest.raises(ContractError):
+        readers.verified(written, receipts, "another stage")
     with pytest.raises(Exception, match="(?i)exists"):
         sinks.fresh(rows, str(tmp_path / "out"))
     assert readers.parquet(spark, str(tmp_path / "out"), rows.columns, 2).count() == 2
