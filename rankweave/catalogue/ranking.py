@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import align, ranking, resample
+from ..operators import align, challenge, ranking, resample
 from . import bind
 
 QUERIES: dict = {}
@@ -221,3 +221,38 @@ def weighted_moments(spark, sf_dir: str) -> DataFrame:
     g = bind.scored(spark, sf_dir).groupBy("ds", "grp").agg(F.avg("score_a").alias("m"), F.avg(F.col("score_a") ** 2).alias("q"))
     return bind.rounded(g.groupBy("ds").agg(F.avg("m").alias("mean"), (F.avg("q") - F.avg("m") ** 2).alias("variance")))
 
+
+
+_CHALLENGE = """q AS (SELECT l_returnflag AS ds, l_linenumber AS f, l_suppkey % 3 AS g, CASE WHEN l_partkey % 13 <> 0 THEN l_quantity / 50 END AS y, 1 - l_tax * 5 AS a, CASE WHEN l_linenumber <> 7 THEN 1 - l_discount * 5 END AS b FROM lineitem),
+c AS (SELECT *, CASE WHEN y < 0.5::DOUBLE THEN '[0,.5)' WHEN y < 0.9::DOUBLE THEN '[.5,.9)' WHEN y <= 1 THEN '[.9,1]' END AS bin FROM q),
+x AS (SELECT c.*, u.fam, v.reg FROM c, LATERAL (VALUES (f::VARCHAR), ('all')) u(fam), LATERAL (VALUES (g::VARCHAR), ('all')) v(reg)),
+base AS (SELECT ds, fam, reg, count(*) AS base_nominal, count(*) FILTER (WHERE bin IS NULL) AS unknown_bin FROM x GROUP BY ALL),
+found AS (SELECT ds, fam, reg, w.b2, count(*) AS nominal, count(*) FILTER (WHERE bin IS NOT NULL AND b IS NOT NULL) AS common, count(*) FILTER (WHERE bin IS NOT NULL) AS n_a, count(*) FILTER (WHERE bin IS NOT NULL AND b IS NOT NULL) AS n_b,
+    avg(abs(y - a)) FILTER (WHERE bin IS NOT NULL AND b IS NOT NULL) AS mae_a, avg(abs(y - b)) FILTER (WHERE bin IS NOT NULL AND b IS NOT NULL) AS mae_b FROM x, LATERAL (VALUES (bin), ('all')) w(b2) WHERE w.b2 IS NOT NULL GROUP BY ALL),
+spine AS (SELECT * FROM (SELECT DISTINCT ds FROM q), (VALUES ('all'), ('1'), ('2'), ('3'), ('4'), ('5'), ('6'), ('7')) a(fam), (VALUES ('all'), ('0'), ('1'), ('2')) b(reg), (VALUES ('all'), ('[0,.5)'), ('[.5,.9)'), ('[.9,1]')) c(b2))"""
+
+
+@bind.register(QUERIES, ORACLE_SQL, "challenge_cube", f"""WITH {_CHALLENGE} SELECT ds, fam AS family, reg AS region, b2 AS bin, coalesce(nominal, 0) AS nominal, coalesce(base_nominal, 0) AS base_nominal, coalesce(unknown_bin, 0) AS unknown_bin, coalesce(common, 0) AS common,
+    coalesce(n_a, 0) AS n_a, coalesce(n_b, 0) AS n_b, round(mae_a, 6) AS mae_a, round(mae_b, 6) AS mae_b FROM spine LEFT JOIN found USING (ds, fam, reg, b2) LEFT JOIN base USING (ds, fam, reg)""")
+def challenge_cube(spark, sf_dir: str) -> DataFrame:
+    """Every scope of family, region and retention bin, with rows whose target is missing."""
+    q = bind.table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("ds"), F.col("l_linenumber").alias("f"), (F.col("l_suppkey") % 3).alias("g"), F.when(F.col("l_partkey") % 13 != 0, F.col("l_quantity") / 50).alias("y"),
+        (1 - F.col("l_tax") * 5).alias("a"), F.when(F.col("l_linenumber") != 7, 1 - F.col("l_discount") * 5).alias("b"),
+    )
+    return bind.rounded(challenge.challenge_cube(q, "ds", "f", "g", "y", ["a", "b"], list(range(1, 8)), [0, 1, 2]))
+
+
+@bind.register(QUERIES, ORACLE_SQL, "score_faults", """WITH s AS (SELECT event_id AS k, user_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END AS score, CASE WHEN event_id % 11 = 0 AND event_id % 3 <> 0 THEN 'failed' ELSE 'success' END AS status FROM events WHERE event_id % 17 <> 0
+    UNION ALL SELECT event_id, user_id, value, 'success' FROM events WHERE event_id % 23 = 1 UNION ALL SELECT -1 - event_id, user_id, value, 'success' FROM events WHERE event_id % 101 = 0),
+t AS (SELECT k, count(*) AS n, max(score) AS score, max(status) AS status FROM s GROUP BY k)
+SELECT coalesce(event_id, k) AS k, CASE WHEN event_id IS NULL THEN 'unexpected' WHEN k IS NULL THEN 'missing' WHEN n > 1 THEN 'repeated' ELSE 'successful null' END AS fault
+FROM events FULL JOIN t ON event_id = k WHERE event_id IS NULL OR k IS NULL OR n > 1 OR (score IS NULL AND status = 'success')""")
+def score_faults(spark, sf_dir: str) -> DataFrame:
+    """Scores against their roster: missing, unexpected and repeated ones, and successes without a score."""
+    e = bind.table(spark, sf_dir, "events").withColumn("k", F.col("event_id"))
+    none = F.col("event_id") % 11 == 0
+    s = e.where("event_id % 17 <> 0").select("k", "user_id", F.when(~none, F.col("value")).alias("score"), F.when(none & (F.col("event_id") % 3 != 0), "failed").otherwise("success").alias("status"))
+    extra = lambda rows, key: rows.select(key.alias("k"), "user_id", F.col("value").alias("score"), F.lit("success").alias("status"))
+    s = s.unionByName(extra(e.where("event_id % 23 = 1"), F.col("k"))).unionByName(extra(e.where("event_id % 101 = 0"), -1 - F.col("k")))
+    return challenge.score_faults(e, s, ["k"], ["user_id"])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rankweave import catalogue
 from rankweave.functions import claims, ids, raster, shapes
-from rankweave.operators import align, contracts, dedup, ranking, reports
+from rankweave.operators import align, challenge, contracts, dedup, ranking, reports
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SF = "/root/testdata/sf0.001"
@@ -251,3 +251,33 @@ def test_retention_of_every_part(spark):
     sf = "/root/testdata/sf0.001"
     got = catalogue.QUERIES["retention_rectangles_all"](spark, sf)
     assert got.count() == 13 * spark.read.parquet(f"{sf}/part.parquet").count()
+
+
+def test_report_scores_with_five_faults(spark):
+    """Thirteen reports: a dropped report, an extra claim, a wrong finding, a changed report and a missing score."""
+    truth = spark.createDataFrame([(f"i{k}", f, f"s{k}", 0.5 + k / 30) for k in range(13) for f in ("a", "b", "c")], "input string, finding string, source string, y double")
+    claims_ = spark.createDataFrame([("i0", "a", "c1", "s0", "d0"), ("i0", "b", "c2", "s0", "d0"), ("i0", "c", "c3", "s0", "d0")], "input string, finding string, claim string, source string, digest string")
+    joined, faults = challenge.claims_with_truth(claims_, truth, ["input", "finding"], ["source"])
+    assert joined.count() == 3 and faults.count() == 0 and {r.truth_y for r in joined.collect()} == {0.5}
+    scores = claims_.select("input", "claim", "finding", "digest", F.when(F.col("claim") != "c3", F.lit(0.4)).alias("score"), F.when(F.col("claim") == "c3", "failed").otherwise("success").alias("status"))
+    check = lambda s, c=claims_: {(r.claim, r.fault) for r in challenge.score_faults(c, s, ["input", "claim"], ["finding", "digest"]).collect()}
+    assert check(scores) == set()
+    assert check(scores.where("claim <> 'c1'")) == {("c1", "missing")}
+    assert check(scores.unionByName(scores.where("claim = 'c1'").withColumn("claim", F.lit("c9")))) == {("c9", "unexpected")}
+    assert check(scores.withColumn("finding", F.when(F.col("claim") == "c2", "a").otherwise(F.col("finding")))) == {("c2", "identity differs")}
+    assert check(scores.withColumn("digest", F.lit("other"))) == {(f"c{k}", "identity differs") for k in (1, 2, 3)}
+    assert check(scores.withColumn("score", F.lit(float("nan")))) == {(f"c{k}", "invalid score") for k in (1, 2, 3)}
+    assert {r.fault for r in challenge.claims_with_truth(claims_.withColumn("finding", F.lit("z")), truth, ["input", "finding"], ["source"])[1].collect()} == {"claim without truth"}
+    out = {r.method: (r.nominal, r.scored, r.common) for r in challenge.matched_coverage(claims_, [], {"x": scores, "y": scores.where("claim = 'c1'")}, ["input", "claim"]).collect()}
+    assert out == {"x": (3, 2, 1), "y": (3, 1, 1)}
+
+
+def test_challenge_states_and_roster(spark):
+    rows = [(0, False, None, None), (3, True, 0.5, 0.4), (2, True, 0.5, None), (3, True, 0.5, None), (4, True, 0.5, 0.1), (0, True, None, None), (9, False, None, None), (3, True, 1.5, 0.4), (1, False, 0.2, None)]
+    df = spark.createDataFrame(rows, "state int, valid boolean, y double, s double")
+    faults = [r.fault for r in challenge.state_faults(df, "state", "valid", ["y"], ["s"]).orderBy("state", "s").collect()]
+    assert sorted(faults) == sorted(["eligibility differs from state", "target of an ineligible input", "score missing or outside", "target missing or outside", "score without success", "unknown state"])
+    assert challenge.state_counts(df, "state").first().successful_queries == 9
+    sources, variants = spark.createDataFrame([("p", "d1"), ("q", "d2")], "source_id string, dataset string"), ["u", "v"]
+    records = spark.createDataFrame([("p", "u", "d1"), ("p", "v", "d1"), ("p", "v", "d1"), ("q", "u", "d1"), ("r", "u", "d1")], "source_id string, variant string, dataset string")
+    assert {(r.source_id, r.variant, r.fault) for r in challenge.roster_faults(sources, variants, records, ["dataset"]).collect()} == {("p", "v", "repeated"), ("q", "u", "source identity differs"), ("q", "v", "missing"), ("r", "u", "not planned")}
