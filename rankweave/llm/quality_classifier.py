@@ -20,6 +20,8 @@ from .toxicity import labelled_sample
 
 #: Labelled rows that a fit uses at most, by the order of a hash of doc_id.
 FIT_ROWS = 8_000
+#: Passages that a labelled text may have to be learned from; longer ones are scored but teach nothing.
+FIT_PASSAGES = 2_000
 PASSAGE = 64
 #: Byte classes whose share of a passage is a feature: lower, upper, digit, wide, full stop and comma, shouts, symbols, bars, other.
 CLASSES = np.full(256, 8)
@@ -139,8 +141,9 @@ def fit_classifier(sample: DataFrame) -> AttentionModel | float:
             out = []
             for _, _, data, offsets in text_chunks(batch.column(0)):
                 x, cuts = passages(data, offsets)
-                out += [x[a:b].astype(np.float32).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.record_batch([batch.column(1).cast(pa.int64()), batch.column(2), pa.array(out, pa.binary())], ["doc_id", "y", "bag"])
+                out += [x[a:b].astype(np.float32).tobytes() if b - a <= FIT_PASSAGES else None for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            bags = pa.array(out, pa.binary())
+            yield pa.record_batch([batch.column(1).cast(pa.int64()), batch.column(2), bags], ["doc_id", "y", "bag"]).filter(bags.is_valid())
 
     rows = sample.select("text", "doc_id", "y").mapInArrow(trimmed(encode), "doc_id long, y int, bag binary").collect()  # FIT_ROWS at most
     rows.sort(key=lambda r: (r.doc_id, bytes(r.bag)))
@@ -154,7 +157,9 @@ def fit_classifier(sample: DataFrame) -> AttentionModel | float:
 def quality_scores(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> DataFrame:
     """(doc_id, score, predicted, n_passages, attention) for every row of ``docs``; attention is the largest weight.
 
-    ``labels``: (doc_id, quality). Null texts are empty: one passage of zeros. Repeated rows are scored one by one.
+    ``labels``: (doc_id, quality). Null texts are empty: one passage of zeros. Repeated rows are scored one by one, rows
+    without a doc_id too. Other columns are ignored; an empty table gives an empty result. Without labels of both kinds
+    every score is their share, 0.5 without any.
     """
     model = fit_classifier(labelled_sample(docs, labels, "quality", F.lit(True) if train is None else train, FIT_ROWS))
 

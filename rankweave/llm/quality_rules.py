@@ -9,7 +9,7 @@ A line fails when one of these holds (rules on UTF-8 bytes, whole texts):
 
 Failing lines go. A document is kept when the base rules pass and the lines left hold at least ``min_left`` of its
 word characters. Null and empty texts have no words, fail the base rules and are not kept. Repeated rows are judged one
-by one; other columns are ignored.
+by one, rows without a doc_id too; other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -124,12 +124,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> np.ndarray
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, train: Column, rows: int = FIT_ROWS) -> DataFrame:
-    """At most about ``rows`` labelled training rows (doc_id, text, y), chosen by a hash of doc_id alone."""
+    """At most about ``rows`` labelled training rows (doc_id, y, text), chosen by a hash of doc_id alone.
+
+    A doc_id of several rows gives one, that with the smallest text; the sample's rows alone move.
+    """
     usable = labels.where(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull() & train).groupBy("doc_id").agg(F.max(target).alias("y"))
     n = usable.count()
     share = 1.0 if n <= rows else rows / n
     drawn = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(77)), F.lit(1_000_000)) < int(share * 1_000_000))
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 def fit_lexicon(sample: DataFrame) -> Lexicon:
@@ -204,7 +207,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, train: Column | None = N
     """(doc_id, score, predicted, n_hits, n_words) for every row of ``docs`` (doc_id, text).
 
     ``labels``: (doc_id, toxic); ``train`` says which of them may be learned from. Null texts are empty and get the
-    curve's score at no hits. Rows with equal doc_id are scored one by one. A map over partitions, no shuffle of texts.
+    curve's score at no hits. Rows with equal doc_id are scored one by one, rows without one too. Other columns are
+    ignored; an empty table gives an empty result. Without labels of both kinds the seed list scores. A map over
+    partitions, no shuffle of texts.
     """
     sample = labelled_sample(docs, labels, "toxic", F.lit(True) if train is None else train)
     scored = _measured(docs, fit_lexicon(sample))
