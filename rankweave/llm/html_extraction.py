@@ -195,11 +195,11 @@ def settle(item: Item) -> None:
         item.kids = fold(item.kids)
 
 
-def absorb(a: Item, b: Item, same_page: bool) -> None:
-    """``b`` joins ``a``: one more turn on the same page, or the same place on other pages."""
+def absorb(a: Item, b: Item, same_page: bool, turn: bool = True) -> None:
+    """``b`` joins ``a``: one more ``turn`` on the same page (or a part of one), or the same place on other pages."""
     b.into = a
     a.chars, a.links = a.chars + b.chars, a.links + b.links
-    a.optional, a.repeated = a.optional or b.optional, a.repeated or b.repeated or same_page
+    a.optional, a.repeated = a.optional or b.optional, a.repeated or b.repeated or (same_page and turn)
     if same_page:
         a.digest = hash((a.digest, b.digest)) or 1
     else:
@@ -257,7 +257,7 @@ def merge(a: list[Item], b: list[Item], same_page: bool) -> list[Item]:
     for op, i, j, k, m in opcodes(a, b):
         if op == "equal":
             for x, y in zip(a[i:j], b[k:m], strict=True):
-                absorb(x, y, same_page)
+                absorb(x, y, same_page, False)
                 out.append(x)
         else:
             for x in (*a[i:j], *b[k:m]):

@@ -474,7 +474,7 @@ def test_html_wrappers_by_brute_force():
         assert ("div.o" in found) == any(extra) and (not any(extra) or (found["div.o"].n == sum(extra) and found["div.o"].optional == (not all(extra))))
         if max(turns) > 1:
             assert "(h2 p)" in found and found["(h2 p)"].repeated and [x.key for x in found["(h2 p)"].kids] == ["h2", "p"]
-    assert html_extraction.parse("<ul><li>a<li>b</ul>")[0].expression() == "ul<(li<#>)+>"
+    assert html_extraction.parse("<ul><li>a<li>b</ul>")[0].kids[0].expression() == "ul<(li<#>)+>"
 
 
 def test_html_hard_pages(spark):
