@@ -15,8 +15,7 @@ Two documents link when their sets of distinct 5-word shingles have Jaccard simi
    ``FAN`` others; the first row of a run with the first row of the run before. A list of m documents gives m - 1 pairs.
    The sort is by ranges, which cut long lists; the rows at the cuts are compared too. Pairs pass the length and
    positional filters, are made distinct, pass the suffix filter (the parities of set sizes within ranges of the hash
-   space bound the overlap) and are verified once on whole sets. What they join is one component. Lists that still hold
-   several components are compared once more, each row with the one before it in an order that differs from list to list.
+   space bound the overlap) and are verified once on whole sets. What they join is one component.
 5. In lists of three and more that still hold several components (in a list of two the only pair was compared) every
    pair of documents of different components that passes the three filters is verified. So no link between different
    components is missed, while a group of thousands of near copies costs pairs in proportion to its size. Long lists are
@@ -407,7 +406,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     by_doc = written(classed.groupBy("doc_id").agg(F.min("class").alias("first"), F.max("class").alias("last")).where("first <> doc_id OR first <> last"), "by-doc")
     # Documents all of whose texts stand in an earlier class take no part in the search.
     copies = written(by_doc.where("last < doc_id").select("doc_id"), "copies")
-    several = classed.join(by_doc.where("first <> last").select("doc_id"), "doc_id").select(F.col("doc_id").alias("u"), F.col("class").alias("v")).where("u <> v").distinct()
+    # Texts of one document are one node, an empty one too.
+    mixed = by_doc.where("first <> last").select("doc_id").unionByName(sets.where("n = 0 AND doc_id IS NOT NULL").select("doc_id")).distinct()
+    several = classed.join(mixed, "doc_id").select(F.col("doc_id").alias("u"), F.col("class").alias("v")).where("u <> v").distinct()
 
     without = lambda df: df.where("doc_id IS NOT NULL").join(checked_broadcast(copies, BROADCAST_ROWS), "doc_id", "left_anti")
     total = classes.agg(F.sum("n")).first()[0] or 0
@@ -422,19 +423,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     seen = written(alike(written(neighbours(lists), "pairs")), "likely")
     links = verified(seen, docs)
     groups = connected_components(links.selectExpr("a AS u", "b AS v").unionByName(several))
-    rows = parted(lists, groups)
-    mixed = listed(rows.withColumn("least", F.xxhash64("doc_id", "key")), ["least", "doc_id"])
-    likely = written(alike(written(neighbours(mixed), "pairs")).join(seen, ["a", "b"], "left_anti"), "likely")
+    grown = groups.selectExpr("node AS u", "component AS v")
+    likely = written(across(parted(lists, groups), bits).join(seen, ["a", "b"], "left_anti"), "likely")
     links = verified(likely, docs)
-    seen = written(seen.unionByName(likely), "seen")
-    grown = lambda: groups.selectExpr("node AS u", "component AS v")
     if not links.isEmpty():
-        groups = connected_components(links.selectExpr("a AS u", "b AS v").unionByName(grown()))
-        rows = parted(rows.withColumn("wide", F.lit(True)), groups)
-    likely = written(across(rows, bits).join(seen, ["a", "b"], "left_anti"), "likely")
-    links = verified(likely, docs)
-    if not links.isEmpty():
-        groups = connected_components(links.selectExpr("a AS u", "b AS v").unionByName(grown()))
+        groups = connected_components(links.selectExpr("a AS u", "b AS v").unionByName(grown))
     # A copy takes its class's component, a document of several texts that of its own node.
     stars = written(groups.withColumnRenamed("component", "own"), "components")
     rooted = written(classes.join(stars.withColumnRenamed("node", "class"), "class", "left").select(*kinds, "size", F.coalesce("own", "class").alias("root")), "roots")
