@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, jaccard_join
+from . import chat_format, decontamination, fill_in_middle, jaccard_join
 from .chat_format import op10_chat_format
 from .decontamination import op7_decontamination
+from .fill_in_middle import op12_fill_in_middle
 from .html_extraction import op6_html_extraction
 from .jaccard_join import op8_jaccard_join
 from .lm_scoring import op9_lm_scoring
@@ -16,6 +17,10 @@ from .toxicity import op2_toxicity
 
 _FUNCTIONS = (
     op1_quality_rules, op2_toxicity, op3_pii, op4_packing, op5_quality_classifier, op6_html_extraction, op7_decontamination, op8_jaccard_join, op9_lm_scoring, op10_chat_format,
+    op12_fill_in_middle,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
-ORACLE_SQL: dict[str, str] = {"op7_decontamination": decontamination.ORACLE_SQL, "op8_jaccard_join": jaccard_join.ORACLE_SQL, "op10_chat_format": chat_format.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op7_decontamination": decontamination.ORACLE_SQL, "op8_jaccard_join": jaccard_join.ORACLE_SQL, "op10_chat_format": chat_format.ORACLE_SQL,
+    "op12_fill_in_middle": fill_in_middle.ORACLE_SQL,
+}
