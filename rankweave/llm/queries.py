@@ -14,11 +14,12 @@ from .pii import op3_pii
 from .quality_classifier import op5_quality_classifier
 from .quality_rules import op1_quality_rules
 from .secret_scan import op13_secret_scan
+from .token_alignment import op11_token_alignment
 from .toxicity import op2_toxicity
 
 _FUNCTIONS = (
     op1_quality_rules, op2_toxicity, op3_pii, op4_packing, op5_quality_classifier, op6_html_extraction, op7_decontamination, op8_jaccard_join, op9_lm_scoring, op10_chat_format,
-    op12_fill_in_middle, op13_secret_scan,
+    op11_token_alignment, op12_fill_in_middle, op13_secret_scan,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 ORACLE_SQL: dict[str, str] = {
