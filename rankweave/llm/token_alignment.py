@@ -38,10 +38,12 @@ from pyspark.sql import functions as F
 from .fill_in_middle import raw_texts
 from .shared import small_batches, table, trimmed, written
 
-#: Bytes of text of a fold of documents.
-FOLD = 4 << 20
-#: Different segments, and their bytes, that a worker keeps from one fold to the next.
-CACHE, CACHE_BYTES = 400_000, 48 << 20
+#: Bytes of text of a fold of documents, and of the documents that are encoded together.
+FOLD, BATCH = 8 << 20, 1 << 20
+#: Different segments, and their bytes with what is known of them, that a worker keeps from one fold to the next.
+CACHE, CACHE_BYTES = 600_000, 64 << 20
+#: Segments that are encoded as one text.
+PACK = 256
 B_BITS = 32
 RULES = ("ends", "groups")
 _FOLDS = (
@@ -97,8 +99,47 @@ def links(a_upto: np.ndarray, b_upto: np.ndarray, rule: str = "ends") -> tuple[n
     return group, a_from[group] + k // np.maximum(wide, 1)[group], b_from[group] + k % np.maximum(wide, 1)[group]
 
 
-class ByteLevel:
-    """The byte-level vocabulary: ids of texts, bytes of ids."""
+class Vocabulary:
+    """Ids of segments, and the bytes that each id stands for."""
+
+    bytes: list[bytes]
+    size: np.ndarray
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of texts, each of which starts with a space."""
+        raise NotImplementedError
+
+    def encode_segments(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all segments in order, their number by segment, whether they give the segment's bytes).
+
+        Segments that a space may follow are encoded many together and told apart by the bytes of their tokens; where
+        these are not the segments' own, each is encoded by itself.
+        """
+        packs, at = [], 0
+        while at < len(parts):
+            end = at + 1
+            while end < len(parts) and end - at < PACK and _sure_end(parts[end - 1]):
+                end += 1
+            packs.append((at, end))
+            at = end
+        counts, ok, flat = np.zeros(len(parts), np.int64), np.ones(len(parts), bool), []
+        joined = [b"".join(parts[a:b]) for a, b in packs]
+        for (a, b), raw, ids in zip(packs, joined, self.encode([x.decode("utf-8", "replace") for x in joined]), strict=True):
+            own = np.array(ids, np.int64)
+            ends, want = np.cumsum(self.size[own]), np.cumsum([len(x) for x in parts[a:b]])
+            upto = np.searchsorted(ends, want, "right")
+            if b"".join(map(self.bytes.__getitem__, ids)) == raw and (upto > 0).all() and (ends[upto - 1] == want).all():
+                counts[a:b] = np.diff(upto, prepend=0)
+                flat.append(own)
+                continue
+            for k, ids_of_one in zip(range(a, b), self.encode([x.decode("utf-8", "replace") for x in parts[a:b]]), strict=True):
+                counts[k], ok[k] = len(ids_of_one), b"".join(map(self.bytes.__getitem__, ids_of_one)) == parts[k]
+                flat.append(np.array(ids_of_one, np.int64))
+        return np.concatenate(flat) if flat else np.zeros(0, np.int64), counts, ok
+
+
+class ByteLevel(Vocabulary):
+    """The byte-level vocabulary."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -119,7 +160,7 @@ class ByteLevel:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-class Pieces:
+class Pieces(Vocabulary):
     """The piece vocabulary; a text loses its first space, which the encoder puts before it."""
 
     SPACE = "▁"
@@ -154,69 +195,81 @@ def segments(raw: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in pairwise([0, *cuts.tolist(), len(raw)])]
 
 
+def _sure_end(part: bytes) -> bool:
+    return 0x20 < part[-1] < 0x7F or (part[-1] >= 0x80 and 0xC3 <= part[-2] < 0xE0)
+
+
 class Aligner:
-    """Aligned segments, each different one once; ``index`` gives the place of its figures in the lists."""
+    """Aligned segments, each different one once; ``index`` gives the place of its figures."""
 
     def __init__(self, a_path: str, b_path: str, rule: str):
         self.a, self.b, self.rule = ByteLevel(a_path), Pieces(b_path), rule
         if not segment_safe(self.b):
             raise ValueError("a piece holds a space after its start: segments cannot be encoded apart")
+        #: Ids as text with what follows them: A's by "," or, the last of a group, "|"; B's by "," or ";".
+        self.rendered = [f"{k}{x}" for v, marks in ((self.a, ",|"), (self.b, ",;")) for k in range(len(v.bytes)) for x in marks]
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
         self.held = 0
-        #: By segment: ids of groups as text, linked pairs, and (tokens of A, of B, groups, links, whether both sides give its bytes).
+        #: By segment: ids of groups as text; (tokens of A, of B, groups, links, whether both sides give its bytes); where its links start.
         self.texts: list[str] = []
-        self.pairs: list[np.ndarray] = []
-        self.figures = np.zeros((1024, 5), np.int64)
+        self.figures = np.zeros((1 << 14, 5), np.int64)
+        self.starts = np.zeros(1 << 14, np.int64)
+        self.pairs, self.n_pairs = np.zeros(1 << 16, np.int64), 0
 
     def trim(self) -> None:
         if len(self.index) > CACHE or self.held > CACHE_BYTES:
             self.clear()
 
+    def links_of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(links by segment, their pairs in the order of the segments)."""
+        n = self.figures[places, 3]
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.starts[places], n)
+        return n, self.pairs[at]
+
     def learn(self, fresh: list[bytes]) -> None:
         """Encode new segments, and align all of them over one bitset, in which each starts where the last one ends."""
-        texts = [x.decode("utf-8", "replace") for x in fresh]
-        sides = []
-        for vocabulary in (self.a, self.b):
-            ids = vocabulary.encode(texts)
-            flat = np.fromiter((i for x in ids for i in x), np.int64)
-            sides.append((ids, flat, np.array([len(x) for x in ids]), [b"".join(map(vocabulary.bytes.__getitem__, x)) for x in ids], vocabulary.size[flat]))
-        ok = np.array([a == b == x for a, b, x in zip(sides[0][3], sides[1][3], fresh, strict=True)], bool)
-        keep = [np.repeat(ok, lengths) for _, _, lengths, _, _ in sides]
-        flats = [side[1][k] for side, k in zip(sides, keep, strict=True)]
-        ends = [np.cumsum(side[4][k]) for side, k in zip(sides, keep, strict=True)]
+        (a, n_a, ok_a), (b, n_b, ok_b) = (v.encode_segments(fresh) for v in (self.a, self.b))
+        ok = ok_a & ok_b
+        a, b = a[np.repeat(ok, n_a)], b[np.repeat(ok, n_b)]
         size = np.where(ok, [len(x) for x in fresh], 0)
-        cuts, a_upto, b_upto = align(*ends, int(size.sum())) if ok.any() else (np.zeros(0, np.int64),) * 3
+        cuts, a_upto, b_upto = align(np.cumsum(self.a.size[a]), np.cumsum(self.b.size[b]), int(size.sum())) if ok.any() else (np.zeros(0, np.int64),) * 3
         group, a_at, b_at = links(a_upto, b_upto, self.rule)
-        pair = flats[0][a_at] << B_BITS | flats[1][b_at]
+        pair = a[a_at] << B_BITS | b[b_at]
         upto = np.concatenate([[0], np.searchsorted(cuts, np.cumsum(size), "right")])  # groups up to the end of each segment
         link_upto = np.searchsorted(group, upto)
-        rendered = _render(flats[0], flats[1], a_upto, b_upto)
-        while len(self.figures) < len(self.texts) + len(fresh):
-            self.figures = np.concatenate([self.figures, np.zeros_like(self.figures)])
-        for k, x in enumerate(fresh):
-            groups = slice(upto[k], upto[k + 1]) if ok[k] else slice(0, 0)
-            own = pair[link_upto[k] : link_upto[k + 1]] if ok[k] else pair[:0]
-            self.index[x] = len(self.texts)
-            self.figures[len(self.texts)] = len(sides[0][0][k]), len(sides[1][0][k]), groups.stop - groups.start, len(own), ok[k]
-            self.texts.append(";".join(rendered[groups]))
-            self.pairs.append(own)
-            self.held += len(x) + len(self.texts[-1]) + 8 * len(own)
-
-    def take(self, raw: bytes) -> list[int]:
-        """The places of a text's segments."""
-        parts = segments(raw)
-        fresh = [x for x in dict.fromkeys(parts) if x not in self.index]
-        for at in range(0, len(fresh), 4096):
-            self.learn(fresh[at : at + 4096])
-        return list(map(self.index.__getitem__, parts))
-
-
-def _render(a: np.ndarray, b: np.ndarray, a_upto: np.ndarray, b_upto: np.ndarray) -> list[str]:
-    a_text, b_text = list(map(str, a.tolist())), list(map(str, b.tolist()))
-    return [",".join(a_text[p:q]) + "|" + ",".join(b_text[r:s]) for (p, q), (r, s) in zip(pairwise([0, *a_upto.tolist()]), pairwise([0, *b_upto.tolist()]), strict=True)]
+        old, new = len(self.texts), len(fresh)
+        while len(self.starts) < old + new:
+            self.figures, self.starts = np.concatenate([self.figures, np.zeros_like(self.figures)]), np.concatenate([self.starts, np.zeros_like(self.starts)])
+        while len(self.pairs) < self.n_pairs + len(pair):
+            self.pairs = np.concatenate([self.pairs, np.zeros_like(self.pairs)])
+        self.figures[old : old + new] = np.stack([n_a, n_b, np.diff(upto), np.diff(link_upto), ok], axis=1)
+        self.starts[old : old + new] = self.n_pairs + link_upto[:-1]
+        self.pairs[self.n_pairs : self.n_pairs + len(pair)] = pair
+        self.n_pairs += len(pair)
+        strings = self._strings(a, b, a_upto, b_upto)
+        tokens = np.concatenate([[0], np.cumsum(np.where(ok, n_a + n_b, 0))]).tolist()
+        self.texts += ["".join(strings[p:q])[:-1] for p, q in pairwise(tokens)]
+        self.index.update(zip(fresh, range(old, old + new), strict=True))
+        self.held += int(size.sum()) + 8 * len(pair) + sum(map(len, self.texts[old:]))
+
+    def _strings(self, a: np.ndarray, b: np.ndarray, a_upto: np.ndarray, b_upto: np.ndarray) -> list[str]:
+        """Tokens as text in the order of their groups, A's of a group before B's."""
+        last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        last_a[a_upto - 1], last_b[b_upto - 1] = 1, 1
+        codes = np.concatenate([2 * a + last_a, 2 * (len(self.a.bytes) + b) + last_b])
+        group = np.concatenate([2 * (np.cumsum(last_a) - last_a), 2 * (np.cumsum(last_b) - last_b) + 1])
+        return list(map(self.rendered.__getitem__, codes[np.argsort(group, kind="stable")].tolist()))
+
+    def take(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The places of the segments of each text."""
+        parts = [segments(raw) for raw in texts]
+        fresh = list({x: None for own in parts for x in own if x not in self.index})
+        for at in range(0, len(fresh), 32_768):
+            self.learn(fresh[at : at + 32_768])
+        return [np.fromiter(map(self.index.__getitem__, own), np.int64, len(own)) for own in parts]
 
 
 @lru_cache(2)
@@ -234,39 +287,48 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
 
 
 class _Fold:
-    """Documents of one fold, as they come."""
+    """Documents of one fold, as they come; they are encoded some ``BATCH`` bytes at a time."""
 
-    def __init__(self):
-        self.rows, self.bags, self.bytes = [], [], 0
+    def __init__(self, known: Aligner):
+        self.known, self.rows, self.bags, self.bytes = known, [], [], 0
+        self.waiting, self.waits = [], 0
 
-    def add(self, doc_id, raw: bytes, known: Aligner) -> None:
+    def add(self, doc_id, raw: bytes) -> None:
         self.bytes += len(raw) + 64
-        places = known.take(b" " + raw) if raw else []
-        bag, counts = np.unique(np.array(places, np.int64), return_counts=True)
-        figures = known.figures[bag]
-        if not raw or not figures[:, 4].all():
+        self.waits += len(raw)
+        self.waiting.append((doc_id, b" " + raw if raw else b""))
+        if self.waits >= BATCH:
+            self.encode()
+
+    def encode(self) -> None:
+        whole = [raw for _, raw in self.waiting if raw]
+        found = iter(self.known.take(whole))
+        for doc_id, raw in self.waiting:
+            self._document(doc_id, next(found) if raw else np.zeros(0, np.int64))
+        self.waiting, self.waits = [], 0
+
+    def _document(self, doc_id, places: np.ndarray) -> None:
+        bag, counts = np.unique(places, return_counts=True)
+        figures = self.known.figures[bag]
+        if not len(bag) or not figures[:, 4].all():
             self.rows.append((doc_id, 0, 0, 0, 0, ""))
             self.bags.append((bag[:0], counts[:0]))
             return
-        sums = (figures[:, :4] * counts[:, None]).sum(0).tolist()
         digest = hashlib.sha256()
         for at in range(0, len(places), 65536):
-            digest.update((";" * (at > 0) + ";".join(map(known.texts.__getitem__, places[at : at + 65536]))).encode())
-        self.rows.append((doc_id, *sums, digest.hexdigest()))
+            digest.update((";" * (at > 0) + ";".join(map(self.known.texts.__getitem__, places[at : at + 65536].tolist()))).encode())
+        self.rows.append((doc_id, *(counts @ figures[:, :4]).tolist(), digest.hexdigest()))
         self.bags.append((bag, counts))
 
-    def row(self, number: int, known: Aligner) -> pa.RecordBatch:
+    def row(self, number: int) -> pa.RecordBatch:
+        self.encode()
         sizes = np.array([len(x) for x, _ in self.bags])
-        flat = np.concatenate([x for x, _ in self.bags])
         counts = np.concatenate([x for _, x in self.bags])
-        places, local = np.unique(flat, return_inverse=True)
-        own = [known.pairs[k] for k in places.tolist()]
-        link_sizes = np.array([len(x) for x in own], np.int64)
-        all_links = np.concatenate(own) if own else np.zeros(0, np.int64)
+        places, local = np.unique(np.concatenate([x for x, _ in self.bags]), return_inverse=True)
+        link_sizes, all_links = self.known.links_of(places)
         pairs, link = np.unique(all_links, return_inverse=True)
-        times = np.bincount(local, counts, len(places)).astype(np.int64)
-        totals = np.zeros(len(pairs), np.int64)
-        np.add.at(totals, link, np.repeat(times, link_sizes))
+        times = np.bincount(local, counts, len(places))
+        totals = np.bincount(link, np.repeat(times, link_sizes), len(pairs)).astype(np.int64)
         columns = [list(x) for x in zip(*self.rows, strict=True)]
         longs = pa.list_(pa.int64())
         arrays = [pa.array([number], pa.int64()), *(pa.array([x], longs) for x in columns[:5]), pa.array([columns[5]], pa.list_(pa.string()))]
@@ -276,16 +338,17 @@ class _Fold:
 
 def _folds(a_path: str, b_path: str, rule: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, number, fold = aligner(a_path, b_path, rule), TaskContext.get().partitionId() << 32, _Fold()
+        known, number = aligner(a_path, b_path, rule), TaskContext.get().partitionId() << 32
+        fold = _Fold(known)
         for batch in batches:
             for doc_id, raw in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
-                fold.add(doc_id, raw, known)
+                fold.add(doc_id, raw)
                 if fold.bytes >= FOLD:
-                    yield fold.row(number, known)
+                    yield fold.row(number)
                     known.trim()
-                    number, fold = number + 1, _Fold()
-        if fold.rows:
-            yield fold.row(number, known)
+                    number, fold = number + 1, _Fold(known)
+        if fold.bytes:
+            yield fold.row(number)
             known.trim()
 
     return run

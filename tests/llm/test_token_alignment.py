@@ -87,6 +87,12 @@ def test_segments_give_the_ids_of_the_whole(coders, text):
     assert "".join(parts) == " " + text and all(x.startswith(" ") for x in parts)
     assert [i for x in a.encode(parts) for i in x] == a.encode([" " + text])[0]
     assert [i for x in b.encode(parts) for i in x] == b.model.encode(text)
+    raw = [x.encode() for x in parts]
+    for v in (a, b):
+        flat, counts, ok = v.encode_segments(raw + raw)
+        each = v.encode(parts)
+        assert flat.tolist() == [i for x in each + each for i in x] and counts.tolist() == [len(x) for x in each] * 2
+        assert ok.tolist() == [b"".join(v.bytes[i] for i in x) == y for x, y in zip(each, raw, strict=True)] * 2
 
 
 @settings(max_examples=200, deadline=None)
@@ -103,9 +109,9 @@ def test_cache_is_bounded(spark, coders, monkeypatch):
     known = ta.Aligner(A_PATH, B_PATH, "ends")
     monkeypatch.setattr(ta, "CACHE", 10)
     for k in range(5):
-        fold = ta._Fold()
-        fold.add(k, " ".join(f"w{k}x{j}" for j in range(8)).encode(), known)
-        assert fold.row(k, known).num_rows == 1
+        fold = ta._Fold(known)
+        fold.add(k, " ".join(f"w{k}x{j}" for j in range(8)).encode())
+        assert fold.row(k).num_rows == 1
         known.trim()
         assert len(known.index) <= 10
 
