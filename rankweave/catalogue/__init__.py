@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import checks, geometry, identity, learning, ranking, text
+from . import bootstraps, checks, geometry, identity, learning, ranking, text
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (ranking, identity, checks, geometry, text, learning):
+for _module in (ranking, bootstraps, identity, checks, geometry, text, learning):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,9 +10,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
     """Line items as scored queries: dataset, group, truth y, a heavily tied score_a and a score_b with gaps."""
     return table(spark, sf_dir, "lineitem").select(
+        *more,
         F.col("l_returnflag").alias("ds"), F.col("l_suppkey").alias("grp"), F.col("l_linestatus").alias("finding"), F.col("l_linenumber").alias("variant"), (1 - 2 * F.col("l_discount")).alias("y"),
         (1 - 2 * F.col("l_tax")).alias("score_a"), F.when(F.col("l_linenumber") != 7, 1 - F.col("l_quantity") / 50).alias("score_b"),
     )

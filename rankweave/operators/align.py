@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import written
+
 
 def align_scores(truth: DataFrame, predictions: DataFrame, keys: list[str]) -> DataFrame:
     """Full outer match with its state: matched, missing (truth only), unknown (prediction only), duplicate.
@@ -70,14 +72,17 @@ def chunked(df: DataFrame, order: list[str], size: int, by: list[str] | None = N
 
 
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """0-based global positions: a range-partitioned sort, counts per partition, and their running sums.
+    """0-based global positions: a range-partitioned sort, written once, and running sums of the sizes of its ranges.
 
-    The number of ranges is fixed, so they are not coalesced differently where the plan uses them twice. The sums are
-    one row a range.
+    Bounds of ranges are sampled anew in each run of a shuffle, so what gives the sizes and what gives the places must
+    be one table: rows are written with their range and their place inside it. The sums are one row a range. Rows with
+    equal ``order`` get different positions, in no order to rely on.
     """
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    ranked = spread.withColumn("within", F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1)
-    sizes = ranked.groupBy("part").agg(F.count("*").alias("size"))
-    before = sizes.withColumn("base", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return ranked.join(F.broadcast(before.select("part", "base")), "part").withColumn("position", F.col("base") + F.col("within")).drop("part", "within", "base")
+    row = F.monotonically_increasing_id()  # the partition in the bits from 33 on, the row in those below
+    spread = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    ranked = written(spread.select("*", F.shiftright(row, 33).alias("__part"), row.bitwiseAND(F.lit((1 << 33) - 1)).alias("__within")), "numbered")
+    sizes = ranked.groupBy("__part").agg(F.count("*").alias("__size"))
+    before = F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = sizes.select("__part", before.alias("__base"))
+    return ranked.join(F.broadcast(bases), "__part").withColumn("position", F.col("__base") + F.col("__within")).drop("__part", "__within", "__base")

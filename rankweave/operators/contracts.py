@@ -47,9 +47,11 @@ def not_in_plan(found: DataFrame, plan: DataFrame, keys: list[str]) -> DataFrame
 def incomplete(df: DataFrame, key: str, slot: Column, expected: int) -> DataFrame:
     """Keys without exactly ``expected`` rows in as many different slots; ``slot`` numbers a row's part from 0 to 63.
 
-    Slots are bits of one number, so partial aggregation sends one row a key and task, and repeats change nothing.
+    Slots are bits of one number, so partial aggregation sends one row a key and task, and repeats change nothing. A
+    slot outside that range is an error, as its bit would stand for another.
     """
-    bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.cast("int")))
+    number = F.when(slot.between(0, 63), slot).otherwise(F.raise_error(F.lit("a slot is no number from 0 to 63")).cast("int"))
+    bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), number.cast("int")))
     found = df.groupBy(key).agg(F.count("*").alias("n_rows"), F.bit_count(bits).cast("long").alias("n_parts"))
     return found.where((F.col("n_rows") != expected) | (F.col("n_parts") != expected))
 

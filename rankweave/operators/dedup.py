@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import written
 from .skew import sized_join
 
 #: Hamming distance that nine bands of 256 bits find for certain: of nine bands, eight differing bits leave one equal.
@@ -114,18 +113,6 @@ def memberships(df: DataFrame, key: str, exact: list[str], code: str, thumbnail:
     return reduce(DataFrame.unionByName, hashes).unionByName(pairs.join(alike, "kind").select("group", "node")).distinct()
 
 
-def _folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary one only where the executors are this process."""
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="rankweave-")
-        context.setCheckpointDir(folder)
-    return folder
-
-
 def pair_groups(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(group, node) of matching pairs."""
     return pairs.select(F.concat_ws(":", F.col(a).cast("string"), F.col(b).cast("string")).alias("group"), F.explode(F.array(a, b)).alias("node"))
@@ -141,12 +128,10 @@ def greedy_keep(members: DataFrame, nodes: DataFrame, seeds: DataFrame | None =
     rounds end with no row open. Once no more than ``local_rows`` memberships are open, one task scans the rest in
     order. A null node is no row.
     """
-    spark, folder = nodes.sparkSession, _folder(nodes.sparkSession)
+    spark = nodes.sparkSession
 
     def saved(df: DataFrame) -> DataFrame:
-        path = f"{folder}/greedy-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        return written(df, "greedy")
 
     rows = nodes.select("node").where("node IS NOT NULL").distinct().withColumn("seed", F.lit(False))
     if seeds is not None:

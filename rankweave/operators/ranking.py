@@ -2,8 +2,9 @@
 
 A tie block holds all rows of one scope with one score, reduced to counts and sums before any window runs. Windows see
 one row per distinct score and never a whole scope: a scope's scores are cut into buckets at approximate quantiles, sums
-of whole buckets are added up first, and a window runs inside each bucket. "Bad" is a truth under ``cut``. Labels never break ties: expectations inside a block
-are closed forms with harmonic numbers, which are column expressions, so no table of them is joined.
+of whole buckets are added up first, and a window runs inside each bucket. "Bad" is a truth under ``CUT``. Labels never
+break ties: expectations inside a block are closed forms with harmonic numbers, which are column expressions, so no
+table of them is joined. A truth or score that is no finite number is an error; one that is null leaves its row out.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import written
+
 CUT = 0.9
 #: Buckets of a scope's scores; a window sees about one in so many of its distinct values.
 BUCKETS = 128
@@ -27,12 +30,22 @@ def harmonic(k: Column) -> Column:
     return F.when(k <= 0, 0.0).when(k <= 32, short).otherwise(series)
 
 
+def only_finite(df: DataFrame, *columns: str) -> DataFrame:
+    """The same rows; a task that meets NaN or an infinity in one of ``columns`` fails and names it. Nulls pass."""
+    checks = []
+    for c in columns:
+        x = F.col(c).cast("double")
+        odd = F.isnan(x) | (F.abs(x) == float("inf"))
+        checks.append(F.when(F.coalesce(odd, F.lit(False)), F.raise_error(F.lit(f"{c} holds a value that is not finite")).cast("boolean")).otherwise(True))
+    return df.where(reduce(Column.__and__, checks))
+
+
 def tie_blocks(df: DataFrame, by: list[str], truth: str, score: str, weight: str | None = None) -> DataFrame:
     """(by, score): n rows, bad rows, sums of |error|, error^2. Rows without a score or truth are left out."""
     w = F.col(weight) if weight else F.lit(1)
     error = F.col(truth) - F.col(score)
     return (
-        df.where(F.col(truth).isNotNull() & F.col(score).isNotNull() & (w > 0))
+        only_finite(df, truth, score).where(F.col(truth).isNotNull() & F.col(score).isNotNull() & (w > 0))
         .groupBy(*by, F.col(score).alias("score"))
         .agg(F.sum(w).cast("long").alias("n"), F.sum(F.when(F.col(truth) < CUT, w).otherwise(0)).cast("long").alias("bad"), F.sum(F.abs(error) * w).alias("abs_sum"), F.sum(error * error * w).alias("sq_sum"))
     )
@@ -47,12 +60,13 @@ def running(blocks: DataFrame, by: list[str], value: str, sums: list[str]) -> Da
     """``blocks`` with, for each of ``sums``, ``<c>_before`` over the rows of the scope with a larger value and
     ``<c>_total`` over the scope. ``value`` is a number, not null, and differs from row to row of a scope.
 
-    Buckets hang on values alone, so equal values never part and a recomputed task places its rows alike.
+    Equal values never part. Cuts are approximate and hang on the order in which partial sketches meet, so rows are
+    written with their bucket once, and all that follows reads that table.
     """
     edges = [k / BUCKETS for k in range(1, BUCKETS)]
     cuts = blocks.groupBy(*by).agg(F.percentile_approx(F.col(value).cast("double"), edges, 1000).alias("cuts"))
     at = F.size(F.filter("cuts", lambda c: c > F.col(value))).alias("bucket")
-    placed = blocks.alias("x").join(cuts.alias("y"), same_scope(by, "x", "y")).select("x.*", at)
+    placed = written(blocks.alias("x").join(cuts.alias("y"), same_scope(by, "x", "y")).select("x.*", at), "placed")
     whole = placed.groupBy(*by, "bucket").agg(*(F.sum(c).alias(f"{c}_own") for c in sums))
     # One row a bucket: at most BUCKETS rows of a scope meet here.
     order = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -120,15 +134,18 @@ def spearman(df: DataFrame, by: list[str], truth: str, score: str) -> DataFrame:
 
     Ranks come from per-value counts, added up in buckets; rows meet their ranks by equi-joins.
     """
-    rows = df.where(F.col(truth).isNotNull() & F.col(score).isNotNull())
-    pairs = rows.groupBy(*by, F.col(truth).alias("t"), F.col(score).alias("s")).agg(F.count("*").alias("n"))
+    rows = only_finite(df, truth, score).where(F.col(truth).isNotNull() & F.col(score).isNotNull())
+    pairs = written(rows.groupBy(*by, F.col(truth).alias("t"), F.col(score).alias("s")).agg(F.count("*").alias("n")), "pairs")
 
     def ranks(value: str) -> DataFrame:
         counts = running(pairs.groupBy(*by, value).agg(F.sum("n").alias("m")), by, value, ["m"])
         return counts.select(*by, value, (F.col("m_total") - F.col("m_before") - F.col("m") + (F.col("m") + 1) / 2).alias(f"r_{value}"))
 
     x, y, n = F.col("r_t"), F.col("r_s"), F.col("n")
-    moments = pairs.join(ranks("t"), [*by, "t"]).join(ranks("s"), [*by, "s"]).groupBy(*by).agg(
+    def ranked(left: DataFrame, value: str) -> DataFrame:
+        return left.alias("x").join(ranks(value).alias("y"), same_scope([*by, value], "x", "y")).select("x.*", f"y.r_{value}")
+
+    moments = ranked(ranked(pairs, "t"), "s").groupBy(*by).agg(
         F.sum("n").alias("n"), F.sum(n * x).alias("x"), F.sum(n * y).alias("y"), F.sum(n * x * x).alias("xx"), F.sum(n * y * y).alias("yy"), F.sum(n * x * y).alias("xy")
     )
     n, x, y = F.col("n").cast("double"), F.col("x"), F.col("y")
@@ -143,7 +160,8 @@ def method_ranks(metrics: DataFrame, by: list[str], metric: str, ascending: bool
 
 
 def budget_curves(df: DataFrame, by: list[str], truth: str, score: str, budgets=(0.05, 0.1, 0.2, 0.3, 0.5), weight: str | None = None) -> DataFrame:
-    """Review budgets: missing scores are reviewed first, then ascending scores with fractional picks inside ties."""
+    """Review budgets: missing scores (null or NaN) are reviewed first, then ascending ones with fractional picks inside ties."""
+    df = only_finite(df.withColumn(score, F.when(~F.isnan(F.col(score).cast("double")), F.col(score))), truth, score)
     w = F.col(weight) if weight else F.lit(1)
     bad = F.when(F.col(truth) < CUT, w).otherwise(0)
     b = df.where(w > 0).groupBy(*by, F.col(score).alias("score")).agg(F.sum(w).cast("double").alias("w"), F.sum(bad).cast("double").alias("bad"))
