@@ -43,8 +43,9 @@ from .exchange import by_part, from_steps, pack, steps, unpack
 from .shared import checked_broadcast, discard, forget_shuffles, sized_join, small_batches, trimmed, written
 from .tokens import shingle_sets
 
-#: Shingles of a fold and of a part: what a task holds. Messages number folds times parts, so raise both for petabytes.
-FOLD = 1 << 21
+#: Shingles of a fold and of a part: what a task holds, some 160 bytes for each of a fold at its peak. Messages number
+#: folds times parts, so raise both for petabytes.
+FOLD, PART = 1 << 20, 1 << 21
 #: Bits of a key beyond those that number all shingles: one key in 4,096 belongs to two shingles.
 SPARE_BITS = 12
 #: Ranges of the hash space whose set sizes, odd or even, the suffix filter compares; one bit each.
@@ -96,8 +97,12 @@ def folds(docs: DataFrame, key_bits: int, part_bits: int) -> DataFrame:
         number, size, ids, sets = TaskContext.get().partitionId() << 32, 0, [], []
 
         def close() -> list[pa.RecordBatch]:
-            keys, place, times = np.unique(np.concatenate(sets) >> np.uint64(64 - key_bits), return_inverse=True, return_counts=True)
             sizes = np.array([len(x) for x in sets])
+            whole = np.concatenate(sets)
+            sets.clear()
+            whole >>= np.uint64(64 - key_bits)
+            keys, place, times = np.unique(whole, return_inverse=True, return_counts=True)
+            del whole
             first = np.cumsum(sizes) - sizes
             gaps = np.diff(place, prepend=0)
             gaps[first] = place[first]
@@ -176,7 +181,7 @@ def prefixes(contents: DataFrame, answers: DataFrame) -> DataFrame:
 def postings_of(docs: DataFrame, shingles: int) -> DataFrame:
     """Postings of ``docs``, which hold so many shingles in all."""
     key_bits = min(64, max(24, shingles.bit_length() + SPARE_BITS))
-    part_bits = max(6, (shingles // FOLD).bit_length())
+    part_bits = max(6, (shingles // PART).bit_length())
     sent = written(folds(docs, key_bits, part_bits), "folds")
     answers = written(counted(sent.where("part >= 0").select("fold", "part", "n", "data")), "answers")
     forget_shuffles(docs.sparkSession)

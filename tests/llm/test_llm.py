@@ -556,6 +556,7 @@ def brute_components(rows):
 def test_jaccard_small_folds_and_blocks(spark, monkeypatch, seed):
     """Several folds, parts and blocks, families of near copies that share boilerplate, and ids of several texts."""
     monkeypatch.setattr(jaccard_join, "FOLD", 400)
+    monkeypatch.setattr(jaccard_join, "PART", 400)
     monkeypatch.setattr(jaccard_join, "BLOCK", 3)
     rng = random.Random(seed)
     word = lambda: "w" + str(rng.randrange(4000))
