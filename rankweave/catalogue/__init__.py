@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import bootstraps, checks, geometry, identity, learning, ranking, running, text
+from . import bootstraps, checks, geometry, identity, learning, ranking, rasters, running, text
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (ranking, bootstraps, identity, checks, geometry, text, learning, running):
+for _module in (ranking, bootstraps, identity, checks, geometry, text, learning, running, rasters):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
