@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import raster, recipes
+from ..operators import slots
 from ..sources import pfs
 from . import bind
 
@@ -33,3 +37,98 @@ def pfs_contours(spark, sf_dir: str) -> DataFrame:
     area = lambda c: F.abs(F.aggregate(turned(c), F.lit(0.0), lambda s, x: s + x)) / 2
     size = F.when(F.col("right_lung").isNotNull(), F.size("right_lung"))
     return rows.select("p_partkey", "fault", size.alias("n_right"), area("right_lung").alias("right_area"), area("left_lung").alias("left_area"), F.array_join("right_removed", ",").alias("right_removed"))
+
+
+def _pictures(spark, sf_dir: str) -> DataFrame:
+    """Parts as pictures of two greys with a box for each lung; the margin m decides what can be cut away."""
+    w, h, m = (40 + F.col("p_size")).cast("int"), (36 + F.col("p_partkey") % 30).cast("int"), (F.col("p_partkey") % 4).cast("int")
+    row = F.concat(F.expr("repeat(chr(20 + p_size), w DIV 2)"), F.expr("repeat(chr(100), w - w DIV 2)"))
+    # A part is a few bytes, its picture some hundred thousand: rows are dealt out before they grow.
+    p = bind.table(spark, sf_dir, "part").select("p_partkey", "p_size", w.alias("w"), h.alias("h"), m.alias("m")).repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
+    third = F.expr("CAST(w DIV 3 AS INT)")
+    right = slots.box_mask(F.col("w"), F.col("h"), F.col("m"), F.col("m"), F.col("m") + third, F.col("h") - F.col("m"))
+    left = slots.box_mask(F.col("w"), F.col("h"), F.col("w") - F.col("m") - third, F.col("m"), F.col("w") - F.col("m"), F.col("h") - F.col("m"))
+    return p.select("p_partkey", "m", F.col("w").alias("width"), F.col("h").alias("height"), F.repeat(row, F.col("h")).cast("binary").alias("pixels"), right.alias("right_mask"), left.alias("left_mask"))
+
+
+_PICTURES = "p AS (SELECT p_partkey, 40 + p_size AS w, 36 + p_partkey % 30 AS h, p_partkey % 4 AS m, (40 + p_size) // 3 AS t, 20 + p_size AS grey FROM part)"
+_SLOT_ROWS = ", ".join(f"({k}, '{name}', '{family}', " + ", ".join(f"{v}::DOUBLE" for v in slots.UNSEEN.get(name, slots.UNSEEN["left_30" if name.startswith("left30") else "top_30" if name.startswith("top30") else "original"])) + ")" for k, (name, family) in enumerate(slots.SLOTS))
+
+
+@bind.register(QUERIES, ORACLE_SQL, "challenge_slots", f"""WITH {_PICTURES}, s(slot, variant, family, l, t0, r, b) AS (VALUES {_SLOT_ROWS}),
+x AS (SELECT *, CASE family WHEN 'background' THEN greatest(0, m - ceil(0.02::DOUBLE * w)) ELSE round_even(l * w, 0) END AS x0, CASE family WHEN 'background' THEN greatest(0, m - ceil(0.02::DOUBLE * h)) ELSE round_even(t0 * h, 0) END AS y0,
+    CASE family WHEN 'background' THEN least(w, w - m + ceil(0.02::DOUBLE * w)) ELSE w - round_even(r * w, 0) END AS x1, CASE family WHEN 'background' THEN least(h, h - m + ceil(0.02::DOUBLE * h)) ELSE h - round_even(b * h, 0) END AS y1 FROM p, s),
+f AS (SELECT *, greatest(1, round_even((x1 - x0) * (256 / greatest(x1 - x0, y1 - y0)), 0)) AS nw, greatest(1, round_even((y1 - y0) * (256 / greatest(x1 - x0, y1 - y0)), 0)) AS nh,
+    greatest(0, least(x1, m + t) - greatest(x0, m)) * greatest(0, least(y1, h - m) - greatest(y0, m)) / (t * (h - 2 * m)) AS right_share, greatest(0, least(x1, w - m) - greatest(x0, w - m - t)) * greatest(0, least(y1, h - m) - greatest(y0, m)) / (t * (h - 2 * m)) AS left_share FROM x),
+g AS (SELECT *, CASE WHEN family = 'background' AND x0 = 0 AND y0 = 0 AND x1 = w AND y1 = h THEN 'no_removable_background_margin' WHEN variant LIKE '%gray127' AND nw = 256 AND nh = 256 THEN 'no_padding_to_modify'
+    WHEN variant LIKE '%topleft' AND floor((256 - nw) / 2) = 0 AND floor((256 - nh) / 2) = 0 THEN 'no_padding_offset_to_move' END AS reason FROM f)
+SELECT p_partkey, CAST(slot AS INT) AS slot, variant, family, CASE WHEN reason IS NULL THEN 'eligible' ELSE 'construction_ineligible' END AS status, reason, CAST(x0 AS INT) AS x0, CAST(y0 AS INT) AS y0, CAST(x1 AS INT) AS x1, CAST(y1 AS INT) AS y1,
+    CASE WHEN reason IS NULL THEN round(least(right_share, left_share), 6) END AS consolidation FROM g""")
+def challenge_slots(spark, sf_dir: str) -> DataFrame:
+    """Every picture's 21 slots: what each shows, and why some cannot be."""
+    out = slots.challenge_slots(_pictures(spark, sf_dir), ["p_partkey"])
+    return bind.rounded(out.select("p_partkey", "slot", "variant", "family", "status", "reason", "x0", "y0", "x1", "y1", F.get("targets", F.lit(2)).alias("consolidation")))
+
+
+@bind.register(QUERIES, ORACLE_SQL, "raster_fingerprints", f"""WITH {_PICTURES}, q AS (SELECT *, repeat(chr(CAST(grey AS INT)), CAST(w * h AS INT)) AS px FROM p) SELECT p_partkey, sha256(px) AS raster_sha256, sha256('{{"rgb":"' || sha256(repeat(px, 3)) || '","size":[' || w || ',' || h || ']}}') AS decoded_sha256,
+    sha256(repeat(chr(CAST(grey AS INT)), 65536)) AS gray256_sha256, repeat('0', 64) AS dhash256, sha256(repeat(chr(CAST(grey AS INT)), 1024)) AS thumbnail_sha256 FROM q""")
+def raster_fingerprints(spark, sf_dir: str) -> DataFrame:
+    """Fingerprints of pictures of one grey each; resampling must keep it."""
+    p = bind.table(spark, sf_dir, "part").select("p_partkey", (40 + F.col("p_size")).cast("int").alias("width"), (36 + F.col("p_partkey") % 30).cast("int").alias("height"), "p_size")
+    pictures = p.select("p_partkey", "width", "height", F.expr("CAST(repeat(chr(20 + p_size), width * height) AS BINARY)").alias("pixels"))
+    return slots.fingerprints(pictures, ["p_partkey"]).select("p_partkey", "raster_sha256", "decoded_sha256", "gray256_sha256", "dhash256", F.sha2("thumbnail", 256).alias("thumbnail_sha256"))
+
+
+@bind.register(QUERIES, ORACLE_SQL, "presented_masks", f"""WITH {_PICTURES}, c AS (SELECT *, w - m AS cw, h AS ch FROM p), r AS (SELECT *, CASE WHEN cw <= ch THEN 64 ELSE 64 * cw // ch END AS rw, CASE WHEN cw <= ch THEN 64 * ch // cw ELSE 64 END AS rh FROM c),
+k AS (SELECT p_partkey, (SELECT count(*) FROM range(64) i WHERE least((2 * (i.range + (rw - 64) // 2) + 1) * cw // (2 * rw), cw - 1) BETWEEN m AND m + t - 1) AS nx, (SELECT count(*) FROM range(64) i WHERE least((2 * (i.range + (rh - 64) // 2) + 1) * ch // (2 * rh), ch - 1) BETWEEN m AND h - m - 1) AS ny FROM r)
+SELECT p_partkey, nx * ny AS presented_pixels FROM k""")
+def presented_masks(spark, sf_dir: str) -> DataFrame:
+    """The right lung as a processor of side 64 would show it, after a cut of the right margin."""
+    df = _pictures(spark, sf_dir).select("p_partkey", "width", "height", F.col("right_mask").alias("mask"), F.lit(0).alias("x0"), F.lit(0).alias("y0"), (F.col("width") - F.col("m")).alias("x1"), F.col("height").alias("y1"))
+    return slots.presented_masks(df, ["p_partkey"], 64).select("p_partkey", "presented_pixels")
+
+
+@bind.register(QUERIES, ORACLE_SQL, "soft_regions", f"""WITH {_PICTURES}, a AS (SELECT *, h - 2 * m AS hh, CASE WHEN p_partkey % 5 = 0 THEN 0.25 ELSE 0.75 END AS v FROM p), b AS (SELECT *, greatest(1, ceil(0.02::DOUBLE * least(t, hh))) AS r, (SELECT count(*) FROM range(h) y WHERE y.range >= m + 0.75::DOUBLE * hh AND y.range < h - m) AS low FROM a),
+f AS (SELECT p_partkey, v, unnest(['pleural_effusion', 'pneumothorax', 'consolidation']) AS finding, unnest([t * low, t * hh - greatest(0, t - 2 * r) * greatest(0, hh - 2 * r), t * hh]) AS pixels, v * t * hh / (w * h) AS mean, v AS peak FROM b)
+SELECT p_partkey, finding, round(CASE WHEN v >= 0.5 THEN v * pixels ELSE 0 END, 6) AS mass, v >= 0.5 AND pixels > 0 AS valid, round(mean::DOUBLE, 6) AS lung_mean, peak::DOUBLE AS peak FROM f""")
+def soft_regions(spark, sf_dir: str) -> DataFrame:
+    """Soft lungs of one probability each: masses of the regions of the right one, empty under a half."""
+    df = _pictures(spark, sf_dir)
+
+    @F.arrow_udf("binary")
+    def soft(width, height, right, left, key):
+        out = []
+        for w, h, a, b, k in zip(*(x.to_pylist() for x in (width, height, right, left, key)), strict=True):
+            masks = np.stack([raster.unpack(a, h, w), raster.unpack(b, h, w)])
+            out.append((masks * (0.25 if k % 5 == 0 else 0.75)).astype("<f4").tobytes())
+        return pa.array(out, pa.binary())
+
+    rows = slots.soft_regions(df.select("p_partkey", "width", "height", soft("width", "height", "right_mask", "left_mask", "p_partkey").alias("probabilities")), ["p_partkey"])
+    return bind.rounded(rows.where("lung = 'right'").select("p_partkey", "finding", "mass", "valid", F.get("summary", F.lit(0)).alias("lung_mean"), F.get("summary", F.lit(1)).alias("peak")))
+
+
+def _recipe_sql() -> str:
+    """Each slot's box with the uniforms of its edges, on customers as sources."""
+    u = lambda k, name: f"(CAST('0x' || substr(sha256('[\"recipe-v1\",17,\"' || id || '\",\"' || sha || '\",{k},\"' || {name} || '\"]'), 1, 16) AS UBIGINT) >> 11) / 9007199254740992::DOUBLE"
+    parts = []
+    for k, edges in enumerate(recipes.EDGES):
+        drawn = f"['top', 'bottom', 'left', 'right'][1 + CAST(floor(({u(k, chr(39) + 'edge' + chr(39))}) * 4) AS INT)]"
+        fraction = {s: f"(0.02::DOUBLE + 0.26::DOUBLE * ({u(k, chr(39) + s + chr(39))}))" for s in recipes.SIDES if edges is None or s in edges}
+        if k >= 11:
+            total = " + ".join(fraction.values())
+            fraction = {s: f"(CASE WHEN {total} > 0.4::DOUBLE THEN {x} * (0.4::DOUBLE / ({total})) ELSE {x} END)" for s, x in fraction.items()}
+        cut = {s: f"greatest(1, floor({x} * {'h' if s in ('top', 'bottom') else 'w'}))" for s, x in fraction.items()}
+        if edges is None:
+            cut = {s: f"(CASE WHEN {drawn} = '{s}' THEN {x} ELSE 0 END)" for s, x in cut.items()}
+        c = lambda s, cut=cut: cut.get(s, "0")
+        corner = f"CASE WHEN ({u(k, chr(39) + 'padding_mode' + chr(39))}) < 0.5 THEN 'center' ELSE {list(recipes.CORNERS)}[1 + CAST(floor(({u(k, chr(39) + 'corner' + chr(39))}) * 4) AS INT)] END" if k == 11 else "'center'"
+        amount = f"[0.8::DOUBLE, 1.2][1 + CAST(floor(({u(k, chr(39) + 'brightness' + chr(39))}) * 2) AS INT)]" if k == 3 else "1.0::DOUBLE" if k == 7 else f"CASE WHEN ({u(k, chr(39) + 'padding_mode' + chr(39))}) < 0.5 THEN 63.0::DOUBLE END" if k == 11 else "NULL::DOUBLE"
+        parts.append(f"SELECT c_custkey, {k} AS slot, '{recipes.FAMILIES[k]}' AS family, CAST({c('left')} AS INT) AS x0, CAST({c('top')} AS INT) AS y0, CAST(w - {c('right')} AS INT) AS x1, CAST(h - {c('bottom')} AS INT) AS y1, {amount} AS amount, {corner} AS corner FROM c")
+    return "WITH c AS (SELECT c_custkey, c_name AS id, sha256(c_name) AS sha, 40 + c_custkey % 700 AS w, 32 + c_custkey % 500 AS h FROM customer) " + " UNION ALL ".join(parts)
+
+
+@bind.register(QUERIES, ORACLE_SQL, "augmentation_recipes", _recipe_sql())
+def augmentation_recipes(spark, sf_dir: str) -> DataFrame:
+    """Customers as sources: thirteen seeded recipes each, under the limits of every axis."""
+    c = bind.table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.sha2("c_name", 256).alias("sha"), (40 + F.col("c_custkey") % 700).cast("int").alias("w"), (32 + F.col("c_custkey") % 500).cast("int").alias("h"))
+    return recipes.recipes(c, "recipe-v1", "w", "h", "c_name", "sha").select("c_custkey", "slot", "family", "x0", "y0", "x1", "y1", "amount", "corner")
