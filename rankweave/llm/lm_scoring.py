@@ -186,16 +186,16 @@ class Automaton:
 _SENT, _ANSWERS = {3: 2, 2: 3, 1: 3}, {3: 2, 2: 3, 1: 3}
 
 
-def _folds(docs: DataFrame, order: int, bits: int) -> DataFrame:
-    """Each fold's documents (order 0) or n-grams. Folds follow the rows of a partition, so every call makes the same."""
+def _folds(docs: DataFrame) -> DataFrame:
+    """Documents in folds, one row each. They are written before anything reads them twice: which rows share a fold hangs
+    on how a scan was split, which another run of the scan may do otherwise."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, size, held = TaskContext.get().partitionId() << 32, 0, []
 
         def close() -> list[pa.RecordBatch]:
             fold = Fold(*(np.concatenate([x[k] for x in held]) for k in range(3)))
-            out = fold.message(number, order, bits) if order else fold.written(number, [i for x in held for i in x[3].to_pylist()])
-            return out.to_batches()
+            return fold.written(number, [i for x in held for i in x[3].to_pylist()]).to_batches()
 
         for batch in batches:
             for row, tokens, cuts in token_stream(batch.column(1)):
@@ -211,6 +211,18 @@ def _folds(docs: DataFrame, order: int, bits: int) -> DataFrame:
     return docs.mapInArrow(trimmed(run), _MESSAGE)
 
 
+def _triples(folds: DataFrame, bits: int) -> DataFrame:
+    """The messages of each fold's triples, from the written folds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                part = pa.Table.from_batches([batch.slice(k, 1)])
+                yield from Fold.read(part)[0].message(part.column("fold")[0].as_py(), 3, bits).to_batches()
+
+    return folds.mapInArrow(trimmed(run), _MESSAGE)
+
+
 def _answered(sent: DataFrame) -> DataFrame:
     """Each message's n-grams with whole counts: (count, owned, followers), for triples without followers.
 
@@ -243,19 +255,21 @@ def lm_scores(docs: DataFrame, training: Column) -> DataFrame:
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(8, (size // PART_BYTES).bit_length())
 
+    folds = written(_folds(rows), "folds")
+
     def next_order(order: int, answers: DataFrame) -> DataFrame:
         def run(key: tuple, part: pa.Table) -> pa.Table:
             fold, _, told = Fold.read(part)
             # A fold of empty texts has no triples.
             return fold.message(key[0].as_py(), order, bits, told[order + 1][1] if order + 1 in told else np.zeros(0))
 
-        return _folds(rows, 0, bits).unionByName(answers).groupBy("fold").applyInArrow(run, _MESSAGE)
+        return folds.unionByName(answers).groupBy("fold").applyInArrow(run, _MESSAGE)
 
     def kept(sent: DataFrame, name: str) -> DataFrame:
         return written(_answered(sent), name)
 
     # What a round has shuffled is of no more use once its answers are written.
-    triples = kept(_folds(rows, 3, bits), "triples")
+    triples = kept(_triples(folds, bits), "triples")
     forget_shuffles(docs.sparkSession)
     pairs = kept(next_order(2, triples), "pairs")
     forget_shuffles(docs.sparkSession)
@@ -276,7 +290,7 @@ def lm_scores(docs: DataFrame, training: Column) -> DataFrame:
         columns = [pa.array(ids, pa.int64()), fold.lengths, total(told[1][0][one] > 0).astype(np.int64), np.full(len(ids), n), total(automaton.arc1[one]), total(automaton.traverse())]
         return pa.table(columns, ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    told = reduce(DataFrame.unionByName, [_folds(rows, 0, bits), triples, pairs, singles.where("fold >= 0")])
+    told = reduce(DataFrame.unionByName, [folds, triples, pairs, singles.where("fold >= 0")])
     return told.groupBy("fold").applyInArrow(finish, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
