@@ -7,8 +7,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import raster, recipes
-from ..operators import slots
+from ..functions import ids, raster, recipes
+from ..operators import packed, slots
+from ..operators.align import numbered
 from ..sources import pfs
 from . import bind
 
@@ -132,3 +133,25 @@ def augmentation_recipes(spark, sf_dir: str) -> DataFrame:
     """Customers as sources: thirteen seeded recipes each, under the limits of every axis."""
     c = bind.table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.sha2("c_name", 256).alias("sha"), (40 + F.col("c_custkey") % 700).cast("int").alias("w"), (32 + F.col("c_custkey") % 500).cast("int").alias("h"))
     return recipes.recipes(c, "recipe-v1", "w", "h", "c_name", "sha").select("c_custkey", "slot", "family", "x0", "y0", "x1", "y1", "amount", "corner")
+
+
+@bind.register(QUERIES, ORACLE_SQL, "packed_order_faults", """WITH c AS (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS k FROM customer), s AS (SELECT k, c_custkey, c_name, c_mktsegment AS ds, range AS slot FROM c, range(39)),
+f AS (SELECT 39 * k + slot AS position, unnest(['pleural_effusion', 'pneumothorax', 'consolidation']) AS x, generate_subscripts(['pleural_effusion', 'pneumothorax', 'consolidation'], 1) - 1 AS fi, * FROM s)
+SELECT position, 'variant' AS fault FROM f WHERE fi = 0 AND c_custkey % 50 = 7 AND slot // 3 IN (3, 4) UNION ALL SELECT position, 'input_id' FROM f WHERE fi = 0 AND c_custkey % 50 = 7 AND slot // 3 IN (3, 4)
+UNION ALL SELECT position, 'row_id' FROM f WHERE fi = 0 AND ((c_custkey % 50 = 7 AND slot // 3 IN (3, 4)) OR (c_custkey % 70 = 11 AND slot = 5)) UNION ALL SELECT position, 'split' FROM f WHERE fi = 0 AND c_custkey % 110 = 3 AND slot = 8
+UNION ALL SELECT 39 * k, 'source differs' FROM c WHERE c_custkey % 110 = 3 UNION ALL SELECT 39 * k, 'image twice' FROM c WHERE c_custkey % 90 = 13 AND (SELECT count(*) FROM c WHERE c_custkey % 90 = 13) > 1""")
+def packed_order_faults(spark, sf_dir: str) -> DataFrame:
+    """Customers as packed sources of 39 rows, with planted swaps, wrong ids, a stray split and shared images."""
+    c = numbered(bind.table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), ["c_custkey"]).withColumnRenamed("position", "k")
+    s = c.select("*", F.explode(F.sequence(F.lit(0), F.lit(38))).alias("slot"))
+    at = F.floor(F.col("slot") / 3).cast("long")
+    variant = F.when((F.col("c_custkey") % 50 == 7) & at.isin(3, 4), 7 - at).otherwise(at)
+    finding = F.element_at(F.array(*map(F.lit, raster.FINDINGS)), F.col("slot") % 3 + 1)
+    key = [ids.json_string(F.col("c_mktsegment")), ids.json_string(F.col("c_name")), variant.cast("string")]
+    row_id = ids.stable_hash(ids.json_string(F.lit("q-v1")), *key, ids.json_string(finding))
+    rows = s.select(
+        (F.col("k") * 39 + F.col("slot")).alias("position"), variant.alias("variant_index"), finding.alias("finding"), ids.stable_hash(ids.json_string(F.lit("i-v1")), *key).alias("input_id"),
+        F.when((F.col("c_custkey") % 70 == 11) & (F.col("slot") == 5), "other").otherwise(row_id).alias("row_id"), F.col("c_mktsegment").alias("dataset"), F.col("c_name").alias("source_id"),
+        F.sha2(F.when(F.col("c_custkey") % 90 == 13, "shared").otherwise(F.col("c_name")), 256).alias("source_image_sha256"), F.col("c_name").alias("split_group_id"), F.when((F.col("c_custkey") % 110 == 3) & (F.col("slot") == 8), "dev").otherwise("fit").alias("split"),
+    )
+    return packed.identity_faults(rows, "fit", "i-v1", "q-v1")
