@@ -64,7 +64,7 @@ STAGES = [
     ("personal_data", personal_data),
     ("packing", packing),
 ]
-#: Learned scores and a tokenizer cannot be said in SQL; tests hold each stage against a brute-force version.
+#: Learned scores and a tokenizer cannot be said in SQL; tests/llm/test_pipeline.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
