@@ -10,7 +10,7 @@ from . import bind
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-REPLICATES, WORKLOAD_REPLICATES = 1000, 200
+REPLICATES, WORKLOAD_REPLICATES, EVALUATION_REPLICATES = 1000, 200, 40
 
 
 def draws_sql(pool: str, n: int, seed: int = 17) -> str:
@@ -106,3 +106,17 @@ def workload_intervals(spark, sf_dir: str) -> DataFrame:
     both = found.unionByName(apart).withColumnRenamed("method", "side")
     out = rep.vector_intervals(both, ["level", "policy", "side", "budget"], rep.WORKLOAD)
     return bind.rounded(out.where("level = 'report' OR metric <> 'all_report_share'"))
+
+
+_KEYED = """q AS (SELECT l_returnflag AS ds, CASE WHEN l_returnflag = 'A' THEN 'group:' || l_suppkey ELSE 'source:' || l_orderkey END AS grp, 1 - 2 * l_discount AS y, 1 - 2 * l_tax AS s FROM lineitem)"""
+
+
+@bind.register(QUERIES, ORACLE_SQL, "public_evaluation", f"""WITH {_KEYED}, {draws_sql("SELECT DISTINCT ds, grp FROM q", EVALUATION_REPLICATES)}, st AS (SELECT ds, grp, count(*) AS n, sum(abs(y - s)) AS a, sum((y - s) * (y - s)) AS e FROM q GROUP BY ds, grp),
+v AS (SELECT ds, rep, sum(w * a) / sum(w * n) AS mae, sqrt(sum(w * e) / sum(w * n)) AS rmse FROM st JOIN wts USING (ds, grp) GROUP BY ds, rep), l AS (SELECT ds, rep, unnest(['mae', 'rmse']) AS metric, unnest([mae, rmse]) AS v FROM v)
+SELECT ds, metric, {_INTERVAL} FROM l GROUP BY ds, metric""")
+def public_evaluation(spark, sf_dir: str) -> DataFrame:
+    """Errors by dataset with intervals over its own unit: families in one dataset, sources in the others."""
+    rows = bind.table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("ds"), "l_orderkey", "l_suppkey", (1 - 2 * F.col("l_discount")).alias("y"), (1 - 2 * F.col("l_tax")).alias("s"))
+    keyed = rep.evaluation_groups(rows, "ds", "l_orderkey", "l_suppkey", ["A"])
+    found = rep.regression_bootstrap(keyed, keyed, ["ds"], ["ds"], "case", "y", "s", EVALUATION_REPLICATES)
+    return bind.rounded(rep.vector_intervals(found, ["ds"], rep.REGRESSION))

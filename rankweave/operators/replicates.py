@@ -354,6 +354,11 @@ def ranking_bootstrap(df: DataFrame, pool: DataFrame, by: list[str], strata: lis
     vectors = draw_vectors(pool, strata, group, replicates, seed) if vectors is None else vectors
     rows = only_finite(df, truth, score).where(F.col(truth).isNotNull() & F.col(score).isNotNull())
     ranked = _scan(_cells(rows, by, strata, group, F.col(truth) < CUT, score), by, vectors, strata, group, replicates, Ranking, [], RANKING)
+    regression = _regression(rows, by, vectors, strata, group, truth, score, replicates)
+    return ranked.alias("x").join(regression.alias("y"), same_scope(by, "x", "y")).select("x.*", *(f"y.{c}" for c in REGRESSION))
+
+
+def _regression(rows: DataFrame, by: list[str], vectors: DataFrame, strata: list[str], group: str, truth: str, score: str, replicates: int) -> DataFrame:
     e = F.col(truth) - F.col(score)
     errors = vector_totals(rows.withColumns({"n": F.lit(1), "a": F.abs(e), "q": e * e}), by, ["n", "a", "q"], vectors, strata, group, replicates)
     schema = StructType([*_fields(errors, by), *(StructField(c, _ARRAY) for c in REGRESSION)])
@@ -365,8 +370,18 @@ def ranking_bootstrap(df: DataFrame, pool: DataFrame, by: list[str], strata: lis
             out = [_defined(a, n), np.sqrt(_defined(q, n))]
             yield pa.record_batch([*(batch.column(c) for c in by), *(pa.array([np.where(np.isnan(v), None, v).tolist() for v in x], pa.list_(pa.float64())) for x in out)], schema=arrow)
 
-    regression = errors.mapInArrow(divide, schema)
-    return ranked.alias("x").join(regression.alias("y"), same_scope(by, "x", "y")).select("x.*", *(f"y.{c}" for c in REGRESSION))
+    return errors.mapInArrow(divide, schema)
+
+
+def regression_bootstrap(df: DataFrame, pool: DataFrame, by: list[str], strata: list[str], group: str, truth: str, score: str, replicates: int = 1000, seed: int = 17) -> DataFrame:
+    """(by, arrays of REGRESSION metrics) alone: rows are summed to their group before any vector is made."""
+    rows = only_finite(df, truth, score).where(F.col(truth).isNotNull() & F.col(score).isNotNull())
+    return _regression(rows, by, draw_vectors(pool, strata, group, replicates, seed), strata, group, truth, score, replicates)
+
+
+def evaluation_groups(df: DataFrame, dataset: str, source: str, group: str, grouped: list[str], name: str = "case") -> DataFrame:
+    """``df`` with the unit that is drawn: the group in datasets that have families of sources, else the source itself."""
+    return df.withColumn(name, F.when(F.col(dataset).isin(grouped), F.concat(F.lit("group:"), F.col(group).cast("string"))).otherwise(F.concat(F.lit("source:"), F.col(source).cast("string"))))
 
 
 def by_methods(df: DataFrame, methods: dict[str, str], keep: list[str]) -> DataFrame:
