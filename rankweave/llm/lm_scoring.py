@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import by_part, from_steps, pack, steps, unpack
-from .shared import forget_shuffles, trimmed, written
+from .shared import discard, forget_shuffles, trimmed, written
 from .tokens import _STEP, LOWER, mix, text_chunks, word_hashes, words
 
 DISCOUNT = 0.6
@@ -38,6 +38,8 @@ END = np.uint64(0x1D8AF066E5C5B0AB)
 PART_BYTES = 4 << 20
 #: Tokens of a fold.
 FOLD = 1 << 21
+#: Shares of the folds that meet their answers one after another, so that no more than a share is shuffled at a time.
+SHARES = 3
 
 
 def token_stream(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -256,25 +258,30 @@ def lm_scores(docs: DataFrame, training: Column) -> DataFrame:
     bits = max(8, (size // PART_BYTES).bit_length())
 
     folds = written(_folds(rows), "folds")
+    share = lambda df, k: df.where(F.pmod(F.xxhash64("fold"), F.lit(SHARES)) == k)
 
     def next_order(order: int, answers: DataFrame) -> DataFrame:
+        """Whole counts of an order, asked for by folds that know the answers to the order above, share by share."""
+
         def run(key: tuple, part: pa.Table) -> pa.Table:
             fold, _, told = Fold.read(part)
             # A fold of empty texts has no triples.
             return fold.message(key[0].as_py(), order, bits, told[order + 1][1] if order + 1 in told else np.zeros(0))
 
-        return folds.unionByName(answers).groupBy("fold").applyInArrow(run, _MESSAGE)
-
-    def kept(sent: DataFrame, name: str) -> DataFrame:
-        return written(_answered(sent), name)
+        sent = []
+        for k in range(SHARES):
+            sent.append(written(share(folds, k).unionByName(share(answers, k)).groupBy("fold").applyInArrow(run, _MESSAGE), "sent"))
+            forget_shuffles(docs.sparkSession)
+        out = written(_answered(reduce(DataFrame.unionByName, sent)), "answers")
+        discard(*sent)
+        forget_shuffles(docs.sparkSession)
+        return out
 
     # What a round has shuffled is of no more use once its answers are written.
-    triples = kept(_triples(folds, bits), "triples")
-    forget_shuffles(docs.sparkSession)
-    pairs = kept(next_order(2, triples), "pairs")
-    forget_shuffles(docs.sparkSession)
-    singles = kept(next_order(1, pairs), "words")
+    triples = written(_answered(_triples(folds, bits)), "triples")
     forget_shuffles(docs.sparkSession)
+    pairs = next_order(2, triples)
+    singles = next_order(1, pairs)
     n = v = 0
     for r in singles.where("fold = -1").select("data").toLocalIterator():
         part_n, part_v = unpack(bytes(r.data), 1, 2)
@@ -290,8 +297,13 @@ def lm_scores(docs: DataFrame, training: Column) -> DataFrame:
         columns = [pa.array(ids, pa.int64()), fold.lengths, total(told[1][0][one] > 0).astype(np.int64), np.full(len(ids), n), total(automaton.arc1[one]), total(automaton.traverse())]
         return pa.table(columns, ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    told = reduce(DataFrame.unionByName, [folds, triples, pairs, singles.where("fold >= 0")])
-    return told.groupBy("fold").applyInArrow(finish, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scored = []
+    for k in range(SHARES):
+        told = reduce(DataFrame.unionByName, [share(x, k) for x in (folds, triples, pairs, singles.where("fold >= 0"))])
+        scored.append(written(told.groupBy("fold").applyInArrow(finish, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scored"))
+        forget_shuffles(docs.sparkSession)
+    discard(folds, triples, pairs, singles)
+    return reduce(DataFrame.unionByName, scored)
 
 
 def op9_lm_scoring(spark, sf_dir: str) -> DataFrame:
