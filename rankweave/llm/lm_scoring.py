@@ -6,7 +6,7 @@ the arc of word w at state h weighs (c(hw) - D) / c(h) plus the failure weight D
 at the shorter history, which a word without an arc gets alone. The empty history has the add-one word distribution, so
 the whole is a proper distribution. Before a document's first word stands the end mark.
 
-Nothing that grows with the input is broadcast or meets in one task. Documents are dealt to folds of about two million
+Nothing that grows with the input is broadcast or meets in one task. Documents are dealt to folds of about one million
 tokens. In three rounds (triples, pairs, words) each fold sends its distinct n-grams with their training counts to parts
 of the hash space, and each part answers every fold with the whole counts, in the order sent. One of the folds that
 trained an n-gram is told that it owns it, and in the next round it adds one to its history's followers. At last each
@@ -37,7 +37,7 @@ END = np.uint64(0x1D8AF066E5C5B0AB)
 #: Bytes of text to a part of the hash space.
 PART_BYTES = 4 << 20
 #: Tokens of a fold.
-FOLD = 1 << 21
+FOLD = 1 << 20
 #: Shares of the folds that meet their answers one after another, so that no more than a share is shuffled at a time.
 SHARES = 3
 
