@@ -16,10 +16,12 @@ Two documents link when their sets of distinct 5-word shingles have Jaccard simi
    The sort is by ranges, which cut long lists; the rows at the cuts are compared too. Pairs pass the length and
    positional filters, are made distinct, pass the suffix filter (the parities of set sizes within ranges of the hash
    space bound the overlap) and are verified once on whole sets. What they join is one component.
-5. In lists of three and more that still hold several components (in a list of two the only pair was compared) every
-   pair of documents of different components that passes the three filters is verified. So no link between different
-   components is missed, while a group of thousands of near copies costs pairs in proportion to its size. Long lists are
-   cut into blocks, and every two blocks meet in a task of their own.
+5. Lists of three and more that still hold several components (in a list of two the only pair was compared) are shuffled
+   ``SHUFFLES`` times and compared again, each row with the one before it if that is of another component: in a group of
+   near copies nearly all links are joined so. Turns end when few pairs are left to compare or a turn no longer helps.
+6. In the lists that still hold several components every pair of documents of different components that passes the three
+   filters is verified. So no link between different components is missed, while a group of thousands of near copies
+   costs pairs in proportion to its size. Long lists are cut into blocks, and every two blocks meet in a task of their own.
 
 Null texts and texts without words have an empty set and link with nothing. The rows of one doc_id act as one document,
 which links with whatever any of its texts links with; each row has its own n_shingles. A row without a doc_id is no
@@ -54,6 +56,9 @@ RANGES = 512
 FAN, LEVELS = 64, 10
 #: Postings of a block; a longer list is cut before its components are compared.
 BLOCK = 2_000
+#: Pairs of different components a posting, in its list, that are compared without a further turn of shuffled lists; a turn
+#: that leaves more than this share of them is the last, as is the last of ``TURNS``.
+CROSSING, LEFT, TURNS, SHUFFLES = 8, 0.75, 3, 4
 #: Rows of (doc_id) that may be broadcast, 16 bytes each.
 BROADCAST_ROWS = 2_000_000
 PAIR_ROWS = 500_000
@@ -383,7 +388,7 @@ def parted(lists: DataFrame, groups: DataFrame) -> DataFrame:
     """Postings (key, doc_id, n, pos) with the component of their document, only in lists that hold several components;
     ``blocks``: into how many blocks their list is cut."""
     named = groups.withColumnRenamed("node", "doc_id")
-    labelled = written(lists.where("wide").select("key", "doc_id", "n", "pos").join(named, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "labelled")
+    labelled = written(lists.select("key", "doc_id", "n", "pos").join(named, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "labelled")
     several = labelled.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
     several = written(several.select("key", "size", F.expr(f"1 + (size - 1) DIV {BLOCK}").alias("blocks")), "several")
     out = written(sized_join(labelled, several, ["key"], "size").where("blocks IS NOT NULL"), "parted")
@@ -391,6 +396,24 @@ def parted(lists: DataFrame, groups: DataFrame) -> DataFrame:
     return out
 
 
+def crossing(rows: DataFrame) -> tuple[int, int]:
+    """(postings, pairs of postings of different components that share a list)."""
+    parts = rows.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.expr("CAST(m AS DOUBLE) * m")).alias("own"))
+    n, pairs = parts.agg(F.sum("n"), F.sum(F.expr("(CAST(n AS DOUBLE) * n - own) / 2"))).first()
+    return n or 0, pairs or 0
+
+
+def shuffled(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs of different components, neighbours in lists that are shuffled, each list in its own way each time."""
+    times = F.explode(F.sequence(F.lit(SHUFFLES * turn), F.lit(SHUFFLES * (turn + 1) - 1))).alias("time")
+    # Lists of one key are told apart by a hash; should two hashes meet, some more pairs are compared.
+    mixed = rows.select("key", "doc_id", "n", "pos", "component", times).select(F.xxhash64("key", "time").alias("key"), "doc_id", "n", "pos", "component", F.xxhash64("doc_id", "key", "time").alias("mix"))
+    lists = listed(mixed, ["mix", "doc_id"])
+    pairs = written(neighbours(lists), "pairs")
+    discard(lists)
+    return pairs
+
+
 def across(rows: DataFrame, bits: DataFrame) -> DataFrame:
     """Pairs of different components that share a list and pass all three filters."""
     rows = rows.join(bits.select("doc_id", "bits"), "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
@@ -428,11 +451,23 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     seen = written(alike(written(neighbours(lists), "pairs")), "likely")
     links = verified(seen, docs)
     groups = connected_components(links.selectExpr("a AS u", "b AS v").unionByName(several))
-    grown = groups.selectExpr("node AS u", "component AS v")
-    likely = written(across(parted(lists, groups), bits).join(seen, ["a", "b"], "left_anti"), "likely")
+    grown = lambda: connected_components(links.selectExpr("a AS u", "b AS v").unionByName(groups.selectExpr("node AS u", "component AS v")))
+    rows, turn = parted(lists.where("wide"), groups), 0
+    size, pairs = crossing(rows)
+    while pairs > CROSSING * size and turn < TURNS:
+        likely = written(alike(shuffled(rows, turn)).join(seen, ["a", "b"], "left_anti"), "likely")
+        links = verified(likely, docs)
+        if links.isEmpty():
+            break
+        seen, groups, before, turn = seen.unionByName(likely), grown(), pairs, turn + 1
+        rows = parted(rows, groups)
+        size, pairs = crossing(rows)
+        if pairs > LEFT * before:
+            break
+    likely = written(written(across(rows, bits), "pairs").join(seen, ["a", "b"], "left_anti"), "likely")
     links = verified(likely, docs)
     if not links.isEmpty():
-        groups = connected_components(links.selectExpr("a AS u", "b AS v").unionByName(grown))
+        groups = grown()
     # A copy takes its class's component, a document of several texts that of its own node.
     stars = written(groups.withColumnRenamed("component", "own"), "components")
     rooted = written(classes.join(stars.withColumnRenamed("node", "class"), "class", "left").select(*kinds, "size", F.coalesce("own", "class").alias("root")), "roots")
