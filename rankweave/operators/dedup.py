@@ -82,7 +82,8 @@ def near_pairs(df: DataFrame, key: str, code: str, radius: int = RADIUS) -> Data
     others = F.explode(F.expr("sequence(0L, blocks - 1)"))
     a = cut.select("p", "band", F.col("block").alias("i"), others.alias("j"), F.col("k").alias("a"), F.col("l").alias("x"))
     b = cut.select("p", "band", others.alias("i"), F.col("block").alias("j"), F.col("k").alias("b"), F.col("l").alias("y"))
-    pairs = a.join(b, ["p", "band", "i", "j"]).where((F.col("a") < F.col("b")) & (hamming(F.col("x"), F.col("y")) <= radius) & (_first_shared(F.col("x"), F.col("y")) == F.col("p")))
+    # Nine rows a code are not seen in the estimated size, so Spark would send all of them through the driver.
+    pairs = a.join(b.hint("merge"), ["p", "band", "i", "j"]).where((F.col("a") < F.col("b")) & (hamming(F.col("x"), F.col("y")) <= radius) & (_first_shared(F.col("x"), F.col("y")) == F.col("p")))
     return pairs.select("a", "b", hamming(F.col("x"), F.col("y")).alias("distance"))
 
 
