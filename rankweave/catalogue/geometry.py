@@ -19,7 +19,7 @@ _SIZES = "z AS (SELECT p_partkey, 64 + p_size * 7 AS w, 64 + p_partkey % 500 AS
 
 
 def _sizes(spark, sf_dir: str) -> DataFrame:
-    return bind.table(spark, sf_dir, "part").select("p_partkey", (64 + F.col("p_size") * 7).alias("w"), (64 + F.col("p_partkey") % 500).alias("h"))
+    return bind.spread(bind.table(spark, sf_dir, "part").select("p_partkey", (64 + F.col("p_size") * 7).alias("w"), (64 + F.col("p_partkey") % 500).alias("h")), "p_partkey")
 
 
 def _crops(spark, sf_dir: str, crops: dict) -> DataFrame:

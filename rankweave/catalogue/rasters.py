@@ -33,7 +33,7 @@ def _contour_text() -> Column:
     CASE WHEN p_partkey % 7 NOT IN (0, 1, 2, 4) THEN CASE WHEN p_partkey % 7 = 3 THEN '4' ELSE '' END END AS right_removed FROM part""")
 def pfs_contours(spark, sf_dir: str) -> DataFrame:
     """Contour texts parsed: faults, areas by the shoelace sum, and places of the points that went."""
-    rows = pfs.parsed(bind.table(spark, sf_dir, "part").select("p_partkey", _contour_text().alias("content")), ["p_partkey"], "content")
+    rows = pfs.parsed(bind.spread(bind.table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", _contour_text().alias("content")), ["p_partkey"], "content")
     turned = lambda c: F.zip_with(c, F.concat(F.slice(c, 2, F.size(c)), F.slice(c, 1, 1)), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
     area = lambda c: F.abs(F.aggregate(turned(c), F.lit(0.0), lambda s, x: s + x)) / 2
     size = F.when(F.col("right_lung").isNotNull(), F.size("right_lung"))
@@ -44,8 +44,8 @@ def _pictures(spark, sf_dir: str) -> DataFrame:
     """Parts as pictures of two greys with a box for each lung; the margin m decides what can be cut away."""
     w, h, m = (40 + F.col("p_size")).cast("int"), (36 + F.col("p_partkey") % 30).cast("int"), (F.col("p_partkey") % 4).cast("int")
     row = F.concat(F.expr("repeat(chr(20 + p_size), w DIV 2)"), F.expr("repeat(chr(100), w - w DIV 2)"))
-    # A part is a few bytes, its picture some hundred thousand: rows are dealt out before they grow.
-    p = bind.table(spark, sf_dir, "part").select("p_partkey", "p_size", w.alias("w"), h.alias("h"), m.alias("m")).repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
+    # A part is a few bytes, its picture some thousand.
+    p = bind.spread(bind.table(spark, sf_dir, "part").select("p_partkey", "p_size", w.alias("w"), h.alias("h"), m.alias("m")), "p_partkey")
     third = F.expr("CAST(w DIV 3 AS INT)")
     right = slots.box_mask(F.col("w"), F.col("h"), F.col("m"), F.col("m"), F.col("m") + third, F.col("h") - F.col("m"))
     left = slots.box_mask(F.col("w"), F.col("h"), F.col("w") - F.col("m") - third, F.col("m"), F.col("w") - F.col("m"), F.col("h") - F.col("m"))
@@ -76,7 +76,7 @@ def challenge_slots(spark, sf_dir: str) -> DataFrame:
 def raster_fingerprints(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of pictures of one grey each; resampling must keep it."""
     p = bind.table(spark, sf_dir, "part").select("p_partkey", (40 + F.col("p_size")).cast("int").alias("width"), (36 + F.col("p_partkey") % 30).cast("int").alias("height"), "p_size")
-    pictures = p.select("p_partkey", "width", "height", F.expr("CAST(repeat(chr(20 + p_size), width * height) AS BINARY)").alias("pixels"))
+    pictures = bind.spread(p, "p_partkey").select("p_partkey", "width", "height", F.expr("CAST(repeat(chr(20 + p_size), width * height) AS BINARY)").alias("pixels"))
     return slots.fingerprints(pictures, ["p_partkey"]).select("p_partkey", "raster_sha256", "decoded_sha256", "gray256_sha256", "dhash256", F.sha2("thumbnail", 256).alias("thumbnail_sha256"))
 
 
@@ -131,7 +131,7 @@ def _recipe_sql() -> str:
 @bind.register(QUERIES, ORACLE_SQL, "augmentation_recipes", _recipe_sql())
 def augmentation_recipes(spark, sf_dir: str) -> DataFrame:
     """Customers as sources: thirteen seeded recipes each, under the limits of every axis."""
-    c = bind.table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.sha2("c_name", 256).alias("sha"), (40 + F.col("c_custkey") % 700).cast("int").alias("w"), (32 + F.col("c_custkey") % 500).cast("int").alias("h"))
+    c = bind.spread(bind.table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey").select("c_custkey", "c_name", F.sha2("c_name", 256).alias("sha"), (40 + F.col("c_custkey") % 700).cast("int").alias("w"), (32 + F.col("c_custkey") % 500).cast("int").alias("h"))
     return recipes.recipes(c, "recipe-v1", "w", "h", "c_name", "sha").select("c_custkey", "slot", "family", "x0", "y0", "x1", "y1", "amount", "corner")
 
 

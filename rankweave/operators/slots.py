@@ -41,10 +41,10 @@ def _part(image: np.ndarray, box: tuple[int, int, int, int]) -> np.ndarray:
     return image[box[1] : box[3], box[0] : box[2]]
 
 
-def _padding(image: np.ndarray, box: tuple, variant: str) -> tuple[np.ndarray | None, str | None]:
-    """The crop's raster on grey, or in the corner; without padding, or padding before it, there is nothing to change."""
+def _padding(image: np.ndarray, box: tuple, shown: np.ndarray, variant: str) -> tuple[np.ndarray | None, str | None]:
+    """The raster of a ``shown`` crop on grey, or in the corner; without padding, or padding before it, there is nothing to change."""
     w, h, x, y = imaging.fitted(*_part(image, box).shape)
-    raster = imaging.resized(_part(image, box), w, h)
+    raster = shown[y : y + h, x : x + w]
     if variant.endswith("gray127"):
         return (None, "no_padding_to_modify") if (w, h) == (256, 256) else (imaging.placed(raster, x, y, fill=127), None)
     return (None, "no_padding_offset_to_move") if (x, y) == (0, 0) else (imaging.placed(raster, 0, 0), None)
@@ -73,7 +73,7 @@ def build_slots(image: np.ndarray, masks: np.ndarray) -> list[dict]:
             if pixels is not None and np.abs(target - share["original"]).max() > TOLERANCE:
                 raise ValueError("a crop of background changed what is kept")
         elif family == "padding":
-            pixels, reason = _padding(image, box, variant)
+            pixels, reason = _padding(image, box, shown[anchor], variant)
         else:
             pixels = imaging.blurred(shown["original"], 2.0) if variant.startswith("blur") else imaging.brightened(shown["original"], 0.7 if variant.endswith("070") else 1.3)
         row = {"slot": k, "variant": variant, "family": family, "anchor": anchor, "status": ELIGIBLE if pixels is not None else INELIGIBLE, "reason": reason, **dict(zip(("x0", "y0", "x1", "y1"), box, strict=True))}
@@ -118,8 +118,9 @@ def challenge_slots(df: DataFrame, key: list[str], with_pixels: bool = False) ->
             rows = [dict.fromkeys(names) | {"slot": k, "variant": v, "family": f, "status": FAILED, "reason": str(error), "effective": False} for k, (v, f) in enumerate(SLOTS)]
         return rows
 
-    out = _mapped(df, key, ["width", "height", "pixels", "right_mask", "left_mask"], _SLOT, make)
-    return out if with_pixels else out.drop("pixels")
+    # Pixels are some megabyte a source, so they leave the task only where they are wanted.
+    schema = _SLOT if with_pixels else _SLOT.removesuffix(", pixels binary")
+    return _mapped(df, key, ["width", "height", "pixels", "right_mask", "left_mask"], schema, make)
 
 
 def fingerprints(df: DataFrame, key: list[str]) -> DataFrame:

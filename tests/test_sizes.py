@@ -10,3 +10,31 @@ def test_near_pairs_are_not_sent_through_the_driver(spark):
     plan = dedup.near_pairs(df, "k", "code")._jdf.queryExecution().sparkPlan().toString()
     joins = [line for line in plan.splitlines() if "Join" in line and "Inner" in line]
     assert joins and all("SortMergeJoin" in line for line in joins)
+
+
+def test_small_tables_are_dealt_out_before_their_rows_grow(spark, tmp_path):
+    from rankweave import catalogue
+
+    spark.range(1, 9).select(F.col("id").alias("p_partkey"), F.lit(3).alias("p_size")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    spark.range(1, 9).select(F.col("id").alias("c_custkey"), F.concat(F.lit("c"), "id").alias("c_name")).coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    for name in ("retention_rectangles_all", "box_intersection", "pfs_contours", "raster_fingerprints", "soft_regions", "augmentation_recipes"):
+        assert catalogue.QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism, name
+
+
+def test_tables_span_the_foreground_alone_and_pixels_stay_in_the_task(spark, monkeypatch):
+    import numpy as np
+
+    from rankweave.functions import raster
+    from rankweave.operators import slots
+
+    mask = np.zeros((2, 60, 80), bool)
+    mask[0, 10:20, 5:25], mask[1, 12:30, 40:70] = True, True
+    spans, make = [], raster.Summed.__init__
+    monkeypatch.setattr(raster.Summed, "__init__", lambda self, x: spans.append(x.shape) or make(self, x))
+    boxes = np.array([[0, 0, 80, 60], [8.5, 3.25, 50.0, 19.0]])
+    found = raster.retention(mask, boxes, ("consolidation", "pleural_effusion"))
+    assert spans == [(10, 20), (18, 30)]
+    assert np.allclose(found[0], 1) and np.isclose(found[1, 0], min(16.5 * 9 / 200, 10 * 7 / 540)) and found[1, 1] == 0
+    df = spark.createDataFrame([(1, 8, 8, b"", b"", b"")], "k int, width int, height int, pixels binary, right_mask binary, left_mask binary")
+    plan = slots.challenge_slots(df, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "pixels#" not in plan.split("MapInArrow")[1].splitlines()[0].split("[", 1)[1]
