@@ -38,3 +38,11 @@ def test_tables_span_the_foreground_alone_and_pixels_stay_in_the_task(spark, mon
     df = spark.createDataFrame([(1, 8, 8, b"", b"", b"")], "k int, width int, height int, pixels binary, right_mask binary, left_mask binary")
     plan = slots.challenge_slots(df, ["k"])._jdf.queryExecution().optimizedPlan().toString()
     assert "pixels#" not in plan.split("MapInArrow")[1].splitlines()[0].split("[", 1)[1]
+
+
+def test_vectors_of_weights_are_not_sent_through_the_driver(spark):
+    from rankweave.operators import replicates
+
+    vectors = spark.createDataFrame([("x", 1, b"ab")], "ds string, grp int, weights binary")
+    plan = replicates.with_weights(vectors.select("ds", "grp"), vectors, ["ds"], "grp")._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
