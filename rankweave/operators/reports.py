@@ -62,8 +62,11 @@ def edit_reports(reports: DataFrame, decisions: DataFrame, key: str, text: str,
     ``decisions``: (key, claim_id, abstain, support_score, reason) and any claim fields, which must agree with the text.
     Text outside the clauses of valid abstentions stays as it is. A null text stays null.
     """
-    clauses = claims.judged_clauses(reports, key, text)
-    checked = checked_decisions(claims.claims_of(clauses, key), decisions, key)
+    texts = claims.text_clauses(reports, text)
+    held = reports.select(key, F.col(text).alias("text"))
+    claimed = held.join(claims.claims_of(texts, "text"), "text").drop("text")
+    clauses = held.join(texts, "text")
+    checked = checked_decisions(claimed, decisions, key)
     edit = F.struct("start", "end", "claim_id", "finding", "claim_text", "noun", "support_score", "reason")
     wanted = checked.where("abstain AND why IS NULL").groupBy(key, "a").agg(F.collect_set("noun").alias("removed"), F.sort_array(F.collect_list(edit)).alias("wanted"))
     patched = clauses.select(key, "a", "clause", "lead", "nouns", "tail", "absent").join(wanted, [key, "a"]).withColumn("new", _reworded(wording))

@@ -281,3 +281,11 @@ def test_challenge_states_and_roster(spark):
     sources, variants = spark.createDataFrame([("p", "d1"), ("q", "d2")], "source_id string, dataset string"), ["u", "v"]
     records = spark.createDataFrame([("p", "u", "d1"), ("p", "v", "d1"), ("p", "v", "d1"), ("q", "u", "d1"), ("r", "u", "d1")], "source_id string, variant string, dataset string")
     assert {(r.source_id, r.variant, r.fault) for r in challenge.roster_faults(sources, variants, records, ["dataset"]).collect()} == {("p", "v", "repeated"), ("q", "u", "source identity differs"), ("q", "v", "missing"), ("r", "u", "not planned")}
+
+
+def test_a_text_is_parsed_once_however_many_reports_hold_it(spark):
+    from rankweave.functions import claims
+
+    df = spark.createDataFrame([(k, t) for k in range(40) for t in ("No pneumothorax.", None, "No consolidation or pleural effusion.")], "k long, text string")
+    assert claims.text_clauses(df, "text").count() == 2
+    assert claims.extract_claims(df, "k", "text").count() == 120
