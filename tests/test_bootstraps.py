@@ -176,3 +176,12 @@ def test_spearman_keeps_a_null_scope(spark):
     rows = [(None, 0.1, 0.2), (None, 0.2, 0.4), (None, 0.3, 0.3), ("d", 0.1, 0.2), ("d", 0.2, 0.4)]
     got = {r.ds: r.spearman for r in ranking.spearman(spark.createDataFrame(rows, "ds string, y double, s double"), ["ds"], "y", "s").collect()}
     assert got == {None: pytest.approx(0.5), "d": pytest.approx(1.0)}
+
+
+def test_a_vector_goes_to_python_once_a_group(spark, monkeypatch):
+    monkeypatch.setattr(rep, "PART_BYTES", 1 << 14)
+    rows = spark.range(4000).selectExpr("'x' AS ds", "id % 200 AS grp", "CAST(id % 4 AS double) / 4 AS y", "CAST(id % 2 AS double) AS s")
+    got = rep.ranking_bootstrap(rows, rows.select("ds", "grp"), ["ds"], ["ds"], "grp", "y", "s", 20).first()
+    cells = rep._cells(rows, ["ds"], ["ds"], "grp", rows.y < 0.9, "s")
+    plan = rep.weighted_sums(cells, rep.draw_vectors(rows, ["ds"], "grp", 20), ["ds"], "grp", ["ds", "score"], ["n", "bad"], 21)._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and got.mae[0] == pytest.approx(0.5 * (0.0 + 0.5) / 2 + 0.5 * (0.75 + 0.25) / 2)
