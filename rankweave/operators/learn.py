@@ -25,6 +25,15 @@ def _vector(df: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features").transform(df)
 
 
+#: Rows of one part of what boosted trees keep in memory over their rounds.
+PART_ROWS = 500_000
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` in parts of about ``PART_ROWS`` rows: a packed file opens to many times its size once rows are vectors."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // PART_ROWS)))
+
+
 def ridge(df: DataFrame, columns: list[str], label: str, alpha: float = 1.0):
     """Ridge of penalty ``alpha`` on standardised columns. Spark scales the penalty by the label's spread."""
     n, sd = df.agg(F.count("*"), F.stddev_pop(label)).first()
@@ -33,7 +42,7 @@ def ridge(df: DataFrame, columns: list[str], label: str, alpha: float = 1.0):
 
 def boosted(df: DataFrame, columns: list[str], label: str, depth: int = 4, rounds: int = 20):
     """Gradient boosted trees: the same kind of model as the vendor ones, not the same trees."""
-    return GBTRegressor(featuresCol="features", labelCol=label, maxDepth=depth, maxIter=rounds, seed=17).fit(_vector(df, columns))
+    return GBTRegressor(featuresCol="features", labelCol=label, maxDepth=depth, maxIter=rounds, seed=17).fit(_vector(dealt(df.select(*columns, label)), columns))
 
 
 def combination(df: DataFrame, columns: list[str], label: str, group: str, c: float = 1.0):

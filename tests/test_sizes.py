@@ -46,3 +46,11 @@ def test_vectors_of_weights_are_not_sent_through_the_driver(spark):
     vectors = spark.createDataFrame([("x", 1, b"ab")], "ds string, grp int, weights binary")
     plan = replicates.with_weights(vectors.select("ds", "grp"), vectors, ["ds"], "grp")._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_boosted_trees_keep_parts_of_bounded_size(spark, monkeypatch):
+    from rankweave.operators import learn
+
+    monkeypatch.setattr(learn, "PART_ROWS", 100)
+    rows = spark.range(0, 1000, 1, 1)
+    assert learn.dealt(rows).rdd.getNumPartitions() == 10 and learn.dealt(rows).count() == 1000
