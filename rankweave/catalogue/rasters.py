@@ -142,7 +142,8 @@ UNION ALL SELECT position, 'row_id' FROM f WHERE fi = 0 AND ((c_custkey % 50 = 7
 UNION ALL SELECT 39 * k, 'source differs' FROM c WHERE c_custkey % 110 = 3 UNION ALL SELECT 39 * k, 'image twice' FROM c WHERE c_custkey % 90 = 13 AND (SELECT count(*) FROM c WHERE c_custkey % 90 = 13) > 1""")
 def packed_order_faults(spark, sf_dir: str) -> DataFrame:
     """Customers as packed sources of 39 rows, with planted swaps, wrong ids, a stray split and shared images."""
-    c = numbered(bind.table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), ["c_custkey"]).withColumnRenamed("position", "k")
+    # Each source is 39 rows with digests; numbered sources lie in few small files, so they are dealt out before they grow.
+    c = bind.spread(numbered(bind.table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), ["c_custkey"]).withColumnRenamed("position", "k"), "k")
     s = c.select("*", F.explode(F.sequence(F.lit(0), F.lit(38))).alias("slot"))
     at = F.floor(F.col("slot") / 3).cast("long")
     variant = F.when((F.col("c_custkey") % 50 == 7) & at.isin(3, 4), 7 - at).otherwise(at)

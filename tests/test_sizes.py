@@ -54,3 +54,11 @@ def test_boosted_trees_keep_parts_of_bounded_size(spark, monkeypatch):
     monkeypatch.setattr(learn, "PART_ROWS", 100)
     rows = spark.range(0, 1000, 1, 1)
     assert learn.dealt(rows).rdd.getNumPartitions() == 10 and learn.dealt(rows).count() == 1000
+
+
+def test_packed_sources_are_dealt_out_before_they_grow(spark, tmp_path):
+    from rankweave.catalogue import rasters
+
+    spark.createDataFrame([(k, f"c{k}", "s") for k in range(60)], "c_custkey long, c_name string, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    plan = rasters.packed_order_faults(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [k#" in plan and f"], {4 * spark.sparkContext.defaultParallelism}" in plan
