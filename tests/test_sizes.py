@@ -62,3 +62,16 @@ def test_packed_sources_are_dealt_out_before_they_grow(spark, tmp_path):
     spark.createDataFrame([(k, f"c{k}", "s") for k in range(60)], "c_custkey long, c_name string, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
     plan = rasters.packed_order_faults(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [k#" in plan and f"], {4 * spark.sparkContext.defaultParallelism}" in plan
+
+
+def test_expanded_digests_take_little_disk(spark, tmp_path):
+    from rankweave import catalogue
+
+    spark.range(2000).select(F.col("id").alias("o_orderkey"), F.lit("O").alias("o_orderstatus")).coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    before = spark.conf.get("spark.sql.parquet.compression.codec")
+    try:
+        catalogue.QUERIES["query_expansion_ids"](spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    finally:
+        spark.conf.set("spark.sql.parquet.compression.codec", before)
+    assert sum(x.stat().st_size for x in (tmp_path / "out").glob("*.parquet")) < 55 * 2000 * 39
+    assert spark.read.parquet(str(tmp_path / "out")).distinct().count() == 2000 * 39
