@@ -64,6 +64,24 @@ def test_packed_sources_are_dealt_out_before_they_grow(spark, tmp_path):
     assert "RepartitionByExpression [k#" in plan and f"], {4 * spark.sparkContext.defaultParallelism}" in plan
 
 
+def test_a_whole_scope_is_not_shuffled_to_one_task(spark, monkeypatch):
+    from rankweave.operators import ranking
+
+    plans, written = {}, ranking.written
+    monkeypatch.setattr(ranking, "written", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().sparkPlan().toString()) and written(df, name))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(500).select(F.substring(F.concat(F.lit("a"), "id"), 1, 1).alias("ds"), F.col("id").cast("double").alias("s"), F.lit(2).alias("n"))
+        out = ranking.running(rows, ["ds"], "s", ["n"])
+        assert "BroadcastHashJoin" in plans["placed"] and "SortMergeJoin" not in plans["placed"] + out._jdf.queryExecution().sparkPlan().toString()
+        want = {(float(k), 2 * (499 - k), 1000) for k in range(500)}
+        assert {(r.s, r.n_before, r.n_total) for r in out.collect()} == want
+        monkeypatch.setattr(ranking, "BROADCAST_SCOPES", 0)
+        assert {(r.s, r.n_before, r.n_total) for r in ranking.running(rows, ["ds"], "s", ["n"]).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_expanded_digests_take_little_disk(spark, tmp_path):
     from rankweave import catalogue
 
