@@ -6,11 +6,10 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import written
-from .skew import sized_join
 
 #: Hamming distance that nine bands of 256 bits find for certain: of nine bands, eight differing bits leave one equal.
 RADIUS = 8
@@ -18,8 +17,10 @@ RADIUS = 8
 THUMBNAIL = 12.0
 #: Codes of one band that meet in one task; a larger band is cut into blocks.
 BLOCK = 4_000
-#: Memberships (24 bytes and their names) that a greedy scan ends in one task.
-LOCAL_ROWS = 1_000_000
+#: Memberships (some 50 bytes and their names) of a range of nodes that a greedy scan takes in one task.
+LOCAL_ROWS = 250_000
+#: Memberships of a group beyond which it is not brought to one task.
+HOT_GROUP = 100_000
 
 
 def lanes(code: Column) -> Column:
@@ -123,11 +124,12 @@ def greedy_keep(members: DataFrame, nodes: DataFrame, seeds: DataFrame | None =
     """(node, kept) by the sequential rule: in the order of ``node`` keep a row unless an earlier kept row matches it.
 
     ``members``: (group, node), rows of one group match each other. ``seeds``: (node), kept before all others, whether in
-    ``nodes`` or not; of the result only those of ``nodes`` are part. Rounds decide every row all of whose earlier
-    matches are decided, by the least kept and the least open node of each group, so a group of any size costs its
-    rows; each round is written, and decided rows leave the table. The first open row is decided in each round, so
-    rounds end with no row open. Once no more than ``local_rows`` memberships are open, one task scans the rest in
-    order. A null node is no row.
+    ``nodes`` or not; of the result only those of ``nodes`` are part. In each round memberships meet once by group, which
+    gives the least kept and the least open node of each, and once by ranges of nodes of some ``local_rows`` memberships.
+    A range is scanned in order and decides every row all of whose earlier matches are decided or lie in its range, so
+    chains of close rows end in few rounds; each round is written, and decided rows leave the table. The first open row
+    is decided in each round, with its range, so rounds end with no row open. Groups of over ``HOT_GROUP`` rows are
+    summed up and broadcast instead, so a group of any size costs its rows. A null node is no row.
     """
     spark = nodes.sparkSession
 
@@ -138,36 +140,64 @@ def greedy_keep(members: DataFrame, nodes: DataFrame, seeds: DataFrame | None =
     if seeds is not None:
         rows = rows.unionByName(seeds.select("node").distinct().withColumn("seed", F.lit(True))).groupBy("node").agg(F.max("seed").alias("seed"))
     kept = F.when(F.col("seed"), F.lit(True))
-    live = saved(members.select("group", "node").distinct().join(rows, "node").select("group", "node", F.when(F.col("seed"), F.lit(-(2**63))).otherwise(F.col("node")).alias("rank"), kept.alias("kept")))
+    live = saved(members.where("group IS NOT NULL").select("group", "node").distinct().join(rows, "node").select("group", "node", F.when(F.col("seed"), F.lit(-(2**63))).otherwise(F.col("node")).alias("rank"), kept.alias("kept")))
+    least = [F.min(F.when(F.col("kept"), F.col("rank"))), F.min(F.when(F.col("kept").isNull(), F.col("rank")))]
+    hot = saved(live.groupBy("group").count().where(F.col("count") > HOT_GROUP).select("group"))
+    any_hot = not hot.isEmpty()
     decided = []
     while live.where("kept IS NULL").limit(1).count():
-        if live.count() <= local_rows:
-            decided.append(saved(live.groupBy(F.lit(0).alias("all")).applyInArrow(_scan, "node long, kept boolean")))
-            break
-        groups = saved(live.groupBy("group").agg(F.min(F.when(F.col("kept"), F.col("rank"))).alias("first_kept"), F.min(F.when(F.col("kept").isNull(), F.col("rank"))).alias("first_open"), F.count("*").alias("size")))
+        cold, joined = live, None
+        if any_hot:
+            large = live.join(F.broadcast(hot), "group", "left_semi")
+            joined = large.join(F.broadcast(large.groupBy("group").agg(least[0].alias("first_kept"), least[1].alias("first_open"))), "group")
+            cold = live.join(F.broadcast(hot), "group", "left_anti")
+        group = Window.partitionBy("group")
+        stated = cold.select("*", least[0].over(group).alias("first_kept"), least[1].over(group).alias("first_open"))
+        stated = stated.unionByName(joined) if any_hot else stated
         # Groups with no open row have nothing more to say.
-        joined = sized_join(live, groups, ["group"], "size").where("first_open IS NOT NULL")
-        fate = joined.where("kept IS NULL").groupBy("node").agg(F.max(F.coalesce(F.col("first_kept") < F.col("rank"), F.lit(False))).alias("hit"), F.max(F.col("first_open") < F.col("rank")).alias("waits"))
-        now = saved(fate.where("hit OR NOT waits").select("node", (~F.col("hit")).alias("fate")))
-        decided.append(now.withColumnRenamed("fate", "kept"))
-        live = saved(joined.select("group", "node", "rank", "kept").join(now, "node", "left").where("coalesce(fate, true)").select("group", "node", "rank", F.coalesce("kept", "fate").alias("kept")))
+        ranges = -(-live.count() // max(1, local_rows))
+        placed = stated.where("first_open IS NOT NULL").select(*_SCANNED).repartitionByRange(ranges, "node")
+        now = saved(placed.mapInArrow(_scan, "group string, node long, rank long, kept boolean, fate boolean, lead boolean"))
+        decided.append(now.where("lead").select("node", F.col("fate").alias("kept")))
+        live = now.where("coalesce(fate, true)").select("group", "node", "rank", F.coalesce("kept", "fate").alias("kept"))
     found = reduce(DataFrame.unionByName, decided) if decided else spark.createDataFrame([], "node long, kept boolean")
     # Rows that match nothing, and seeds, are kept.
     return nodes.select("node").where("node IS NOT NULL").distinct().join(found, "node", "left").select("node", F.coalesce("kept", F.lit(True)).alias("kept"))
 
 
-def _scan(key: tuple, part: pa.Table) -> pa.Table:
-    """The one-by-one rule over the memberships that are left."""
+_SCANNED = ("group", "node", "rank", "kept", "first_kept", "first_open")
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The one-by-one rule over a range of nodes: the same memberships, with the fate of the rows that can be decided
+    and, in one membership of each such row, ``lead``. A row waits if it may be hit by an open one: of its range, or of
+    an earlier range, which is where the first open row of its group then is."""
+    held = list(batches)
+    if not held:
+        return
+    part = pa.Table.from_batches(held)
+    group, node, rank, kept, first_kept, first_open = (part.column(c).to_pylist() for c in _SCANNED)
+    own: dict[int, list[int]] = {}
+    for i, (n, k) in enumerate(zip(node, kept, strict=True)):
+        if k is None:
+            own.setdefault(n, []).append(i)
+    order = sorted(own)
+    start = order[0] if order else 0
     taken: set[str] = set()
-    groups: dict[int, list[str]] = {}
-    for group, node, kept in zip(*(part.column(c).to_pylist() for c in ("group", "node", "kept")), strict=True):
-        if kept:
-            taken.add(group)
+    open_: set[str] = set()
+    fate: list[bool | None] = [None] * len(node)
+    lead = [False] * len(node)
+    for n in order:
+        at = own[n]
+        if any(group[i] in taken or (first_kept[i] is not None and first_kept[i] < n) for i in at):
+            fate_n = False
+        elif any(first_open[i] < start or group[i] in open_ for i in at):
+            open_.update(group[i] for i in at)
+            continue
         else:
-            groups.setdefault(node, []).append(group)
-    order, kept = sorted(groups), []
-    for node in order:
-        kept.append(not any(g in taken for g in groups[node]))
-        if kept[-1]:
-            taken.update(groups[node])
-    return pa.table([pa.array(order, pa.int64()), pa.array(kept, pa.bool_())], ["node", "kept"])
+            fate_n = True
+            taken.update(group[i] for i in at)
+        lead[at[0]] = True
+        for i in at:
+            fate[i] = fate_n
+    yield from part.select(["group", "node", "rank", "kept"]).append_column("fate", pa.array(fate, pa.bool_())).append_column("lead", pa.array(lead, pa.bool_())).to_batches()

@@ -93,3 +93,19 @@ def test_expanded_digests_take_little_disk(spark, tmp_path):
         spark.conf.set("spark.sql.parquet.compression.codec", before)
     assert sum(x.stat().st_size for x in (tmp_path / "out").glob("*.parquet")) < 55 * 2000 * 39
     assert spark.read.parquet(str(tmp_path / "out")).distinct().count() == 2000 * 39
+
+
+def test_a_chain_of_close_rows_ends_in_few_rounds(spark, monkeypatch):
+    rounds, written = [], dedup.written
+    monkeypatch.setattr(dedup, "written", lambda df, name: rounds.append(name) or written(df, name))
+    nodes = spark.range(60).withColumnRenamed("id", "node")
+    pairs = nodes.where("node > 0").select((F.col("node") - 1).alias("a"), F.col("node").alias("b"))
+    members = dedup.pair_groups(pairs).unionByName(spark.createDataFrame([("hot", k) for k in (20, 30, 40, 51)] + [(None, 0), (None, 2)], "group string, node long"))
+    for most in (100_000, 3):
+        monkeypatch.setattr(dedup, "HOT_GROUP", most)
+        rounds.clear()
+        got = {r.node: r.kept for r in dedup.greedy_keep(members, nodes, None, 50).collect()}
+        want: dict = {}
+        for k in range(60):
+            want[k] = not want.get(k - 1, False) and not (k in (30, 40, 51) and any(want[j] for j in (20, 30, 40) if j < k))
+        assert got == want and len(rounds) <= 7
