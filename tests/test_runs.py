@@ -198,3 +198,23 @@ def test_array_digests(spark):
     for bad, kind in ((np.array([2]), "mask"), (np.array([1.5]), "probabilities"), (np.array([np.nan]), "probabilities"), (mask, "other")):
         with pytest.raises(ValueError):
             canonical.array_digest(bad, kind)
+
+
+def test_a_run_moves_no_more_than_it_needs(spark, log, tmp_path, monkeypatch):
+    """Digests are not sorted with the rows, what is open is written as places, and last records without what names them."""
+    from rankweave.operators import align
+
+    kept = {}
+    for module in (align, runs):
+        monkeypatch.setattr(module, "written", lambda df, name, f=module.written: kept.setdefault(name, df.columns) and f(df, name))
+    plan = planned(spark)
+    runs.run(plan, log, lambda: Asked(tmp_path, odd={7: ValueError("x")}), shards=2)
+    assert "input_hash" not in kept["numbered"] and kept["open"] == ["batch", "lacking"]
+    moved = [x for x in runs.outcomes(plan, log)._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in x]
+    assert moved and not any("batch_id" in x or "input_hash" in x or "results" in x for x in moved)
+    assert runs.run(plan, log, lambda: Asked(tmp_path), shards=2, retry_errors=True) == 1
+    found = final(plan, log)
+    assert len(found) == 69 and all(x == ("success", k / 100, None, True) for (k, _), x in found.items())
+    log.append(spark.createDataFrame([("no digest", "b", "h", 1, "success", "scoring", None, None)], runs._RECORD))
+    with pytest.raises(ContractError):
+        runs.run(plan, log, lambda: Asked(tmp_path))
