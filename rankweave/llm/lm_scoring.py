@@ -38,7 +38,8 @@ END = np.uint64(0x1D8AF066E5C5B0AB)
 PART_BYTES = 4 << 20
 #: Tokens of a fold.
 FOLD = 1 << 20
-#: Shares of the folds that meet their answers one after another, so that no more than a share is shuffled at a time.
+#: Shares of the folds that meet their answers, and of the parts that answer, one after another, so that no more than a
+#: share is shuffled at a time.
 SHARES = 3
 
 
@@ -260,8 +261,9 @@ def lm_scores(docs: DataFrame, training: Column) -> DataFrame:
     folds = written(_folds(rows), "folds")
     share = lambda df, k: df.where(F.pmod(F.xxhash64("fold"), F.lit(SHARES)) == k)
 
-    def next_order(order: int, answers: DataFrame) -> DataFrame:
-        """Whole counts of an order, asked for by folds that know the answers to the order above, share by share."""
+    def next_order(order: int, answers: DataFrame) -> list[DataFrame]:
+        """Whole counts of an order, asked for by folds that know the answers to the order above, share by share; parts
+        answer share by share too, so that what was sent is not held a second time as a shuffle."""
 
         def run(key: tuple, part: pa.Table) -> pa.Table:
             fold, _, told = Fold.read(part)
@@ -272,16 +274,20 @@ def lm_scores(docs: DataFrame, training: Column) -> DataFrame:
         for k in range(SHARES):
             sent.append(written(share(folds, k).unionByName(share(answers, k)).groupBy("fold").applyInArrow(run, _MESSAGE), "sent"))
             forget_shuffles(docs.sparkSession)
-        out = written(_answered(reduce(DataFrame.unionByName, sent)), "answers")
+        out, whole = [], reduce(DataFrame.unionByName, sent)
+        for k in range(SHARES):
+            out.append(written(_answered(whole.where(F.pmod("part", F.lit(SHARES)) == k)), "answers"))
+            forget_shuffles(docs.sparkSession)
         discard(*sent)
-        forget_shuffles(docs.sparkSession)
         return out
 
     # What a round has shuffled is of no more use once its answers are written.
     triples = written(_answered(_triples(folds, bits)), "triples")
     forget_shuffles(docs.sparkSession)
-    pairs = next_order(2, triples)
-    singles = next_order(1, pairs)
+    pair_shares = next_order(2, triples)
+    pairs = reduce(DataFrame.unionByName, pair_shares)
+    single_shares = next_order(1, pairs)
+    singles = reduce(DataFrame.unionByName, single_shares)
     n = v = 0
     for r in singles.where("fold = -1").select("data").toLocalIterator():
         part_n, part_v = unpack(bytes(r.data), 1, 2)
@@ -302,7 +308,7 @@ def lm_scores(docs: DataFrame, training: Column) -> DataFrame:
         told = reduce(DataFrame.unionByName, [share(x, k) for x in (folds, triples, pairs, singles.where("fold >= 0"))])
         scored.append(written(told.groupBy("fold").applyInArrow(finish, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scored"))
         forget_shuffles(docs.sparkSession)
-    discard(folds, triples, pairs, singles)
+    discard(folds, triples, *pair_shares, *single_shares)
     return reduce(DataFrame.unionByName, scored)
 
 
