@@ -185,3 +185,29 @@ def test_a_vector_goes_to_python_once_a_group(spark, monkeypatch):
     cells = rep._cells(rows, ["ds"], ["ds"], "grp", rows.y < 0.9, "s")
     plan = rep.weighted_sums(cells, rep.draw_vectors(rows, ["ds"], "grp", 20), ["ds"], "grp", ["ds", "score"], ["n", "bad"], 21)._jdf.queryExecution().sparkPlan().toString()
     assert "Join" not in plan and got.mae[0] == pytest.approx(0.5 * (0.0 + 0.5) / 2 + 0.5 * (0.75 + 0.25) / 2)
+
+
+@pytest.mark.parametrize("sum_block", [1 << 14, 4])
+def test_regression_alone_by_expanded_rows(spark, monkeypatch, sum_block):
+    """No vector a group is made, memory is by block, and draws and errors are those of the vectors."""
+    monkeypatch.setattr(rep, "SUM_BLOCK", sum_block)
+    monkeypatch.setattr(rep, "PICKS", 4)
+    monkeypatch.setattr(rep, "PART_BYTES", 60)
+    monkeypatch.setattr(rep, "draw_vectors", lambda *_: pytest.fail("a vector a group"))
+    pool, rows = rows_of()
+    both = [(m, d, g, y, s if m == "a" or s is None else 1 - s) for d, g, y, s in rows for m in "ab"]
+    df = spark.createDataFrame(both, "method string, ds string, grp string, y double, s double").repartition(3)
+    groups = spark.createDataFrame([(d, g) for d, gs in pool.items() for g in gs] * 2, "ds string, grp string")
+    weights = drawn(pool, 40)
+    for by in (["ds", "method"], ["method"], []):
+        found = rep.regression_bootstrap(df, groups, by, ["ds"], "grp", "y", "s", 40)
+        got = {(*(r[c] for c in by), r.rep): r for r in rep.long_form(found, by, rep.REGRESSION).collect()}
+        scopes = {tuple({"ds": d, "method": m}[c] for c in by) for d in pool for m in "ab"}
+        assert set(got) == {(*x, r) for x in scopes for r in range(-1, 40)}
+        for *scope, r in got:
+            own = [(weights[d, g][r + 1], y - s) for m, d, g, y, s in both if y is not None and s is not None and [{"ds": d, "method": m}[c] for c in by] == scope]
+            n = sum(w for w, _ in own)
+            want = [sum(w * abs(e) for w, e in own) / n, math.sqrt(sum(w * e * e for w, e in own) / n)] if n else [None, None]
+            assert [got[*scope, r][c] for c in rep.REGRESSION] == [None if x is None else pytest.approx(x, abs=1e-12) for x in want], (scope, r)
+    with pytest.raises(Exception, match="not in the pool"):
+        rep.regression_bootstrap(df, groups.where("grp <> 'g0'"), ["ds"], ["ds"], "grp", "y", "s", 5).collect()
