@@ -211,3 +211,9 @@ def test_regression_alone_by_expanded_rows(spark, monkeypatch, sum_block):
             assert [got[*scope, r][c] for c in rep.REGRESSION] == [None if x is None else pytest.approx(x, abs=1e-12) for x in want], (scope, r)
     with pytest.raises(Exception, match="not in the pool"):
         rep.regression_bootstrap(df, groups.where("grp <> 'g0'"), ["ds"], ["ds"], "grp", "y", "s", 5).collect()
+
+
+def test_intervals_take_the_references_thousand_replicates():
+    from rankweave.catalogue import bootstraps
+
+    assert bootstraps.EVALUATION_REPLICATES == 1000 and "range(1000) r" in bootstraps.ORACLE_SQL["public_evaluation"]
