@@ -217,3 +217,4 @@ def test_intervals_take_the_references_thousand_replicates():
     from rankweave.catalogue import bootstraps
 
     assert bootstraps.EVALUATION_REPLICATES == 1000 and "range(1000) r" in bootstraps.ORACLE_SQL["public_evaluation"]
+    assert bootstraps.WORKLOAD_REPLICATES == 1000 and "range(1000) r" in bootstraps.ORACLE_SQL["workload_intervals"]
