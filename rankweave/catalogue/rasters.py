@@ -44,8 +44,9 @@ def _pictures(spark, sf_dir: str) -> DataFrame:
     """Parts as pictures of two greys with a box for each lung; the margin m decides what can be cut away."""
     w, h, m = (40 + F.col("p_size")).cast("int"), (36 + F.col("p_partkey") % 30).cast("int"), (F.col("p_partkey") % 4).cast("int")
     row = F.concat(F.expr("repeat(chr(20 + p_size), w DIV 2)"), F.expr("repeat(chr(100), w - w DIV 2)"))
-    # A part is a few bytes, its picture some thousand.
-    p = bind.spread(bind.table(spark, sf_dir, "part").select("p_partkey", "p_size", w.alias("w"), h.alias("h"), m.alias("m")), "p_partkey")
+    # A part is a few bytes, its picture some thousand; parts of one picture are dealt out together, one after another.
+    kind = ["p_size", "h", "m"]
+    p = bind.spread(bind.table(spark, sf_dir, "part").select("p_partkey", "p_size", w.alias("w"), h.alias("h"), m.alias("m")), *kind).sortWithinPartitions(*kind)
     third = F.expr("CAST(w DIV 3 AS INT)")
     right = slots.box_mask(F.col("w"), F.col("h"), F.col("m"), F.col("m"), F.col("m") + third, F.col("h") - F.col("m"))
     left = slots.box_mask(F.col("w"), F.col("h"), F.col("w") - F.col("m") - third, F.col("m"), F.col("w") - F.col("m"), F.col("h") - F.col("m"))

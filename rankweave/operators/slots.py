@@ -61,7 +61,7 @@ def build_slots(image: np.ndarray, masks: np.ndarray) -> list[dict]:
     background = tuple(int(v) for v in background_box(masks))
     share = dict(zip([*boxes, "background_only"], retention(masks, np.array([*boxes.values(), background], float)), strict=True))
     shown = {name: imaging.letterbox(_part(image, box)) for name, box in boxes.items()}
-    out = []
+    out, raw, digests = [], {}, {}
     for k, (variant, family) in enumerate(SLOTS):
         anchor = "original" if family != "padding" else "left_30" if variant.startswith("left") else "top_30"
         box, reason, target = boxes.get(variant, boxes[anchor]), None, share.get(variant, share[anchor])
@@ -78,8 +78,11 @@ def build_slots(image: np.ndarray, masks: np.ndarray) -> list[dict]:
             pixels = imaging.blurred(shown["original"], 2.0) if variant.startswith("blur") else imaging.brightened(shown["original"], 0.7 if variant.endswith("070") else 1.3)
         row = {"slot": k, "variant": variant, "family": family, "anchor": anchor, "status": ELIGIBLE if pixels is not None else INELIGIBLE, "reason": reason, **dict(zip(("x0", "y0", "x1", "y1"), box, strict=True))}
         done = pixels is not None
-        row |= {"targets": [float(v) for v in target] if done else None, "effective": bool(done and variant != "original" and not np.array_equal(pixels, shown[anchor]))}
-        out.append(row | {"pixel_sha256": hashlib.sha256(pixels.tobytes()).hexdigest() if done else None, "pixels": pixels.tobytes() if done else None})
+        data = raw[variant] = pixels.tobytes() if done else None
+        if done and data not in digests:
+            digests[data] = hashlib.sha256(data).hexdigest()
+        row |= {"targets": [float(v) for v in target] if done else None, "effective": bool(done and variant != "original" and data != raw[anchor])}
+        out.append(row | {"pixel_sha256": digests.get(data), "pixels": data})
     kept = {r["variant"]: r["targets"] for r in out}
     for outer, inner in ((a, b) for s in SIDES for a, b in (("original", f"{s}_05"), (f"{s}_05", f"{s}_30"))):
         if (np.array(kept[inner]) > np.array(kept[outer]) + TOLERANCE).any():
@@ -95,12 +98,16 @@ def _mapped(df: DataFrame, key: list[str], columns: list[str], schema: str | T.S
     arrow = to_arrow_schema(whole)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, rows, made = None, [], []
         for batch in batches:
             for k in range(batch.num_rows):
                 own = [batch.column(j)[k].as_py() for j in range(batch.num_columns)]
-                rows = make(*own[len(key) :])
+                # Copies that follow each other are made once.
+                if last != own[len(key) :]:
+                    last, rows = own[len(key) :], make(*own[len(key) :])
+                    made = [pa.array([r[f.name] for r in rows], arrow.field(f.name).type) for f in kind]
                 if rows:
-                    yield pa.record_batch([*(pa.array([v] * len(rows), arrow.field(j).type) for j, v in enumerate(own[: len(key)])), *(pa.array([r[f.name] for r in rows], arrow.field(f.name).type) for f in kind)], schema=arrow)
+                    yield pa.record_batch([*(pa.array([v] * len(rows), arrow.field(j).type) for j, v in enumerate(own[: len(key)])), *made], schema=arrow)
 
     return df.select(*key, *columns).mapInArrow(run, whole)
 
