@@ -78,13 +78,18 @@ def near_pairs(df: DataFrame, key: str, code: str, radius: int = RADIUS) -> Data
     classes = df.where(F.col(code).isNotNull() & F.col(key).isNotNull()).groupBy(code).agg(F.min(key).alias("k")).select("k", lanes(F.col(code)).alias("l"))
     opened = classes.select("k", "l", F.posexplode(bands(F.col("l"))).alias("p", "band"))
     sizes = opened.groupBy("p", "band").agg((1 + F.expr(f"(count(*) - 1) DIV {BLOCK}")).alias("blocks")).where("blocks > 1")
-    cut = opened.join(F.broadcast(sizes), ["p", "band"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
-    cut = cut.withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")))
+    apart = (F.col("a") < F.col("b")) & (hamming(F.col("x"), F.col("y")) <= radius) & (_first_shared(F.col("x"), F.col("y")) == F.col("p"))
+    # Both sides of a band that needs no blocks are one shuffle, which Spark reuses as they differ in names alone.
+    cold = opened.join(F.broadcast(sizes), ["p", "band"], "left_anti")
+    side = lambda k, x: cold.select("p", "band", F.col("k").alias(k), F.col("l").alias(x))
+    # Nine rows a code are not seen in the estimated size, so Spark would send all of them through the driver.
+    pairs = side("a", "x").join(side("b", "y").hint("merge"), ["p", "band"]).where(apart).select("a", "b", "x", "y")
+    hot = opened.join(F.broadcast(sizes), ["p", "band"], "left_semi").join(F.broadcast(sizes), ["p", "band"], "left")
+    cut = hot.withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long"))).withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")))
     others = F.explode(F.expr("sequence(0L, blocks - 1)"))
     a = cut.select("p", "band", F.col("block").alias("i"), others.alias("j"), F.col("k").alias("a"), F.col("l").alias("x"))
     b = cut.select("p", "band", others.alias("i"), F.col("block").alias("j"), F.col("k").alias("b"), F.col("l").alias("y"))
-    # Nine rows a code are not seen in the estimated size, so Spark would send all of them through the driver.
-    pairs = a.join(b.hint("merge"), ["p", "band", "i", "j"]).where((F.col("a") < F.col("b")) & (hamming(F.col("x"), F.col("y")) <= radius) & (_first_shared(F.col("x"), F.col("y")) == F.col("p")))
+    pairs = pairs.unionByName(a.join(b.hint("merge"), ["p", "band", "i", "j"]).where(apart).select("a", "b", "x", "y"))
     return pairs.select("a", "b", hamming(F.col("x"), F.col("y")).alias("distance"))
 
 
@@ -140,7 +145,9 @@ def greedy_keep(members: DataFrame, nodes: DataFrame, seeds: DataFrame | None =
     if seeds is not None:
         rows = rows.unionByName(seeds.select("node").distinct().withColumn("seed", F.lit(True))).groupBy("node").agg(F.max("seed").alias("seed"))
     kept = F.when(F.col("seed"), F.lit(True))
-    live = saved(members.where("group IS NOT NULL").select("group", "node").distinct().join(rows, "node").select("group", "node", F.when(F.col("seed"), F.lit(-(2**63))).otherwise(F.col("node")).alias("rank"), kept.alias("kept")))
+    # Rows of a node lie together from here on: what is told twice goes, and the join shuffles nothing more.
+    placed = members.where("group IS NOT NULL").select("group", "node").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node").distinct()
+    live = saved(placed.join(rows, "node").select("group", "node", F.when(F.col("seed"), F.lit(-(2**63))).otherwise(F.col("node")).alias("rank"), kept.alias("kept")))
     least = [F.min(F.when(F.col("kept"), F.col("rank"))), F.min(F.when(F.col("kept").isNull(), F.col("rank")))]
     hot = saved(live.groupBy("group").count().where(F.col("count") > HOT_GROUP).select("group"))
     any_hot = not hot.isEmpty()

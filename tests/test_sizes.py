@@ -109,3 +109,17 @@ def test_a_chain_of_close_rows_ends_in_few_rounds(spark, monkeypatch):
         for k in range(60):
             want[k] = not want.get(k - 1, False) and not (k in (30, 40, 51) and any(want[j] for j in (20, 30, 40) if j < k))
         assert got == want and len(rounds) <= 7
+
+
+def test_codes_of_a_band_are_shuffled_once(spark, monkeypatch):
+    df = spark.range(60).select(F.col("id").alias("k"), F.concat(F.lpad(F.hex(F.col("id") % 20), 2, "0"), F.repeat(F.lit("0"), F.lit(62))).alias("code"))
+    found = dedup.near_pairs(df, "k", "code")
+    pairs = {(r.a, r.b, r.distance) for r in found.collect()}
+    assert pairs == {(a, b, (a ^ b).bit_count()) for a in range(20) for b in range(a + 1, 20)}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert "ReusedExchange [p#" in dedup.near_pairs(df, "k", "code")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    monkeypatch.setattr(dedup, "BLOCK", 4)
+    assert {(r.a, r.b, r.distance) for r in dedup.near_pairs(df, "k", "code").collect()} == pairs
